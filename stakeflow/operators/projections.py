@@ -21,12 +21,13 @@ def user_profile_metrics(users: DataFrame) -> DataFrame:
 
     The ROI of a profile is profit divided by the number of bets, unlike the ledger ROI.
     """
-    name = F.trim(F.concat_ws(" ", "first_name", "last_name"))
+    first, last = F.nullif(F.col("first_name"), F.lit("")), F.nullif(F.col("last_name"), F.lit(""))
+    name = F.concat(first, F.lit(" "), last)
     return users.select(
         "user_id",
         ratio(F.col("correct_predictions"), F.col("total_predictions"), 100).alias("accuracy"),
         ratio(F.col("total_profit"), F.col("total_bets"), 100).alias("roi"),
-        F.when(name != "", name).otherwise(F.col("username")).alias("full_name"),
+        F.coalesce(name, F.col("username")).alias("full_name"),
     )
 
 
@@ -70,11 +71,16 @@ def _words(name: str) -> list[str]:
     return [w.lower() for w in re.split(r"[_\s\-]+", spaced) if w]
 
 
+def _parts(name: str) -> list[str]:
+    """Words by separator only: camel and pascal case do not split at capitals."""
+    return [w for w in re.split(r"[_\s\-]+", name.lower()) if w]
+
+
 NAMING: dict[str, Callable[[str], str]] = {
     "snake": lambda s: "_".join(_words(s)),
     "kebab": lambda s: "-".join(_words(s)),
-    "camel": lambda s: "".join(w if i == 0 else w.capitalize() for i, w in enumerate(_words(s))),
-    "pascal": lambda s: "".join(w.capitalize() for w in _words(s)),
+    "camel": lambda s: "".join(w if i == 0 else w.capitalize() for i, w in enumerate(_parts(s))),
+    "pascal": lambda s: "".join(w.capitalize() for w in _parts(s)),
 }
 
 

@@ -197,3 +197,39 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int,
         .drop("_salt")
         .withColumnRenamed("_rn", "rn")
     )
+
+
+def trailing_rows(df: DataFrame, keys: list[str], order: list[str], block: Column, n: int,
+                  aggs: dict[str, Column], chunk: int = 4096) -> DataFrame:
+    """Aggregates over the ``n`` rows before each row of a key.
+
+    Rows get their position, then are windowed in chunks of positions; the last ``n`` rows of a
+    chunk are copied into the next one, so every frame is complete inside its chunk.
+    """
+    size = max(chunk, n)
+    at = F.col("_pos") - 1
+    home = F.floor(at / size)
+    pos = running(df, keys, order, block, {"_pos": ("count", F.lit(1))})
+    spread = pos.withColumn("_home", home).withColumn("_chunk", F.explode(
+        F.when(at % size >= size - n, F.array(home, home + 1)).otherwise(F.array(home))))
+    frame = Window.partitionBy(*keys, "_chunk").orderBy("_pos").rowsBetween(-n, -1)
+    out = spread.select("*", *[c.over(frame).alias(name) for name, c in aggs.items()])
+    return out.filter(F.col("_chunk") == F.col("_home")).drop("_pos", "_home", "_chunk")
+
+
+def trailing_time(df: DataFrame, keys: list[str], ts: str, seconds: int, aggs: dict[str, Column],
+                  spans: int = 4) -> DataFrame:
+    """Aggregates over the rows of a key in the ``seconds`` up to and including each row.
+
+    Keys are cut into blocks of ``spans`` frame lengths; rows in the last length of a block are
+    copied into the next one.
+    """
+    width = seconds * 1_000_000
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    home = F.floor(F.col("_us") / (width * spans))
+    spread = df.withColumn("_us", us).withColumn("_home", home).withColumn("_chunk", F.explode(
+        F.when(F.pmod(F.col("_us"), F.lit(width * spans)) >= width * (spans - 1),
+               F.array(home, home + 1)).otherwise(F.array(home))))
+    frame = Window.partitionBy(*keys, "_chunk").orderBy("_us").rangeBetween(-width, 0)
+    out = spread.select("*", *[c.over(frame).alias(name) for name, c in aggs.items()])
+    return out.filter(F.col("_chunk") == F.col("_home")).drop("_us", "_home", "_chunk")

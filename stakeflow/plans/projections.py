@@ -17,8 +17,8 @@ def _(t):
 @query("user_profile_metrics", "v_bet", """WITH u AS (SELECT user_id, count(*) AS n,
       count(*) FILTER (status = 'won') AS w, sum(stake) AS p FROM v_bet GROUP BY user_id)
    SELECT user_id, round(100.0 * w / n, 6) AS accuracy, round(p * 100 / n, 6) AS roi,
-     CASE WHEN user_id % 3 = 0 THEN concat('user_', CAST(user_id AS VARCHAR))
-          WHEN user_id % 3 = 1 THEN c_name ELSE concat(c_mktsegment, ' ', c_name) END AS full_name
+     CASE WHEN user_id % 3 = 2 THEN concat(c_mktsegment, ' ', c_name)
+          ELSE concat('user_', CAST(user_id AS VARCHAR)) END AS full_name
    FROM u JOIN customer ON c_custkey = user_id""")
 def _(t):
     k = F.col("user_id") % 3
