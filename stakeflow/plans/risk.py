@@ -129,8 +129,8 @@ def _(t):
 
 @query("rolling_variance", "v_bet", f"""WITH {SETTLED}, d AS (SELECT user_id, CAST(placed_at AS DATE) AS day, round(sum(profit), 6) AS profit, var_samp(profit) AS v
      FROM s WHERE settled GROUP BY 1, 2)
-  SELECT user_id, day, round(v, 7) AS day_variance, round(var_samp(profit) OVER (PARTITION BY user_id ORDER BY day
-     RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW), 7) AS rolling_variance FROM d""")
+  SELECT user_id, day, round(v, 4) AS day_variance, round(var_samp(profit) OVER (PARTITION BY user_id ORDER BY day
+     RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW), 4) AS rolling_variance FROM d""")
 def _(t):
     return W.rolling_variance(t.bet)
 
