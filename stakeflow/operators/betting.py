@@ -22,7 +22,7 @@ def overround(quotes: DataFrame) -> DataFrame:
     w = Window.partitionBy("match_id")  # one row per outcome
     total = F.sum(1 / F.col("best_odds")).over(w)
     return best.select("match_id", "outcome", r6(1 / F.col("best_odds")).alias("implied"),
-                       r6(total - 1).alias("overround"), r6(1 / F.col("best_odds") / total).alias("fair_probability"))
+                       r6(total - 1).alias("overround"), F.round(1 / F.col("best_odds") / total, 8).alias("fair_probability"))
 
 
 def value_bet_scan(predictions: DataFrame, best: DataFrame, stake: float = 50.0, min_value: float = 1.0,
@@ -38,7 +38,7 @@ def value_bet_scan(predictions: DataFrame, best: DataFrame, stake: float = 50.0,
     value = r6((prob * F.col("best_odds") - 1) * 100)
     return p.join(best, ["match_id", "outcome"]).withColumn("value_pct", value).filter(
         F.col("value_pct") >= min_value).withColumn("true_odds", r6(1 / prob)).withColumn(
-        "expected_value", r6(F.lit(stake) * F.col("value_pct") / 100)).withColumn(
+        "expected_value", r6(F.lit(stake) * (prob * F.col("best_odds") - 1))).withColumn(
         "kelly", r6(kelly(prob, F.col("best_odds"))))
 
 
@@ -95,7 +95,7 @@ def ensemble(probs: DataFrame, method: str, weight: Column | None = None) -> Dat
 
 def scenario_delta(scenarios: DataFrame, baseline: DataFrame) -> DataFrame:
     """Change of home probability per scenario, and each match's most and least sensitive factor."""
-    d = scenarios.join(baseline, "match_id").withColumn("delta", r6(F.col("p") - F.col("p_base")))
+    d = scenarios.join(baseline, "match_id").withColumn("delta", F.round(F.col("p") - F.col("p_base"), 9))
     size = F.abs("delta")
     severity = F.when(size >= 0.1, "high").when(size >= 0.03, "medium").otherwise("low")
     ends = d.groupBy("match_id").agg(
@@ -168,21 +168,31 @@ def monte_carlo(rates: DataFrame, n: int, seed: int, max_goals: int = 10) -> Dat
         h = F.xxhash64("match_id", "trial", F.lit(side), F.lit(seed))
         return (F.pmod(h, F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
 
-    def cdf(rate: Column) -> Column:
-        return F.array(*[sum((_poisson(rate, j) for j in range(k + 1)), F.lit(0.0)) for k in range(max_goals)])
+    def with_cdf(df: DataFrame, rate: str, name: str) -> DataFrame:
+        total = F.lit(0.0)
+        for k in range(max_goals):
+            df = df.withColumn(f"{name}{k}", total + _poisson(F.col(rate), k))
+            total = F.col(f"{name}{k}")
+        return df
+
+    def goals(u: str, name: str) -> Column:
+        out = F.lit(0)
+        for k in range(max_goals):
+            out = out + F.when(F.col(u) > F.col(f"{name}{k}"), 1).otherwise(0)
+        return out
+
+    t = with_cdf(with_cdf(rates, "lh", "h"), "la", "a").withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    t = t.withColumn("uh", uniform("h")).withColumn("ua", uniform("a")).select(
+        "match_id", goals("uh", "h").alias("h"), goals("ua", "a").alias("a"))
 
-    def goals(u: Column, bounds: str) -> Column:
-        return F.size(F.filter(bounds, lambda b: b < u))
+    def share(c: Column) -> Column:
+        return r6(F.count_if(c) / F.count("*"))
 
-    t = rates.select("match_id", cdf(F.col("lh")).alias("ch"), cdf(F.col("la")).alias("ca"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("trial"))
-    t = t.select("match_id", goals(uniform("h"), "ch").alias("h"), goals(uniform("a"), "ca").alias("a"))
+    h, a = F.col("h"), F.col("a")
     return t.groupBy("match_id").agg(
-        r6(F.avg((F.col("h") > F.col("a")).cast("double"))).alias("p_home"),
-        r6(F.avg((F.col("h") == F.col("a")).cast("double"))).alias("p_draw"),
-        r6(F.avg((F.col("h") < F.col("a")).cast("double"))).alias("p_away"),
+        share(h > a).alias("p_home"), share(h == a).alias("p_draw"), share(h < a).alias("p_away"),
         r6(F.avg("h")).alias("goals_home"), r6(F.avg("a")).alias("goals_away"),
-        r6(F.avg((F.col("a") == 0).cast("double"))).alias("clean_sheet_home"),
-        r6(F.avg((F.col("h") == 0).cast("double"))).alias("clean_sheet_away"))
+        share(a == 0).alias("clean_sheet_home"), share(h == 0).alias("clean_sheet_away"))
 
 
 def portfolio_allocation(daily: DataFrame, bankroll: float, cap: float = 0.15) -> DataFrame:
