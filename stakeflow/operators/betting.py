@@ -181,6 +181,9 @@ def monte_carlo(rates: DataFrame, n: int, seed: int, max_goals: int = 10) -> Dat
             out = out + F.when(F.col(u) > F.col(f"{name}{k}"), 1).otherwise(0)
         return out
 
+    # the rows grow n-fold: spread them first, on the key the counts need anyway
+    parts = int(rates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rates = rates.repartition(parts, "match_id")
     t = with_cdf(with_cdf(rates, "lh", "h"), "la", "a").withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(n))))
     t = t.withColumn("uh", uniform("h")).withColumn("ua", uniform("a")).select(
         "match_id", goals("uh", "h").alias("h"), goals("ua", "a").alias("a"))

@@ -189,8 +189,8 @@ def rolling_variance(bets: DataFrame, key: str = "user_id", days: int = 30) -> D
     daily = done.groupBy(key, F.to_date("placed_at").alias("day")).agg(
         r6(F.sum("profit")).alias("profit"), F.var_samp("profit").alias("v"))
     w = Window.partitionBy(key).orderBy(F.unix_date("day")).rangeBetween(-(days - 1), 0)
-    return daily.select(key, "day", F.round("v", 7).alias("day_variance"),
-                        F.round(F.var_samp("profit").over(w), 4).alias("rolling_variance"))
+    return daily.select(key, "day", F.col("v").alias("day_variance"),
+                        F.var_samp("profit").over(w).alias("rolling_variance"))
 
 
 def rolling_team_features(sides: DataFrame, n: int = 5) -> DataFrame:

@@ -129,10 +129,11 @@ def _(t):
 
 @query("rolling_variance", "v_bet", f"""WITH {SETTLED}, d AS (SELECT user_id, CAST(placed_at AS DATE) AS day, round(sum(profit), 6) AS profit, var_samp(profit) AS v
      FROM s WHERE settled GROUP BY 1, 2)
-  SELECT user_id, day, round(v, 7) AS day_variance, round(var_samp(profit) OVER (PARTITION BY user_id ORDER BY day
-     RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW), 4) AS rolling_variance FROM d""")
+  SELECT user_id, day, round(sqrt(v), 6) AS day_std, round(sqrt(var_samp(profit) OVER (PARTITION BY user_id ORDER BY day
+     RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW)), 6) AS rolling_std FROM d""")
 def _(t):
-    return W.rolling_variance(t.bet)
+    v = W.rolling_variance(t.bet)
+    return v.select("user_id", "day", r6(F.sqrt("day_variance")).alias("day_std"), r6(F.sqrt("rolling_variance")).alias("rolling_std"))
 
 
 @query("rolling_team_features", "v_match", f"""WITH {SIDES}, x AS (SELECT team, match_id, match_date, count(*) OVER w AS last_n, avg(gf) OVER w AS a, avg(ga) OVER w AS b,
