@@ -1,5 +1,6 @@
 """Training, scoring, drift, bias and similarity."""
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from stakeflow.functions.semantics import r6
@@ -33,7 +34,9 @@ def _model(t, algo, **params):
     spark, out = t.spark, shared_dir(t.spark, "training-set")
     _train_set(t).write.parquet(out)
     data = spark.read.parquet(out)
-    return M.train(data, algo, **params), data
+    # scored from its saved form, which carries no training summary
+    M.train(data, algo, **params).write().save(f"{out}-model")
+    return PipelineModel.load(f"{out}-model"), data
 
 
 @query("train_predict_logistic")
@@ -80,7 +83,7 @@ def _(t):
     model, data = _model(t, "logistic", maxIter=20)
     live = shared_dir(t.spark, "live-rows")
     data.write.parquet(live)
-    feed = stream_source(t.spark, live, entity=data.schema.simpleString()[len("struct<"):-1])
+    feed = stream_source(t.spark, live, entity=data.schema)
     return stream_to_table(M.predict(model, feed, ["match_id"]), "scores")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stakeflow.functions.semantics import as_time, ntz
@@ -11,17 +11,18 @@ from stakeflow.functions.semantics import as_time, ntz
 def export_report(df: DataFrame, path: str, fmt: str) -> DataFrame:
     """Write a csv or json report and return its record count and size in bytes.
 
-    The rows are counted while they are written.
+    The records are counted in the written files, so the source is read once.
     """
     if fmt not in ("csv", "json"):
         raise ValueError("format must be csv or json")
-    seen = Observation("export")
-    counted = df.observe(seen, F.count("*").alias("n"))
-    writer = counted.write.format(fmt)
+    writer = df.write.format(fmt)
     (writer.option("header", True) if fmt == "csv" else writer).save(path)
     spark = df.sparkSession
-    size = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{fmt}").load(path).agg(F.sum("length").alias("size"))
-    return size.select(F.lit(fmt).alias("format"), F.lit(seen.get["n"]).cast("long").alias("record_count"), "size")
+    reader = spark.read.schema(df.schema).format(fmt)
+    # quoted texts may hold line breaks
+    back = reader.options(header=True, multiLine=True).load(path) if fmt == "csv" else reader.load(path)
+    size = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{fmt}").load(path).agg(F.sum("length")).scalar()
+    return back.agg(F.count("*").alias("record_count")).select(F.lit(fmt).alias("format"), "record_count", size.alias("size"))
 
 
 def lake_refine(raw: DataFrame, path: str, clean: dict[str, Column], valid: Column, mapping: dict[str, str], day: Column) -> dict[str, DataFrame]:

@@ -15,13 +15,13 @@ from stakeflow.session import ROCKSDB, shared_dir
 from stakeflow.sources.tables import ENTITY_DDL
 
 
-def stream_source(spark: SparkSession, path: str | None = None, entity: str = "event_row", fmt: str = "parquet",
+def stream_source(spark: SparkSession, path: str | None = None, entity: str | StructType = "event_row", fmt: str = "parquet",
                   max_files: int = 1000, **options: str) -> DataFrame:
     """A feed: files of an entity, or a topic (``fmt="kafka"``) whose values are JSON documents.
 
     ``max_files`` (``maxOffsetsPerTrigger`` for topics) bounds a micro-batch.
     """
-    schema = ENTITY_DDL.get(entity, entity)
+    schema = entity if isinstance(entity, StructType) else ENTITY_DDL.get(entity, entity)
     if fmt == "kafka":
         raw = spark.readStream.format("kafka").options(**options).load()
         return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("m")).select("m.*")
