@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from stakeflow.functions import text as X
 from stakeflow.functions.rules import resolve
 from stakeflow.functions.semantics import r6, ratio
-from stakeflow.operators.scan import exact_quantiles, trailing_rows
+from stakeflow.operators.scan import attach, exact_quantiles, trailing_rows
 
 
 def _counts_to_rows(one: DataFrame, names: list[str], label: str, fields: list[str]) -> DataFrame:
@@ -149,7 +149,7 @@ def outliers(df: DataFrame, group: list[str], value: str, method: str, k: float
         bounds = q.select(*group, (F.col("q1") - span).alias("low"), (F.col("q3") + span).alias("high"))
     else:
         raise ValueError("method must be 'z' or 'iqr'")
-    return df.join(bounds, group).withColumn("low", r6(F.col("low"))).withColumn("high", r6(F.col("high"))).filter(
+    return attach(df, bounds, group, F.struct(*df.columns)).withColumn("low", r6(F.col("low"))).withColumn("high", r6(F.col("high"))).filter(
         (F.col(value) < F.col("low")) | (F.col(value) > F.col("high")))
 
 
@@ -183,7 +183,7 @@ def quality_report(df: DataFrame, columns: list[str], freshness: str | None = No
 def normalize(df: DataFrame, group: list[str], value: str, method: str) -> DataFrame:
     """Scale a column within its group to [0, 1] or to z-scores; constant groups give 0."""
     s = df.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.avg(value).alias("_m"), F.stddev_samp(value).alias("_sd"))
-    j = df.join(s, group)
+    j = attach(df, s, group, F.struct(*df.columns))
     v = F.col(value)
     if method == "minmax":
         scaled = F.coalesce(F.try_divide(v - F.col("_lo"), F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))), F.lit(0.0))

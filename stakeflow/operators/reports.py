@@ -11,7 +11,7 @@ from stakeflow.functions.semantics import confidence_level, ntz, r6, ratio, roi,
 from stakeflow.operators.aggregates import (
     ledger_aggs, ledger_report, prediction_aggs, prediction_report, settle_bets, standings_aggs, today_flag,
 )
-from stakeflow.operators.scan import top_per_key
+from stakeflow.operators.scan import attach, top_per_key
 
 
 def prediction_stats(predictions: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def best_odds(quotes: DataFrame) -> DataFrame:
 
 
 def odds_comparison(quotes: DataFrame) -> DataFrame:
-    return quotes.join(best_odds(quotes), ["match_id", "outcome"]).withColumn(
+    return attach(quotes, best_odds(quotes), ["match_id", "outcome"], F.struct("bookmaker", "odds", "quoted_at")).withColumn(
         "is_best", (F.col("odds") == F.col("best_odds")) & (F.col("bookmaker") == F.col("best_bookmaker")))
 
 
@@ -309,7 +309,7 @@ def similar_bets_evidence(bets: DataFrame) -> DataFrame:
     past = s.filter(F.col("status").isin("won", "lost")).groupBy(*keys).agg(
         F.count("*").alias("n"), r6(F.count_if(F.col("status") == "won") * 100 / F.count("*")).alias("win_rate"),
         r6(roi(F.sum("actual_return"), F.sum("stake"))).alias("roi"))
-    return bets.filter("status = 'pending'").join(past, keys, "left").select(
+    return attach(bets.filter("status = 'pending'"), past, keys, F.col("bet_id"), how="left").select(
         "bet_id", *keys, F.coalesce("n", F.lit(0)).alias("n"), "win_rate", "roi")
 
 

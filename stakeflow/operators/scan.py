@@ -1,10 +1,11 @@
-"""Ordered computations that stay parallel when one key holds most of the rows.
+"""Ordered and grouped computations that stay parallel when one key holds most of the rows.
 
 A plain window over ``partitionBy(user)`` sorts a whole user in one task. Here each key is cut
-into blocks along the order (an hour, a day, a narrow value range). Rows are windowed inside
-(key, block); every block is also reduced to one small row, and those summaries are windowed
-per key to give each block what came before it. The rows are shuffled once, on (key, block).
-The number of summaries per key is bounded by the number of blocks in the retention period.
+into blocks along the order (an hour, a day, a narrow value range). Every block is reduced to one
+small row, and these summaries are windowed per key to give each block what came before it. That
+carried row is put in front of its block, so an ordinary window inside (key, block) continues the
+running value. The rows are shuffled once, on (key, block), and never joined; the summaries per
+key are bounded by the number of blocks in the retention period.
 """
 
 from __future__ import annotations
@@ -42,97 +43,78 @@ def running(
     ``order`` must be unique inside a key.
     """
     names = list(specs)
-    rows = df.withColumn(BLOCK, block)
-    for n in names:
-        rows = rows.withColumn(f"_in_{n}", specs[n][1])
-    sort = [F.desc(c) if descending else F.asc(c) for c in order]
-    local = Window.partitionBy(*keys, BLOCK).orderBy(*sort)
-    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = local.rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn(BLOCK, block).withColumns({f"_in_{n}": _input(*specs[n]) for n in names})
     place = F.struct(*order)
+    newest, oldest = (F.min_by, F.max_by) if descending else (F.max_by, F.min_by)
 
-    partial, inside = [], {}
-    for n in names:
+    def partial(n: str) -> Column:
         kind, v = specs[n][0], F.col(f"_in_{n}")
-        newest = F.min_by if descending else F.max_by
-        oldest = F.max_by if descending else F.min_by
-        if kind in ("sum", "sum_before"):
-            partial.append(F.sum(v).alias(f"_p_{n}"))
-            inside[n] = F.sum(v).over(upto if kind == "sum" else before)
-        elif kind == "count":
-            partial.append(F.count(v).alias(f"_p_{n}"))
-            inside[n] = F.count(v).over(upto)
-        elif kind in ("max", "max_before"):
-            partial.append(F.max(v).alias(f"_p_{n}"))
-            inside[n] = F.max(v).over(upto if kind == "max" else before)
-        elif kind == "min":
-            partial.append(F.min(v).alias(f"_p_{n}"))
-            inside[n] = F.min(v).over(upto)
-        elif kind in ("last", "last_before"):
-            partial.append(newest(v, F.when(v.isNotNull(), place)).alias(f"_p_{n}"))
-            inside[n] = F.last(v, ignorenulls=True).over(upto if kind == "last" else before)
-        elif kind == "first":
-            partial.append(oldest(v, F.when(v.isNotNull(), place)).alias(f"_p_{n}"))
-            inside[n] = F.first(v, ignorenulls=True).over(upto)
-        elif kind == "lag":
-            # wrapped, so that a null value differs from "no earlier row"
-            partial.append(newest(F.struct(v.alias("v")), place).alias(f"_p_{n}"))
-            inside[n] = F.lag(F.struct(v.alias("v"))).over(local)
-        else:
-            raise ValueError(f"unknown running kind {kind}")
-
-    # computed before the join: the join keys are then a prefix of the existing sort order
-    windowed = rows.select(*df.columns, BLOCK, *[inside[n].alias(f"_l_{n}") for n in names])
-
-    chain = [F.desc(BLOCK) if descending else F.asc(BLOCK)]
-    earlier = (
-        Window.partitionBy(*(keys or [F.lit(0)]))
-        .orderBy(*chain)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    blocks = rows.groupBy(*keys, BLOCK).agg(*partial)
-    carried = []
-    for n in names:
-        kind, p = specs[n][0], F.col(f"_p_{n}")
         if kind in ("sum", "sum_before", "count"):
-            c = F.sum(p).over(earlier)
-        elif kind in ("max", "max_before"):
-            c = F.max(p).over(earlier)
-        elif kind == "min":
-            c = F.min(p).over(earlier)
-        elif kind == "first":
-            c = F.first(p, ignorenulls=True).over(earlier)
-        else:
-            c = F.last(p, ignorenulls=True).over(earlier)
-        carried.append(c.alias(f"_c_{n}"))
-    carry = blocks.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
-                          F.col(BLOCK).alias("_k_block"), *carried)
-    match = F.col(BLOCK).eqNullSafe(F.col("_k_block"))
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-
+            return F.sum(v)
+        if kind in ("max", "max_before"):
+            return F.max(v)
+        if kind == "min":
+            return F.min(v)
+        return (oldest if kind == "first" else newest)(v, F.when(v.isNotNull(), place))
+
+    # one row per block: what all earlier blocks of the key add up to
+    earlier = (Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc(BLOCK) if descending else F.asc(BLOCK))
+               .rowsBetween(Window.unboundedPreceding, -1))
+    blocks = rows.groupBy(*keys, BLOCK).agg(*[partial(n).alias(f"_in_{n}") for n in names])
+    carry = blocks.select(*keys, BLOCK, *[_running(specs[n][0], f"_in_{n}", earlier).alias(f"_in_{n}") for n in names],
+                          F.count("*").over(earlier).alias("_n")).filter("_n > 0").drop("_n")
+
+    line = rows.withColumn("_tag", F.lit(1)).unionByName(carry.withColumn("_tag", F.lit(0)), allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, BLOCK).orderBy("_tag", *[F.desc(c) if descending else F.asc(c) for c in order])
     out = []
     for n in names:
         kind = specs[n][0]
-        lo, ca = F.col(f"_l_{n}"), F.col(f"_c_{n}")
-        if kind in ("sum", "sum_before"):
-            v = F.when(lo.isNull() & ca.isNull(), F.lit(None)).otherwise(
-                F.coalesce(ca, F.lit(0)) + F.coalesce(lo, F.lit(0)))
-        elif kind == "count":
-            v = F.coalesce(ca, F.lit(0)) + lo
-        elif kind in ("max", "max_before"):
-            v = F.greatest(ca, lo)
-        elif kind == "min":
-            v = F.least(ca, lo)
-        elif kind == "first":
-            v = F.coalesce(ca, lo)
-        elif kind == "lag":
-            v = F.coalesce(lo, ca)["v"]
+        if kind == "lag":
+            out.append(F.lag(f"_in_{n}").over(inside)["v"].alias(n))
         else:
-            v = F.coalesce(lo, ca)
-        out.append(v.alias(n))
-    joined = windowed.join(carry, match, "left")
-    return joined.select(*[F.col(c) for c in df.columns], *out)
+            end = -1 if kind.endswith("_before") else Window.currentRow
+            out.append(_running(kind, f"_in_{n}", inside.rowsBetween(Window.unboundedPreceding, end)).alias(n))
+    return line.select(*df.columns, *out, "_tag").filter("_tag = 1").drop("_tag")
+
+
+KINDS = ("sum", "sum_before", "count", "max", "max_before", "min", "last", "last_before", "first", "lag")
+
+
+def _input(kind: str, value: Column) -> Column:
+    if kind not in KINDS:
+        raise ValueError(f"unknown running kind {kind!r}")
+    if kind == "count":
+        return F.when(value.isNotNull(), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+    # wrapped, so that a null value differs from "no earlier row"
+    return F.struct(value.alias("v")) if kind == "lag" else value
+
+
+def _running(kind: str, column: str, frame) -> Column:
+    base = kind.removesuffix("_before")
+    if base in ("sum", "count"):
+        return F.sum(column).over(frame)
+    if base in ("max", "min"):
+        return getattr(F, base)(column).over(frame)
+    return (F.first if base == "first" else F.last)(column, ignorenulls=True).over(frame)
+
+
+def attach(df: DataFrame, info: DataFrame, keys: list[str], salt: Column, salts: int = 32, how: str = "inner") -> DataFrame:
+    """Add the columns of ``info`` (one row per key) to every row with that key.
+
+    The same result as a join on ``keys``, for sides where one key may hold a large share of the
+    rows and the other side is already aggregated, a case that runtime skew handling does not
+    split. Rows are spread over (key, salt); each such group gets a copy of its key's info.
+    """
+    extra = [c for c in info.columns if c not in keys]
+    rows = df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)))
+    present = rows.select(*keys, "_salt").distinct()
+    copies = present.join(info.select(*keys, F.struct(*extra).alias("_info")), keys).withColumn("_tag", F.lit(0))
+    both = rows.withColumn("_tag", F.lit(1)).unionByName(copies, allowMissingColumns=True)
+    group = Window.partitionBy(*keys, "_salt").orderBy("_tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = both.withColumn("_info", F.first("_info").over(group)).filter("_tag = 1")
+    if how == "inner":
+        out = out.filter(F.col("_info").isNotNull())
+    return out.select(*df.columns, *[F.col(f"_info.`{c}`").alias(c) for c in extra])
 
 
 def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -162,7 +144,7 @@ def ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.coalesce(F.try_divide(F.col("below").cast("double"),
                                 (F.col("total") - 1).cast("double")), F.lit(0.0)).alias("percentile"),
     )
-    return df.join(ranks, [*keys, value])
+    return attach(df, ranks, [*keys, value], F.struct(*df.columns))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:

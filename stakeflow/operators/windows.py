@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stakeflow.functions.semantics import r6, ratio
 from stakeflow.operators.aggregates import settle_bets
 from stakeflow.operators.scan import (
-    BLOCK, ranked, running, time_block, top_per_key, trailing_rows, trailing_time,
+    BLOCK, attach, ranked, running, time_block, top_per_key, trailing_rows, trailing_time,
 )
 
 BET_ORDER = ["placed_at", "bet_id"]
@@ -223,9 +223,9 @@ def loss_chasing(bets: DataFrame, key: str = "user_id") -> DataFrame:
     mean = done.groupBy(key).agg(r6(F.avg("stake")).alias("mean_stake"))
     after = F.col("_prev") == "lost"
     chase = after & (F.col("stake") > F.col("mean_stake"))
-    return prior.join(mean, key).groupBy(key).agg(
+    return attach(prior, mean, [key], F.col("bet_id")).groupBy(key).agg(
         F.max("mean_stake").alias("mean_stake"),
-        r6(F.avg(F.when(after, F.col("stake")))).alias("mean_stake_after_loss"),
+        F.round(F.avg(F.when(after, F.col("stake"))), 8).alias("mean_stake_after_loss"),
         F.count_if(chase).alias("chasing_bets"),
         r6(F.coalesce(F.sum(F.when(chase, F.col("profit"))), F.lit(0.0))).alias("chasing_profit"))
 
@@ -233,7 +233,7 @@ def loss_chasing(bets: DataFrame, key: str = "user_id") -> DataFrame:
 def current_session(activity: DataFrame) -> DataFrame:
     """Flag the user's latest activity as the current session."""
     latest = activity.groupBy("user_id").agg(F.max(F.struct("ts", "event_id"))["event_id"].alias("_latest"))
-    return activity.join(latest, "user_id").withColumn(
+    return attach(activity, latest, ["user_id"], F.col("event_id")).withColumn(
         "is_current", F.col("event_id") == F.col("_latest")).drop("_latest")
 
 

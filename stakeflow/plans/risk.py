@@ -156,7 +156,7 @@ def _(t):
 @query("loss_chasing", "v_bet", f"""WITH {SETTLED}, x AS (SELECT user_id, stake, profit,
      lag(status) OVER (PARTITION BY user_id ORDER BY placed_at, bet_id) AS prev FROM s WHERE settled),
    m AS (SELECT user_id, round(avg(stake), 6) AS mean_stake FROM x GROUP BY user_id)
-  SELECT user_id, max(mean_stake) AS mean_stake, round(avg(stake) FILTER (prev = 'lost'), 6) AS mean_stake_after_loss,
+  SELECT user_id, max(mean_stake) AS mean_stake, round(avg(stake) FILTER (prev = 'lost'), 8) AS mean_stake_after_loss,
     count(*) FILTER (prev = 'lost' AND stake > mean_stake) AS chasing_bets,
     round(COALESCE(sum(profit) FILTER (prev = 'lost' AND stake > mean_stake), 0), 6) AS chasing_profit
   FROM x JOIN m USING (user_id) GROUP BY user_id""")
