@@ -133,25 +133,29 @@ def _poisson(rate: Column, k: int) -> Column:
 def poisson_grid(rates: DataFrame, max_goals: int = 6) -> DataFrame:
     """Market probabilities of the score grid up to ``max_goals`` each, as column arithmetic.
 
-    The grid has a fixed size, so it is summed inside each row instead of being exploded.
+    Goals of the sides are independent, so each market is a sum of products of one side's
+    probabilities with the other side's cumulative ones; no grid rows are made.
     """
     n = range(max_goals + 1)
     px = rates.select("*", *[_poisson(F.col("lh"), k).alias(f"h{k}") for k in n], *[_poisson(F.col("la"), k).alias(f"a{k}") for k in n])
+    h, a = [F.col(f"h{k}") for k in n], [F.col(f"a{k}") for k in n]
+    for side, p in (("ch", h), ("ca", a)):
+        for k in n:
+            px = px.withColumn(f"{side}{k}", p[k] if k == 0 else F.col(f"{side}{k - 1}") + p[k])
+    ch, ca = [F.col(f"ch{k}") for k in n], [F.col(f"ca{k}") for k in n]
 
-    def total(keep) -> Column:
+    def total(terms) -> Column:
         out = F.lit(0.0)
-        for i in n:
-            for j in n:
-                if keep(i, j):
-                    out = out + F.col(f"h{i}") * F.col(f"a{j}")
+        for t in terms:
+            out = out + t
         return out
 
-    sd = F.sqrt(F.col("lh") + F.col("la"))
-    mean = F.col("lh") + F.col("la")
+    low = total(h[i] * a[j] for i in range(3) for j in range(3 - i))
+    sd, mean = F.sqrt(F.col("lh") + F.col("la")), F.col("lh") + F.col("la")
     return px.select(
-        "match_id", r6(total(lambda i, j: i > j)).alias("p_home"), r6(total(lambda i, j: i == j)).alias("p_draw"),
-        r6(total(lambda i, j: i < j)).alias("p_away"), r6(total(lambda i, j: i + j > 2)).alias("over_2_5"),
-        r6(total(lambda i, j: i > 0 and j > 0)).alias("btts"), r6(mean).alias("goals_mean"), r6(sd).alias("goals_std"),
+        "match_id", r6(total(h[i] * ca[i - 1] for i in n if i)).alias("p_home"), r6(total(h[i] * a[i] for i in n)).alias("p_draw"),
+        r6(total(a[j] * ch[j - 1] for j in n if j)).alias("p_away"), r6(ch[-1] * ca[-1] - low).alias("over_2_5"),
+        r6((ch[-1] - h[0]) * (ca[-1] - a[0])).alias("btts"), r6(mean).alias("goals_mean"), r6(sd).alias("goals_std"),
         r6(F.greatest(F.lit(0.0), mean - sd)).alias("goals_low"), r6(mean + sd).alias("goals_high"))
 
 

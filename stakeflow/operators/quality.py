@@ -46,8 +46,15 @@ def pii_scan(docs: DataFrame, text: str = "text") -> DataFrame:
 def attack_scan(docs: DataFrame, text: str) -> DataFrame:
     """One flag per injection and scripting pattern."""
     flags = {**X.SQL_PATTERNS, **X.XSS_PATTERNS}
+    assigns = F.col(text).contains("=")
+
+    def flag(name: str, pattern: str) -> Column:
+        # these patterns end in "=": texts without one skip the scan
+        hit = F.col(text).rlike(pattern)
+        return (assigns & hit) if name in ("sql_or", "sql_and", "xss_handler") else hit
+
     return docs.select(
-        *[c for c in docs.columns if c != text], *[F.col(text).rlike(p).alias(n) for n, p in flags.items()]
+        *[c for c in docs.columns if c != text], *[flag(n, p).alias(n) for n, p in flags.items()]
     ).withColumn("sql_injection", _any(X.SQL_PATTERNS)).withColumn("xss", _any(X.XSS_PATTERNS))
 
 

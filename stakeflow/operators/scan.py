@@ -17,7 +17,10 @@ BLOCK = "_block"
 
 
 def time_block(ts: str | Column, unit: str = "hour") -> Column:
-    """Block of a timestamp: its unit (hour, day, month) start."""
+    """Block of a timestamp: its unit start (second, minute, hour, day, month).
+
+    One key's rows within the unit go to one task, so dense feeds take a finer unit.
+    """
     return F.date_trunc(unit, ts)
 
 
@@ -98,13 +101,16 @@ def _running(kind: str, column: str, frame) -> Column:
     return (F.first if base == "first" else F.last)(column, ignorenulls=True).over(frame)
 
 
-def attach(df: DataFrame, info: DataFrame, keys: list[str], salt: Column, salts: int = 32, how: str = "inner") -> DataFrame:
+def attach(df: DataFrame, info: DataFrame, keys: list[str], salt: Column, salts: int | None = None,
+           how: str = "inner") -> DataFrame:
     """Add the columns of ``info`` (one row per key) to every row with that key.
 
     The same result as a join on ``keys``, for sides where one key may hold a large share of the
     rows and the other side is already aggregated, a case that runtime skew handling does not
-    split. Rows are spread over (key, salt); each such group gets a copy of its key's info.
+    split. Rows are spread over (key, salt); each such group gets a copy of its key's info. There
+    are as many salts as shuffle partitions unless given, so even a single key reaches every task.
     """
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     extra = [c for c in info.columns if c not in keys]
     rows = df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)))
     present = rows.select(*keys, "_salt").distinct()
@@ -182,16 +188,18 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int,
 
 
 def trailing_rows(df: DataFrame, keys: list[str], order: list[str], block: Column, n: int,
-                  aggs: dict[str, Column], chunk: int = 4096) -> DataFrame:
+                  aggs: dict[str, Column], also: dict[str, tuple[str, Column]] | None = None, chunk: int = 4096) -> DataFrame:
     """Aggregates over the ``n`` rows before each row of a key.
 
+    ``also`` adds running values, see :func:`running`, from the pass that numbers the rows.
+
     Rows get their position, then are windowed in chunks of positions; the last ``n`` rows of a
     chunk are copied into the next one, so every frame is complete inside its chunk.
     """
     size = max(chunk, n)
     at = F.col("_pos") - 1
     home = F.floor(at / size)
-    pos = running(df, keys, order, block, {"_pos": ("count", F.lit(1))})
+    pos = running(df, keys, order, block, {"_pos": ("count", F.lit(1)), **(also or {})})
     spread = pos.withColumn("_home", home).withColumn("_chunk", F.explode(
         F.when(at % size >= size - n, F.array(home, home + 1)).otherwise(F.array(home))))
     frame = Window.partitionBy(*keys, "_chunk").orderBy("_pos").rowsBetween(-n, -1)

@@ -197,9 +197,8 @@ def rolling_team_features(sides: DataFrame, n: int = 5) -> DataFrame:
     """Goals over the last ``n`` matches, head-to-head win rate and rest days, all before kick-off."""
     order, block = ["match_date", "match_id"], time_block("match_date", "day")
     goals = trailing_rows(sides, ["team"], order, block, n, {
-        "gf_sum": F.sum("gf"), "ga_sum": F.sum("ga"), "last_n": F.count("*")})
-    rest = running(goals, ["team"], order, block, {"_previous": ("lag", F.col("match_date"))})
-    pair = running(rest, ["team", "opponent"], order, block, {
+        "gf_sum": F.sum("gf"), "ga_sum": F.sum("ga"), "last_n": F.count("*")}, also={"_previous": ("lag", F.col("match_date"))})
+    pair = running(goals, ["team", "opponent"], order, block, {
         "_met": ("sum_before", F.lit(1)), "_beat": ("sum_before", (F.col("result") == "W").cast("long"))})
     return pair.select(
         "team", "match_id", "last_n", r6(F.try_divide(F.col("gf_sum"), F.col("last_n"))).alias("goals_for_avg"),
@@ -240,10 +239,9 @@ def current_session(activity: DataFrame) -> DataFrame:
 def live_probability_shift(updates: DataFrame, n: int = 3) -> DataFrame:
     """Change since the pre-match confidence, shift per key event, sign of the last ``n`` shifts."""
     order, block = ["ts", "update_id"], time_block("ts")
-    out = running(updates, ["prediction_id"], order, block, {
-        "_prev": ("lag", F.col("confidence")), "pre_match": ("first", F.col("confidence"))})
     # the last n shifts add up to now minus the value n rows back
-    out = trailing_rows(out, ["prediction_id"], order, block, n, {"_back": F.first("confidence")})
+    out = trailing_rows(updates, ["prediction_id"], order, block, n, {"_back": F.first("confidence")}, also={
+        "_prev": ("lag", F.col("confidence")), "pre_match": ("first", F.col("confidence"))})
     return out.select(
         "prediction_id", "update_id", "key_event", "confidence", "pre_match",
         (F.col("confidence") - F.col("pre_match")).alias("change"),

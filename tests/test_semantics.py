@@ -214,3 +214,14 @@ def test_batch_predict_refuses_long_lists(spark):
     assert batch_predict(spark.range(2).withColumnRenamed("id", "match_id"), scored).filter("error IS NULL").count() == 1
     with pytest.raises(Exception, match="at most 50"):
         batch_predict(spark.range(60).withColumnRenamed("id", "match_id"), scored).collect()
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv"])
+def test_scan_entity_formats(spark, tables, fmt):
+    from stakeflow.session import shared_dir
+    from stakeflow.sources.tables import scan_entity
+    out = shared_dir(spark, f"scan-{fmt}")
+    tables.events.write.format(fmt).option("header", True).save(out)
+    back = scan_entity(spark, out, "event_row", fmt, header="true")
+    assert back.schema.simpleString() == tables.events.schema.simpleString()
+    assert back.exceptAll(tables.events).count() == 0
