@@ -198,7 +198,8 @@ def rolling_team_features(sides: DataFrame, n: int = 5) -> DataFrame:
     order, block = ["match_date", "match_id"], time_block("match_date", "day")
     goals = trailing_rows(sides, ["team"], order, block, n, {
         "gf_sum": F.sum("gf"), "ga_sum": F.sum("ga"), "last_n": F.count("*")}, also={"_previous": ("lag", F.col("match_date"))})
-    pair = running(goals, ["team", "opponent"], order, block, {
+    # a pair meets rarely: wider blocks, fewer carried rows
+    pair = running(goals, ["team", "opponent"], order, time_block("match_date", "month"), {
         "_met": ("sum_before", F.lit(1)), "_beat": ("sum_before", (F.col("result") == "W").cast("long"))})
     return pair.select(
         "team", "match_id", "last_n", r6(F.try_divide(F.col("gf_sum"), F.col("last_n"))).alias("goals_for_avg"),

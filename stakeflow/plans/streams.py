@@ -95,6 +95,20 @@ def _(t):
     return L.fixed_window_limit(t.events.withColumnRenamed("event_id", "request_id"), "user_id", ((2, 86400), (5, 259200)))
 
 
+@query("endpoint_limit", "", """WITH RECURSIVE l AS (SELECT * FROM (VALUES ('click', 1, 86400), ('purchase', 2, 172800), ('error', 1, 43200)) v(event_type, n, s)),
+   e AS (SELECT event_id, user_id, event_type, n, s, epoch_us(ts) / 1000000.0::DOUBLE AS now FROM events JOIN l USING (event_type)),
+   w AS (SELECT user_id, event_type, min(now) AS start FROM e GROUP BY 1, 2
+     UNION ALL SELECT e.user_id, e.event_type, min(e.now) FROM w JOIN e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.now >= w.start + e.s GROUP BY 1, 2, w.start),
+   c AS (SELECT e.event_id, e.n AS lim, e.s, e.now, w.start, row_number() OVER (PARTITION BY e.user_id, e.event_type, w.start ORDER BY e.now, e.event_id) AS k
+     FROM e JOIN w ON w.user_id = e.user_id AND w.event_type = e.event_type AND e.now >= w.start AND e.now < w.start + e.s)
+  SELECT event_id AS request_id, k <= lim AS allowed, CASE WHEN k <= lim THEN 0 ELSE greatest(1, CAST(floor(start + s - now) AS BIGINT)) END AS retry_after FROM c""")
+def _(t):
+    limits = t.spark.createDataFrame(
+        [("feed", "click", 1, 86400), ("feed", "purchase", 2, 172800), ("feed", "error", 1, 43200)], "area string, action string, requests int, seconds int")
+    req = t.events.select(F.col("event_id").alias("request_id"), "user_id", "ts", F.lit("feed").alias("area"), F.col("event_type").alias("action"))
+    return L.endpoint_limit(req, limits)
+
+
 @query("fixed_window_stream", "", _fixed(((2, 86400),)))
 def _(t):
     feed = _feed(t).select(F.col("event_id").alias("request_id"), "user_id", "ts", F.concat(F.lit("10.0.0."), (F.col("user_id") % 250).cast("string")).alias("ip"))

@@ -65,6 +65,9 @@ def scan_entity(spark: SparkSession, path: str, schema: str | T.StructType, fmt:
     return spark.read.format(fmt).schema(schema).options(**options).load(path)
 
 
+_SCHEMAS: dict[tuple[str, str], T.StructType] = {}
+
+
 class Tables:
     """Raw tables and adapter views of one data folder, built on first use."""
 
@@ -76,7 +79,12 @@ class Tables:
         return f"{self.path}/{name}.parquet"
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.file(name))
+        """A raw table; its footer is read for the schema once per session and path."""
+        path = self.file(name)
+        key = (self.spark.sparkContext.applicationId, path)
+        if key not in _SCHEMAS:
+            _SCHEMAS[key] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[key]).parquet(path)
 
     def view(self, name: str) -> DataFrame:
         text = render(name, "spark")
