@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from stakeflow.functions.semantics import as_time, ntz
 
 
+# Text formats cut timestamps to milliseconds by default; these keep microseconds.
+TEXT_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def export_report(df: DataFrame, path: str, fmt: str) -> DataFrame:
     """Write a csv or json report and return its record count and size in bytes.
 
@@ -15,10 +19,10 @@ def export_report(df: DataFrame, path: str, fmt: str) -> DataFrame:
     """
     if fmt not in ("csv", "json"):
         raise ValueError("format must be csv or json")
-    writer = df.write.format(fmt)
+    writer = df.write.format(fmt).options(**TEXT_TIMES)
     (writer.option("header", True) if fmt == "csv" else writer).save(path)
     spark = df.sparkSession
-    reader = spark.read.schema(df.schema).format(fmt)
+    reader = spark.read.schema(df.schema).format(fmt).options(**TEXT_TIMES)
     # quoted texts may hold line breaks
     back = reader.options(header=True, multiLine=True).load(path) if fmt == "csv" else reader.load(path)
     size = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{fmt}").load(path).agg(F.sum("length")).scalar()

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from stakeflow.operators.fold import FixedWindow, TokenBucket
 from stakeflow.session import ROCKSDB, shared_dir
+from stakeflow.sources.sinks import TEXT_TIMES
 from stakeflow.sources.tables import ENTITY_DDL
 
 
@@ -24,7 +25,7 @@ def stream_source(spark: SparkSession, path: str | None = None, entity: str | St
     schema = entity if isinstance(entity, StructType) else ENTITY_DDL.get(entity, entity)
     if fmt == "kafka":
         raw = spark.readStream.format("kafka").options(**options).load()
-        return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("m")).select("m.*")
+        return raw.select(F.from_json(F.col("value").cast("string"), schema, TEXT_TIMES).alias("m")).select("m.*")
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files).options(**options).load(path)
 
 
@@ -58,7 +59,7 @@ def stream_to_table(stream: DataFrame, label: str, mode: str = "append", keys: l
 
 def topic_sink(stream: DataFrame, checkpoint: str, key: str, **options: str):
     """Start a query that writes rows as JSON values to a topic."""
-    out = stream.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*stream.columns)).alias("value"))
+    out = stream.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*stream.columns), TEXT_TIMES).alias("value"))
     return out.writeStream.format("kafka").option("checkpointLocation", checkpoint).options(**options).start()
 
 

@@ -219,9 +219,22 @@ def test_batch_predict_refuses_long_lists(spark):
 @pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv"])
 def test_scan_entity_formats(spark, tables, fmt):
     from stakeflow.session import shared_dir
+    from stakeflow.sources.sinks import TEXT_TIMES
     from stakeflow.sources.tables import scan_entity
     out = shared_dir(spark, f"scan-{fmt}")
-    tables.events.write.format(fmt).option("header", True).save(out)
-    back = scan_entity(spark, out, "event_row", fmt, header="true")
+    options = {"header": "true", "escape": '"', **TEXT_TIMES} if fmt in ("csv", "json") else {}
+    tables.events.write.format(fmt).options(**options).save(out)
+    back = scan_entity(spark, out, "event_row", fmt, **options)
     assert back.schema.simpleString() == tables.events.schema.simpleString()
     assert back.exceptAll(tables.events).count() == 0
+
+
+def test_export_keeps_values(spark, tables):
+    from stakeflow.session import shared_dir
+    from stakeflow.sources.sinks import TEXT_TIMES, export_report
+    for fmt in ("csv", "json"):
+        out = shared_dir(spark, "export-test")
+        r = export_report(tables.bet, out, fmt).first()
+        assert r.record_count == 1000 and r["size"] > 10000
+        back = spark.read.schema(tables.bet.schema).format(fmt).options(header=True, **TEXT_TIMES).load(out)
+        assert back.exceptAll(tables.bet).count() == 0
