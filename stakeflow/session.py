@@ -42,10 +42,12 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder for written tables and stream checkpoints.
 
-    The cluster names its shared storage in ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) is a local temporary folder used.
+    The cluster names its shared storage in ``spark.checkpoint.dir``; a local temporary folder is
+    used only where that is unset and the session runs on one machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="stakeflow-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
