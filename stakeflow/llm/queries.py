@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stakeflow.llm import mixing, packing
+from stakeflow.llm import langid, mixing, packing, tokens, toxicity
 from stakeflow.session import configure
 from stakeflow.sources import Tables
 
@@ -15,6 +15,15 @@ def _tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(configure(spark), sf_dir)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_tables(spark, sf_dir).documents)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    return toxicity.score_toxicity(t.documents, t.labels)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_tables(spark, sf_dir).documents)
 
@@ -23,8 +32,12 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_tables(spark, sf_dir).documents).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_language(_tables(spark, sf_dir).documents)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_best_fit_packing, op7_source_mixing)
+    f.__name__: f for f in (op1_token_counts, op3_toxicity, op5_best_fit_packing, op7_source_mixing, op9_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_source_mixing": mixing.MIX_SQL}
