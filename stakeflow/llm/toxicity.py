@@ -221,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
                 r["term"] for r in rows.select("toxic", F.explode("terms").alias("term"))
                 .groupBy("term").agg(F.count("*").alias("seen"), F.sum("toxic").alias("bad"))
                 .withColumn("z", (F.col("bad") - seen * F.lit(rate)) / spread)
-                .filter((seen >= 4) & (F.col("z") >= 5) & (2 * (F.col("bad") + 1) >= seen + 2))
+                .filter((seen >= 4) & (F.col("z") >= 7) & (2 * (F.col("bad") + 1) >= seen + 2))
                 .orderBy(F.desc("z"), "term").limit(max_terms).collect()
             )
         place = {t: i for i, t in enumerate(kept)}
