@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stakeflow.llm import langid, mixing, packing, tokens, toxicity
+from stakeflow.llm import langid, minhash, mixing, packing, tokens, toxicity
 from stakeflow.session import configure
 from stakeflow.sources import Tables
 
@@ -24,6 +24,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(t.documents, t.labels)
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_copies(_tables(spark, sf_dir).documents)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_tables(spark, sf_dir).documents)
 
@@ -37,7 +41,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_toxicity, op5_best_fit_packing, op7_source_mixing, op9_language_id)
+    f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_near_dedup, op5_best_fit_packing, op7_source_mixing, op9_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_source_mixing": mixing.MIX_SQL}
