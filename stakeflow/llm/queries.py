@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stakeflow.llm import langid, minhash, mixing, packing, tokens, toxicity
+from stakeflow.llm import html, langid, minhash, mixing, packing, tokens, toxicity
 from stakeflow.session import configure
 from stakeflow.sources import Tables
 
@@ -19,6 +19,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_tables(spark, sf_dir).documents)
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(_tables(spark, sf_dir).pages)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tables(spark, sf_dir)
     return toxicity.score_toxicity(t.documents, t.labels)
@@ -41,7 +45,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_near_dedup, op5_best_fit_packing, op7_source_mixing, op9_language_id)
+    f.__name__: f for f in (op1_token_counts, op2_main_text, op3_toxicity, op4_near_dedup, op5_best_fit_packing, op7_source_mixing, op9_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_source_mixing": mixing.MIX_SQL}
