@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stakeflow.llm import html, langid, minhash, mixing, packing, tokens, toxicity
+from stakeflow.llm import ann, html, langid, minhash, mixing, packing, tokens, toxicity, vectors
 from stakeflow.session import configure
 from stakeflow.sources import Tables
 
@@ -40,12 +41,21 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_tables(spark, sf_dir).documents).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_tables(spark, sf_dir).embeddings)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_language(_tables(spark, sf_dir).documents)
 
 
+def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_vectors(_tables(spark, sf_dir).embeddings, F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_main_text, op3_toxicity, op4_near_dedup, op5_best_fit_packing, op7_source_mixing, op9_language_id)
+    f.__name__: f for f in (op1_token_counts, op2_main_text, op3_toxicity, op4_near_dedup, op5_best_fit_packing, op7_source_mixing,
+        op8_vector_dedup, op9_language_id, op10_nearest_vectors)
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_source_mixing": mixing.MIX_SQL}
