@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stakeflow.llm import ann, html, langid, minhash, mixing, packing, tokens, toxicity, vectors
+from stakeflow.llm import ann, html, langid, minhash, mixing, packing, passages, tokens, toxicity, vectors
 from stakeflow.session import configure
 from stakeflow.sources import Tables
 
@@ -37,6 +37,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_tables(spark, sf_dir).documents)
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_tables(spark, sf_dir).documents)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_tables(spark, sf_dir).documents).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -54,8 +58,11 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_main_text, op3_toxicity, op4_near_dedup, op5_best_fit_packing, op7_source_mixing,
-        op8_vector_dedup, op9_language_id, op10_nearest_vectors)
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_main_text, op3_toxicity, op4_near_dedup, op5_best_fit_packing,
+        op6_repeated_passages, op7_source_mixing, op8_vector_dedup, op9_language_id, op10_nearest_vectors,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_source_mixing": mixing.MIX_SQL}
