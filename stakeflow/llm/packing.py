@@ -156,7 +156,8 @@ def place_pieces(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarr
 def pack_pieces(pieces: DataFrame, capacity: int = 2048, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of at most ``capacity``.
 
-    The shard of a piece is a hash of its document and number, so no source or document fills one.
+    The shard of a piece is a hash of its document, number and place in the table, so neither a
+    source nor a document id that fills a third of the rows fills one.
     The number of shards follows the number of pieces; sequence ids are unique over all shards.
     """
     shards = max(1, -(-pieces.count() // shard_pieces))
@@ -170,7 +171,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, shard_pieces: int = SHA
             "offset", pa.array(offsets))
 
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
-    shard = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("long")
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(64))
+    shard = F.pmod(F.xxhash64("doc_id", "piece", spread), F.lit(shards)).cast("long")
     return pieces.withColumn("shard", shard).groupBy("shard").applyInArrow(pack, schema)
 
 

@@ -1,7 +1,8 @@
 """Toxicity scores by nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words and word stems (first four and five letters, so inflected forms meet). On a bounded
-sample of labelled rows the terms whose presence goes with the label are kept; examples are TF-IDF
+sample of labelled rows the terms are kept whose presence goes with the label more than chance would
+make of all terms tested; examples are TF-IDF
 vectors over them, held in an inverted index whose posting lists are cut into blocks of examples
 with the largest weight of each block. A query walks the blocks in the order of their upper bounds
 and stops once no block can beat its k-th best example, so the neighbours are exact. Their votes,
@@ -215,15 +216,20 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
         rate = toxic / n if n else 0.0
         kept: list[str] = []
         if 0 < toxic < n:
-            seen = F.col("seen")
-            spread = F.sqrt(seen * F.lit(rate * (1 - rate)))
+            stats = (
+                rows.select("toxic", F.explode("terms").alias("term")).groupBy("term")
+                .agg(F.count("*").alias("seen"), F.sum("toxic").alias("bad")).filter("seen >= 4").persist()
+            )
+            share = F.col("bad") / F.col("seen")
+            clean = F.when(share < 1, (1 - share) * F.log((1 - share) / F.lit(1 - rate))).otherwise(0.0)
+            # Chernoff bound on so many toxic examples by chance, in nats
+            surprise = F.col("seen") * (share * F.log(share / F.lit(rate)) + clean)
             kept = sorted(
-                r["term"] for r in rows.select("toxic", F.explode("terms").alias("term"))
-                .groupBy("term").agg(F.count("*").alias("seen"), F.sum("toxic").alias("bad"))
-                .withColumn("z", (F.col("bad") - seen * F.lit(rate)) / spread)
-                .filter((seen >= 4) & (F.col("z") >= 7) & (2 * (F.col("bad") + 1) >= seen + 2))
-                .orderBy(F.desc("z"), "term").limit(max_terms).collect()
+                r["term"] for r in stats.filter((share > rate) & (2 * F.col("bad") >= F.col("seen")))
+                .withColumn("surprise", surprise).filter(F.col("surprise") >= F.lit(math.log(max(stats.count(), 1))))
+                .orderBy(F.desc("surprise"), "term").limit(max_terms).collect()
             )
+            stats.unpersist()
         place = {t: i for i, t in enumerate(kept)}
         some = rows.select(
             "doc_id", "toxic",
