@@ -106,6 +106,8 @@ def passage_documents():
     docs = [(200 + i, f"{prose(600 + i, 30)} {shared} {prose(700 + i, 25)}") for i in range(12)]
     docs += [(300, prose(800, 20) + " " + " ".join(near)), (301, " ".join(changed) + " " + prose(801, 70))]
     docs += [(310, prose(810, 49) + " " + prose(811, 60)), (311, prose(810, 49) + " " + prose(812, 60))]  # one word short
+    docs += [(330, prose(830, 30) + " the" * 400 + " " + prose(831, 30)), (331, prose(832, 60) + " the" * 300 + " " + prose(831, 30))]  # cycles
+    docs += [(332, prose(833, 40) + " one two three" * 90), (333, "two three" + " one two three" * 60 + prose(834, 20))]
     docs += [(320, f"{prose(820, 60)} {prose(821, 9)} {prose(820, 60)}")]  # a repeat inside one document
     return docs
 
