@@ -75,7 +75,7 @@ def uuid(version: int | None = None) -> Rule:
     def check(c: Column) -> Column:
         bare = F.regexp_replace(F.regexp_replace(c, "urn:|uuid:", ""), r"^[{}]+|[{}]+$|-", "")
         ok = bare.rlike("^[0-9a-fA-F]{32}$")
-        return ok & (F.substring(bare, 13, 1) == str(version)) if version else ok
+        return ok & (F.substring(bare, 13, 1) == str(version)) & bare.rlike("^.{16}[89abAB]") if version else ok
     return check
 
 

@@ -142,7 +142,8 @@ def bias_report(performance: DataFrame, overall: DataFrame, segment: str) -> Dat
     return performance.select(segment, "n", "accuracy", "brier", r6(F.col("accuracy") - base).alias("accuracy_gap"))
 
 
-MAX_QUERY_VECTORS = 256
+#: Queries that are scored together.
+QUERY_BLOCK = 256
 
 
 def centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
@@ -154,17 +155,21 @@ def centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
 def similar_matches(queries: DataFrame, candidates: DataFrame, qid: str, cid: str, vector: str, k: int) -> DataFrame:
     """``k`` candidates with the highest cosine similarity for each query vector, exactly.
 
-    The queries are a short list (at most ``MAX_QUERY_VECTORS``, checked), carried along as one
-    array value; candidates are scanned once and cut to k per task before the shuffle.
+    The queries are dealt into blocks of about ``QUERY_BLOCK``; candidates are scanned against one block
+    array at a time and cut to k per task before the shuffle. Norms are taken once per vector.
     """
     from stakeflow.operators.scan import top_per_key
-    many = F.size("_q") <= MAX_QUERY_VECTORS
-    packed = queries.groupBy().agg(F.collect_list(F.struct(F.col(qid).alias("qid"), F.col(vector).alias("v"))).alias("_q")).select(
-        F.when(many, F.col("_q")).otherwise(F.raise_error(F.lit("too many query vectors"))).alias("_q")).scalar()
 
     def dot(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
-    scored = candidates.select(cid, F.col(vector).alias("_c"), F.explode(packed).alias("q")).select(
-        F.col("q.qid").alias(qid), cid, r6(dot(F.col("q.v"), F.col("_c")) / (F.sqrt(dot(F.col("q.v"), F.col("q.v"))) * F.sqrt(dot(F.col("_c"), F.col("_c"))))).alias("similarity"))
+    def sides(df: DataFrame, ident: str, name: str) -> DataFrame:
+        v = df.select(F.col(ident).alias(name), F.col(vector).cast("array<double>").alias("v"))
+        return v.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
+
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    packed = sides(queries, qid, "qid").groupBy(F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("_block")).agg(
+        F.collect_list(F.struct("qid", "v", "norm")).alias("_q")).select("_q")
+    scored = sides(candidates, cid, "cid").join(packed).select("cid", "v", "norm", F.explode("_q").alias("q")).select(
+        F.col("q.qid").alias(qid), F.col("cid").alias(cid), r6(dot(F.col("q.v"), F.col("v")) / (F.col("q.norm") * F.col("norm"))).alias("similarity"))
     return top_per_key(scored, [qid], [F.desc("similarity"), F.asc(cid)], k, F.col(cid))

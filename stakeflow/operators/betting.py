@@ -126,37 +126,37 @@ def goal_rates(matches: DataFrame, strength: DataFrame) -> DataFrame:
         (F.col("aa") * F.col("hd") * F.col("league_mean")).alias("la"))
 
 
-def _poisson(rate: Column, k: int) -> Column:
-    return F.exp(-rate) * F.pow(rate, F.lit(float(k))) / math.factorial(k)
-
+def poisson_grid(rates: DataFrame) -> DataFrame:
+    """Market probabilities of two independent Poisson scores.
 
-def poisson_grid(rates: DataFrame, max_goals: int = 6) -> DataFrame:
-    """Market probabilities of the score grid up to ``max_goals`` each, as column arithmetic.
-
-    Goals of the sides are independent, so each market is a sum of products of one side's
-    probabilities with the other side's cumulative ones; no grid rows are made.
+    Totals and both-to-score have closed forms. The winner is a sum over scores, taken per row up to
+    where both tails are below 1e-12; what is left of one goes to the side with the higher rate.
+    No grid rows are made.
     """
-    n = range(max_goals + 1)
-    px = rates.select("*", *[_poisson(F.col("lh"), k).alias(f"h{k}") for k in n], *[_poisson(F.col("la"), k).alias(f"a{k}") for k in n])
-    h, a = [F.col(f"h{k}") for k in n], [F.col(f"a{k}") for k in n]
-    for side, p in (("ch", h), ("ca", a)):
-        for k in n:
-            px = px.withColumn(f"{side}{k}", p[k] if k == 0 else F.col(f"{side}{k - 1}") + p[k])
-    ch, ca = [F.col(f"ch{k}") for k in n], [F.col(f"ca{k}") for k in n]
-
-    def total(terms) -> Column:
-        out = F.lit(0.0)
-        for t in terms:
-            out = out + t
-        return out
-
-    low = total(h[i] * a[j] for i in range(3) for j in range(3 - i))
-    sd, mean = F.sqrt(F.col("lh") + F.col("la")), F.col("lh") + F.col("la")
+    lh, la = F.col("lh"), F.col("la")
+    mean, sd = lh + la, F.sqrt(lh + la)
+    top = F.greatest(lh, la)
+    last = F.ceil(top + F.sqrt(top) * 9 + 20).cast("int")
+
+    def step(s: Column, k: Column) -> Column:
+        h, a = s["h"] * lh / k, s["a"] * la / k
+        return F.struct(
+            h.alias("h"), a.alias("a"), (s["ch"] + h).alias("ch"), (s["ca"] + a).alias("ca"), (s["home"] + h * s["ca"]).alias("home"),
+            (s["draw"] + h * a).alias("draw"), (s["away"] + a * s["ch"]).alias("away"))
+
+    h0, a0 = F.exp(-lh), F.exp(-la)
+    start = F.struct(h0.alias("h"), a0.alias("a"), h0.alias("ch"), a0.alias("ca"), F.lit(0.0).alias("home"), (h0 * a0).alias("draw"), F.lit(0.0).alias("away"))
+    px = rates.withColumn("g", F.aggregate(F.sequence(F.lit(1), last), start, step))
+    rest = 1 - F.col("g.home") - F.col("g.draw") - F.col("g.away")
     return px.select(
-        "match_id", r6(total(h[i] * ca[i - 1] for i in n if i)).alias("p_home"), r6(total(h[i] * a[i] for i in n)).alias("p_draw"),
-        r6(total(a[j] * ch[j - 1] for j in n if j)).alias("p_away"), r6(ch[-1] * ca[-1] - low).alias("over_2_5"),
-        r6((ch[-1] - h[0]) * (ca[-1] - a[0])).alias("btts"), r6(mean).alias("goals_mean"), r6(sd).alias("goals_std"),
-        r6(F.greatest(F.lit(0.0), mean - sd)).alias("goals_low"), r6(mean + sd).alias("goals_high"))
+        "match_id", r6(F.col("g.home") + F.when(lh >= la, rest).otherwise(0.0)).alias("p_home"), r6(F.col("g.draw")).alias("p_draw"),
+        r6(F.col("g.away") + F.when(lh < la, rest).otherwise(0.0)).alias("p_away"),
+        r6(1 - F.exp(-mean) * (1 + mean + mean * mean / 2)).alias("over_2_5"), r6((1 - h0) * (1 - a0)).alias("btts"),
+        r6(mean).alias("goals_mean"), r6(sd).alias("goals_std"), r6(F.greatest(F.lit(0.0), mean - sd)).alias("goals_low"), r6(mean + sd).alias("goals_high"))
+
+
+def _poisson(rate: Column, k: int) -> Column:
+    return F.exp(-rate) * F.pow(rate, F.lit(float(k))) / math.factorial(k)
 
 
 def monte_carlo(rates: DataFrame, n: int, seed: int, max_goals: int = 10) -> DataFrame:

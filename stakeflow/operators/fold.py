@@ -86,12 +86,15 @@ class TokenBucket:
         self.rate, self.burst, self.idle = per_minute / 60.0, burst, idle_seconds
 
     def take(self, tokens: float | None, last: float | None, now: float) -> tuple[float, bool, int]:
-        """Tokens left, whether the request passes, and the seconds to wait if not."""
+        """Tokens left, whether the request passes, and the seconds to wait if not.
+
+        A request older than the last one refills nothing; keep the later of both times.
+        """
         idle = self.idle is not None and last is not None and now - last > self.idle
         if tokens is None or last is None or idle:
             tokens = float(self.burst)
         else:
-            tokens = min(float(self.burst), tokens + (now - last) * self.rate)
+            tokens = min(float(self.burst), tokens + max(0.0, now - last) * self.rate)
         if tokens >= 1:
             return tokens - 1, True, 0
         return tokens, False, int((1 - tokens) / self.rate) + 1
@@ -103,7 +106,7 @@ def token_bucket(requests: DataFrame, key: str, bucket: TokenBucket) -> DataFram
 
     def step(state, row):
         left, ok, wait = bucket.take(state.get("tokens"), state.get("last"), row.now)
-        state["tokens"], state["last"] = left, row.now
+        state["tokens"], state["last"] = left, max(row.now, state.get("last", row.now))
         return row.request_id, ok, int(left), wait
 
     return ordered_fold(r, [key], ["ts", "request_id"], dict, step, "request_id bigint, allowed boolean, remaining bigint, retry_after bigint")
@@ -153,8 +156,8 @@ ENDPOINT_LIMITS = (
 
 
 def endpoint_limit(requests: DataFrame, limits: DataFrame) -> DataFrame:
-    """Per-endpoint windows: the limit of (area, action) comes from a short table, hence broadcast."""
-    r = requests.join(F.broadcast(limits), ["area", "action"]).select(
+    """Per-endpoint windows: the limit of (area, action) comes from the table ``limits``."""
+    r = requests.join(limits, ["area", "action"]).select(
         "user_id", "area", "action", "requests", "seconds", "request_id", "ts", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("now"))
 
     def step(state, row):

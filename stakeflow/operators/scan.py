@@ -109,12 +109,14 @@ def attach(df: DataFrame, info: DataFrame, keys: list[str], salt: Column, salts:
     rows and the other side is already aggregated, a case that runtime skew handling does not
     split. Rows are spread over (key, salt); each such group gets a copy of its key's info. There
     are as many salts as shuffle partitions unless given, so even a single key reaches every task.
+    A null key is a key like any other.
     """
     salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     extra = [c for c in info.columns if c not in keys]
     rows = df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)))
     present = rows.select(*keys, "_salt").distinct()
-    copies = present.join(info.select(*keys, F.struct(*extra).alias("_info")), keys).withColumn("_tag", F.lit(0))
+    named = info.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.struct(*extra).alias("_info"))
+    copies = present.join(named, _same(keys)).select(*keys, "_salt", "_info").withColumn("_tag", F.lit(0))
     both = rows.withColumn("_tag", F.lit(1)).unionByName(copies, allowMissingColumns=True)
     group = Window.partitionBy(*keys, "_salt").orderBy("_tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = both.withColumn("_info", F.first("_info").over(group)).filter("_tag = 1")
@@ -123,13 +125,22 @@ def attach(df: DataFrame, info: DataFrame, keys: list[str], salt: Column, salts:
     return out.select(*df.columns, *[F.col(f"_info.`{c}`").alias(c) for c in extra])
 
 
+def _same(keys: list[str]) -> Column:
+    """Equality of ``keys`` with their ``_k_`` copies, null equal to null."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return out
+
+
 def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Distinct values per key with row counts and the rows above and below each value."""
     hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
     out = running(hist, keys, [value], value_block(value), {"_upto": ("sum", F.col("n"))})
     totals = hist.groupBy(*keys).agg(F.sum("n").alias("total"))
     if keys:
-        out = out.join(totals, keys)
+        named = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "total")
+        out = out.join(named, _same(keys))
     else:
         out = out.withColumn("total", totals.scalar())
     return out.select(
@@ -143,6 +154,7 @@ def ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Add ``rank`` (highest value first, ties share it) and ``percentile`` in [0, 1].
 
     Ranks are computed on the distinct values and joined back, so ties of any size stay spread.
+    Rows without a value share the rank behind all others, with percentile 0.
     """
     ranks = value_ranks(df, keys, value).select(
         *keys, value,
@@ -150,7 +162,10 @@ def ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.coalesce(F.try_divide(F.col("below").cast("double"),
                                 (F.col("total") - 1).cast("double")), F.lit(0.0)).alias("percentile"),
     )
-    return attach(df, ranks, [*keys, value], F.struct(*df.columns))
+    kind = df.schema[value].dataType
+    last = df.groupBy(*keys).agg(F.count(value).alias("n")).select(
+        *keys, F.lit(None).cast(kind).alias(value), (F.col("n") + 1).alias("rank"), F.lit(0.0).alias("percentile"))
+    return attach(df, ranks.unionByName(last), [*keys, value], F.struct(*df.columns))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:

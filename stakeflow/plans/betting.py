@@ -117,20 +117,18 @@ def _rates(t):
     return B.goal_rates(t.match, B.attack_defence(A.team_sides(t.match)))
 
 
-@query("poisson_grid", "v_match", f"""WITH {RATES}, x AS (SELECT match_id, lh, la, i, j, exp(-lh) * pow(lh, i) / CAST(factorial(i) AS DOUBLE) * exp(-la) * pow(la, j) / CAST(factorial(j) AS DOUBLE) AS p
-     FROM r, (SELECT unnest(range(7))::INT AS i) a, (SELECT unnest(range(7))::INT AS j) b)
-  SELECT match_id, round(sum(p) FILTER (i > j), 6) AS p_home, round(sum(p) FILTER (i = j), 6) AS p_draw, round(sum(p) FILTER (i < j), 6) AS p_away, round(sum(p) FILTER (i + j > 2), 6) AS over_2_5,
-    round(sum(p) FILTER (i > 0 AND j > 0), 6) AS btts, round(max(lh + la), 6) AS goals_mean, round(sqrt(max(lh + la)), 6) AS goals_std,
-    round(greatest(0, max(lh + la) - sqrt(max(lh + la))), 6) AS goals_low, round(max(lh + la) + sqrt(max(lh + la)), 6) AS goals_high FROM x GROUP BY match_id""")
+@query("poisson_grid", "v_match", f"""WITH {RATES}, u AS (SELECT DISTINCT lh, la FROM r),
+   x AS (SELECT lh, la, i, j, exp(-lh - la + i * ln(lh) + j * ln(la) - lgamma(i + 1) - lgamma(j + 1)) AS p
+     FROM u, (SELECT unnest(range(40))::INT AS i) a, (SELECT unnest(range(40))::INT AS j) b),
+   g AS (SELECT lh, la, sum(p) FILTER (i > j) AS ph, sum(p) FILTER (i = j) AS pd, sum(p) FILTER (i < j) AS pa FROM x GROUP BY 1, 2)
+  SELECT match_id, round(ph, 6) AS p_home, round(pd, 6) AS p_draw, round(pa, 6) AS p_away,
+    round(1 - exp(-lh - la) * (1 + lh + la + (lh + la) * (lh + la) / 2), 6) AS over_2_5, round((1 - exp(-lh)) * (1 - exp(-la)), 6) AS btts,
+    round(lh + la, 6) AS goals_mean, round(sqrt(lh + la), 6) AS goals_std,
+    round(greatest(0, lh + la - sqrt(lh + la)), 6) AS goals_low, round(lh + la + sqrt(lh + la), 6) AS goals_high FROM r JOIN g USING (lh, la)""")
 def _(t):
     return B.poisson_grid(_rates(t))
 
 
-@query("monte_carlo")
-def _(t):
-    return B.monte_carlo(_rates(t), n=1000, seed=7)
-
-
 @query("portfolio_allocation", "v_bet", f"""WITH {SETTLED}, d AS (SELECT market AS asset, CAST(placed_at AS DATE) AS day, round(sum(profit) / sum(stake), 6) AS r FROM s WHERE settled GROUP BY 1, 2),
    g AS (SELECT asset, avg(r) AS mu, var_samp(r) AS v, greatest(0, avg(r) / var_samp(r)) AS raw FROM d GROUP BY 1)
   SELECT asset, round(mu, 6) AS mean_return, round(v, 6) AS variance, round(least(0.15, raw / (SELECT sum(raw) FROM g)), 6) AS weight,

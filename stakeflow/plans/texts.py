@@ -11,9 +11,9 @@ CLEAN = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_
    '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?i)[{SPACE}]*on[{WORD}]+[{SPACE}]*=[{SPACE}]*["''][^"'']*["'']', '', 'g'), '(?i)javascript:', '', 'g'), '<[^>]+>', '', 'g')"""
 
 
-@query("clean_text", "", f"""SELECT page_id, regexp_replace(substr({CLEAN.replace('C,', 'html,')}, 1, 2000), '^[{SPACE}]+|[{SPACE}]+$', '', 'g') AS text FROM pages""")
+@query("clean_text", "", f"""SELECT page_id, regexp_replace({CLEAN.replace('C,', 'html,')}, '^[{SPACE}]+|[{SPACE}]+$', '', 'g') AS text FROM pages""")
 def _(t):
-    return t.pages.select("page_id", X.clean_text(F.col("html"), 2000).alias("text"))
+    return t.pages.select("page_id", X.clean_text(F.col("html")).alias("text"))
 
 
 @query("clean_text_documents", "", f"""SELECT doc_id, md5(regexp_replace({CLEAN.replace('C,', 'text,')}, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')) AS text_md5 FROM documents""")

@@ -130,7 +130,7 @@ class BucketProcessor(StatefulProcessor):
         out = []
         for rid, now in zip(batch["request_id"], batch["now"]):
             tokens, ok, wait = self.bucket.take(tokens, last, now)
-            last = now
+            last = now if last is None else max(last, now)
             out.append((rid, ok, int(tokens), wait))
         self.state.update((tokens, last))
         yield pd.DataFrame(out, columns=["request_id", "allowed", "remaining", "retry_after"])

@@ -66,7 +66,7 @@ def test_ensemble_sums_to_one(tables):
 
 def test_monte_carlo_near_grid(spark, tables):
     rates = B.goal_rates(tables.match, B.attack_defence(A.team_sides(tables.match)))
-    mc, grid = B.monte_carlo(rates, 2000, 11).select("match_id", F.col("p_home").alias("m")), B.poisson_grid(rates, 10).select("match_id", "p_home")
+    mc, grid = B.monte_carlo(rates, 2000, 11).select("match_id", F.col("p_home").alias("m")), B.poisson_grid(rates).select("match_id", "p_home")
     far = mc.join(grid, "match_id").filter(F.abs(F.col("m") - F.col("p_home")) > 0.06).count()
     assert far <= rates.count() * 0.01
     again = B.monte_carlo(rates, 2000, 11).select("match_id", F.col("p_home").alias("m"))
@@ -238,3 +238,47 @@ def test_export_keeps_values(spark, tables):
         assert r.record_count == 1000 and r["size"] > 10000
         back = spark.read.schema(tables.bet.schema).format(fmt).options(header=True, **TEXT_TIMES).load(out)
         assert back.exceptAll(tables.bet).count() == 0
+
+
+def test_poisson_shares_add_to_one(spark):
+    rates = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate([(0.1, 0.2), (1.4, 1.1), (100.0, 98.0), (30.0, 0.1)])], "match_id int, lh double, la double")
+    got = {r.match_id: r for r in B.poisson_grid(rates).collect()}
+    assert all(abs(r.p_home + r.p_draw + r.p_away - 1) < 3e-6 for r in got.values())
+    assert abs(got[1].over_2_5 - 0.456187) < 1e-6 and got[2].over_2_5 == 1.0
+    assert 0.4 < got[2].p_away < got[2].p_home < 0.6 and got[3].p_home > 0.999
+
+
+def test_null_groups_and_values_stay(spark):
+    from stakeflow.operators import quality as Q
+    from stakeflow.operators.scan import ranked
+
+    d = spark.createDataFrame([(1, "a", 1.0), (2, "a", 3.0), (3, None, 2.0), (4, None, 6.0), (5, "a", None)], "id int, g string, v double")
+    assert Q.normalize(d.filter("v IS NOT NULL"), ["g"], "v", "minmax").count() == 4
+    got = {r.id: (r["rank"], r.percentile) for r in ranked(d, ["g"], "v").collect()}
+    assert got == {2: (1, 1.0), 1: (2, 0.0), 5: (3, 0.0), 4: (1, 1.0), 3: (2, 0.0)}
+
+
+def test_late_request_takes_no_tokens():
+    from stakeflow.operators.fold import TokenBucket
+
+    assert TokenBucket(60, 10).take(1.0, 1000, 900) == (0.0, True, 0)
+
+
+def test_similar_matches_beyond_one_block(spark):
+    from stakeflow.models.training import similar_matches
+
+    vs = [(i, [float(i % 17 + 1), float(i % 5), 1.0]) for i in range(300)]
+    q, c = spark.createDataFrame(vs, "q int, v array<double>"), spark.createDataFrame(vs, "c int, v array<double>")
+    out = similar_matches(q, c, "q", "c", "v", 1).collect()
+    assert len(out) == 300 and all(r.similarity == 1.0 for r in out)
+
+
+def test_match_detail_lists_every_injury(spark):
+    from stakeflow.operators.joins import match_detail
+
+    m = spark.createDataFrame([(1, "x", "A", "B", "2024-01-01", "finished", 1, 0)],
+                              "match_id long, league string, home_team string, away_team string, match_date string, status string, home_score long, away_score long")
+    st = spark.createDataFrame([("A", 1), ("B", 1)], "team string, played int")
+    inj = spark.createDataFrame([("A", f"p{i}", "2024-01-01", f"2024-01-1{i}") for i in range(5)], "team string, player string, injury_date string, expected_return string")
+    row = match_detail(m, st, inj).first()
+    assert [p.player for p in row.home.injuries] == ["p4", "p3", "p2", "p1", "p0"] and row.home.injured == 5 and row.away.injured == 0
