@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stakeflow.llm import ann, html, langid, minhash, mixing, packing, passages, resampling, tokens, toxicity, vectors
+from stakeflow.llm import ann, html, langid, lexical, minhash, mixing, packing, passages, resampling, tokens, toxicity, vectors
 from stakeflow.session import configure
 from stakeflow.sources import Tables
 
@@ -62,16 +62,22 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(t.documents, t.benchmark)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    return lexical.search_items(t.documents, t.benchmark)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_main_text, op3_toxicity, op4_near_dedup, op5_best_fit_packing,
         op6_repeated_passages, op7_source_mixing, op8_vector_dedup, op9_language_id, op10_nearest_vectors,
-        op11_importance_resampling,
+        op11_importance_resampling, op12_lexical_search,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_source_mixing": mixing.MIX_SQL,
     "op11_importance_resampling": resampling.RESAMPLE_SQL,
+    "op12_lexical_search": lexical.SEARCH_SQL,
 }
