@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stakeflow.llm import ann, html, langid, lexical, minhash, mixing, packing, passages, resampling, tokens, toxicity, vectors
+from stakeflow.llm import ann, html, langid, lexical, minhash, mixing, packing, passages, personal, resampling, tokens, toxicity, vectors
 from stakeflow.session import configure
 from stakeflow.sources import Tables
 
@@ -67,12 +67,16 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search_items(t.documents, t.benchmark)
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find_personal(_tables(spark, sf_dir).documents)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_main_text, op3_toxicity, op4_near_dedup, op5_best_fit_packing,
         op6_repeated_passages, op7_source_mixing, op8_vector_dedup, op9_language_id, op10_nearest_vectors,
-        op11_importance_resampling, op12_lexical_search,
+        op11_importance_resampling, op12_lexical_search, op13_personal_data,
     )
 }
 
