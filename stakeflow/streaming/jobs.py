@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -68,116 +68,236 @@ def event_time(feed: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFr
     return feed.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
-def live_match_state(feed: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
-    """Newest message per match (update mode)."""
-    return feed.groupBy(key).agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("m")).select(key, "m.*")
+class NewestProcessor(StatefulProcessor):
+    """Keeps and emits a key's newest message; the key is dropped once the watermark is ``idle_ms`` past it."""
 
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
 
-class LagProcessor(StatefulProcessor):
-    """Emits each value with the one before it; the last value per key is the state."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "at bigint, place string, body string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        old = self.newest.get() if self.newest.exists() else None
+        best = tuple(old) if old else None
+        for batch in rows:
+            top = batch.sort_values(["at", "place"]).iloc[-1]
+            found = (int(top["at"]), top["place"], top["body"])
+            best = found if best is None or found[:2] > best[:2] else best
+        if old is None or best != tuple(old):
+            self.newest.update(best)
+            self.handle.registerTimer(best[0] // 1000 + self.idle_ms)
+            yield pd.DataFrame({"k": [str(key[0])], "body": [best[2]]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.newest.exists() and self.newest.get()[0] // 1000 + self.idle_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.newest.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
-    def __init__(self, ident: str, value: str):
-        self.ident, self.value = ident, value
+
+def live_match_state(feed: DataFrame, key: str, ident: str, fields: list[str], delay: str = "1 day", idle_seconds: int = 7 * 86400) -> DataFrame:
+    """Newest message per match by (ts, ``ident``) in update mode; matches idle for ``idle_seconds`` leave the state."""
+    feed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    types = {f.name: f.dataType for f in feed.schema.fields}
+    body = StructType()
+    for f in (key, *fields):
+        body = body.add(f, types[f])
+    seen = event_time(feed.withColumn("_body", F.to_json(F.struct(key, *fields), TEXT_TIMES)), delay=delay)
+    s = seen.select(key, "ts", F.unix_micros("ts").alias("at"), F.lpad(F.col(ident).cast("string"), 20, "0").alias("place"), F.col("_body").alias("body"))
+    out = s.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=NewestProcessor(idle_seconds * 1000), outputStructType="k string, body string", outputMode="update", timeMode="eventtime")
+    return out.select(F.from_json("body", body, TEXT_TIMES).alias("m")).select("m.*")
+
+
+class OrderedProcessor(StatefulProcessor):
+    """Folds a key's rows in event-time order, whatever order they arrive in.
+
+    Rows are held in slices of event time, one map entry each, with a timer at the end of the earliest.
+    When the watermark has passed a slice's end, no more of its rows can come: the slice is sorted by
+    (time, id) and folded into the key's state. A row older than the watermark is dropped by the engine and changes nothing.
+    A key without rows for the fold's ``idle_ms`` of event time leaves the state.
+
+    ``fold`` has ``state`` (a schema whose first field is the newest time in microseconds), ``idle_ms``
+    and ``run(key, state, at, ids, values)``, which gives the new state and a frame of output rows.
+    """
+
+    HELD = "at array<bigint>, id array<bigint>, x array<double>"
+
+    def __init__(self, fold, slice_ms: int):
+        self.fold, self.slice_ms = fold, slice_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "v double")
+        self.handle = handle
+        self.held = handle.getMapState("held", "slice bigint", self.HELD)
+        self.state = handle.getValueState("state", self.fold.state)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # one key's rows of one micro-batch, whose size the source bounds
-        batch = pd.concat(list(rows)).sort_values(["ts", self.ident])
-        before = batch[self.value].shift(1)
-        if self.last.exists():
-            before.iloc[0] = self.last.get()[0]
-        self.last.update((float(batch[self.value].iloc[-1]),))
-        yield pd.DataFrame({"id": batch[self.ident], "value": batch[self.value], "previous": before})
+        for batch in rows:
+            slices = batch["at"] // 1000 // self.slice_ms * self.slice_ms
+            self.handle.registerTimer(int(slices.min()) + self.slice_ms)
+            for start, part in batch.groupby(slices):
+                at, ids, x = self.held.getValue((int(start),)) or ([], [], [])
+                self.held.updateValue((int(start),), ([*at, *part["at"].tolist()], [*ids, *part["id"].tolist()], [*x, *part["x"].tolist()]))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        passed = max(now, timerValues.getCurrentWatermarkInMs())
+        held = sorted((k[0], v) for k, v in self.held.iterator())
+        ready = [(start, v) for start, v in held if start + self.slice_ms <= passed]
+        state = tuple(self.state.get()) if self.state.exists() else None
+        for start, (at, ids, x) in ready:
+            part = pd.DataFrame({"at": at, "id": ids, "x": x}).sort_values(["at", "id"])
+            state, out = self.fold.run(key, state, part["at"].to_numpy(), part["id"].to_numpy(), part["x"].to_numpy())
+            yield out
+        if ready:
+            if len(ready) == len(held):
+                self.held.clear()
+            else:
+                for start, _ in ready:
+                    self.held.removeKey((start,))
+                self.handle.registerTimer(held[len(ready)][0] + self.slice_ms)
+            self.state.update(state)
+            self.handle.registerTimer(state[0] // 1000 + self.fold.idle_ms + 1)
+        elif state and state[0] // 1000 + self.fold.idle_ms < now:
+            self.state.clear()
 
     def close(self) -> None:
         pass
 
 
-def lag_stream(feed: DataFrame, keys: list[str], ident: str, value: str) -> DataFrame:
-    feed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return feed.select(*keys, ident, value, "ts").groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=LagProcessor(ident, value), outputStructType="id bigint, value double, previous double",
-        outputMode="append", timeMode="none")
+def ordered_stream(rows: DataFrame, keys: list[str], fold, out: str, delay: str, slice_seconds: int) -> DataFrame:
+    """Output rows of a fold over (keys, ts, id, x) in event-time order per key, once the watermark has passed them."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    timed = event_time(rows, delay=delay).withColumn("at", F.unix_micros("ts"))
+    return timed.select(*keys, "ts", "at", F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x")).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=OrderedProcessor(fold, slice_seconds * 1000), outputStructType=out, outputMode="append", timeMode="eventtime")
+
+
+class LagFold:
+    """Each value with the one before it, if that is not older than the idle time."""
+
+    state = "at bigint, v double"
+
+    def __init__(self, idle_seconds: int):
+        self.idle_ms = idle_seconds * 1000
+
+    def run(self, key, state, at, ids, values):
+        before = pd.Series(values).shift(1)
+        earlier = pd.Series(at, dtype="float64").shift(1)
+        if state:
+            earlier.iloc[0], before.iloc[0] = state
+        before[(at - earlier) > self.idle_ms * 1000] = None
+        return (int(at[-1]), float(values[-1])), pd.DataFrame({"id": ids, "value": values, "previous": before})
+
 
+#: Event time that rows may come late, the length of a held slice, and the idle time after which a key is dropped.
+DELAY, SLICE_SECONDS, IDLE_SECONDS = "1 day", 86400, 30 * 86400
 
-def odds_movement_stream(feed: DataFrame) -> DataFrame:
+
+def lag_stream(feed: DataFrame, keys: list[str], ident: str, value: str, delay: str = DELAY, slice_seconds: int = SLICE_SECONDS,
+               idle_seconds: int = IDLE_SECONDS) -> DataFrame:
+    rows = feed.select(*keys, F.col(ident).alias("id"), F.col(value).alias("x"), "ts")
+    return ordered_stream(rows, keys, LagFold(idle_seconds), "id bigint, value double, previous double", delay, slice_seconds)
+
+
+def odds_movement_stream(feed: DataFrame, **times) -> DataFrame:
     """Price movement per (match, bookmaker)."""
-    s = lag_stream(feed, ["match_id", "bookmaker"], "tick_id", "odds")
+    s = lag_stream(feed, ["match_id", "bookmaker"], "tick_id", "odds", **times)
     move = F.round(F.col("value") - F.col("previous"), 6)
     return s.select(F.col("id").alias("tick_id"), F.col("value").alias("odds"), F.col("previous").alias("previous_odds"), move.alias("movement"),
                     F.when(move < 0, "shortening").when(move > 0, "drifting").otherwise("stable").alias("trend"))
 
 
-def prediction_update_stream(feed: DataFrame) -> DataFrame:
+def prediction_update_stream(feed: DataFrame, **times) -> DataFrame:
     """Confidence change and its sign per prediction."""
-    s = lag_stream(feed, ["prediction_id"], "update_id", "confidence")
+    s = lag_stream(feed, ["prediction_id"], "update_id", "confidence", **times)
     change = F.col("value") - F.col("previous")
     return s.select(F.col("id").alias("update_id"), F.col("value").alias("confidence"), change.alias("change"), F.signum(change).alias("direction"))
 
 
-class BucketProcessor(StatefulProcessor):
+class BucketFold:
+    """Token bucket; a bucket that is idle long enough to be full again needs no state."""
+
+    state = "at bigint, tokens double"
+
     def __init__(self, bucket: TokenBucket):
         self.bucket = bucket
+        full = bucket.burst / bucket.rate
+        self.idle_ms = int(1000 * (full if bucket.idle is None else min(full, bucket.idle))) + 1
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("bucket", "tokens double, last double")
-
-    def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows)).sort_values(["now", "request_id"])
-        tokens, last = self.state.get() if self.state.exists() else (None, None)
+    def run(self, key, state, at, ids, values):
+        last, tokens = (state[0] / 1e6, state[1]) if state else (None, None)
         out = []
-        for rid, now in zip(batch["request_id"], batch["now"]):
-            tokens, ok, wait = self.bucket.take(tokens, last, now)
-            last = now if last is None else max(last, now)
+        for rid, us in zip(ids.tolist(), at.tolist()):
+            tokens, ok, wait = self.bucket.take(tokens, last, us / 1e6)
+            last = us / 1e6
             out.append((rid, ok, int(tokens), wait))
-        self.state.update((tokens, last))
-        yield pd.DataFrame(out, columns=["request_id", "allowed", "remaining", "retry_after"])
+        return (int(at[-1]), tokens), pd.DataFrame(out, columns=["request_id", "allowed", "remaining", "retry_after"])
 
-    def close(self) -> None:
-        pass
 
+class WindowFold:
+    """Several fixed windows at once; state lives until the longest has ended."""
 
-class WindowProcessor(StatefulProcessor):
-    def __init__(self, window: FixedWindow):
-        self.window = window
+    state = "at bigint, starts array<double>, counts array<bigint>"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "start double, n bigint")
+    def __init__(self, windows: list[FixedWindow]):
+        self.windows = windows
+        self.idle_ms = 1000 * max(w.seconds for w in windows)
 
-    def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows)).sort_values(["now", "request_id"])
-        start, n = self.state.get() if self.state.exists() else (None, 0)
+    def of(self, key) -> list[FixedWindow]:
+        return self.windows
+
+    def run(self, key, state, at, ids, values):
+        windows = self.of(key)
+        starts, counts = (list(state[1]), list(state[2])) if state else ([None] * len(windows), [0] * len(windows))
         out = []
-        for rid, now in zip(batch["request_id"], batch["now"]):
-            start, n, ok, wait = self.window.hit(start, n, now)
+        for rid, us in zip(ids.tolist(), at.tolist()):
+            ok, wait = True, 0
+            for i, w in enumerate(windows):
+                starts[i], counts[i], one, more = w.hit(starts[i], counts[i], us / 1e6)
+                ok, wait = ok and one, max(wait, more)
             out.append((rid, ok, wait))
-        self.state.update((start, n))
-        yield pd.DataFrame(out, columns=["request_id", "allowed", "retry_after"])
+        return (int(at[-1]), starts, counts), pd.DataFrame(out, columns=["request_id", "allowed", "retry_after"])
 
-    def close(self) -> None:
-        pass
+
+class KeyedWindowFold(WindowFold):
+    """One window whose limit and length are the last two parts of the key."""
+
+    def of(self, key) -> list[FixedWindow]:
+        return [FixedWindow(int(key[-2]), int(key[-1]))]
 
 
 def _requests(feed: DataFrame) -> DataFrame:
     """Limiter key: hash of address and user."""
     key = F.sha2(F.concat(F.lit("ip:"), "ip", F.lit(":user:"), F.col("user_id").cast("string")), 256)
-    return feed.select(key.alias("key"), "request_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("now"))
+    return feed.select(key.alias("key"), F.col("request_id").alias("id"), F.lit(0).alias("x"), "ts")
 
 
-def token_bucket_stream(feed: DataFrame, bucket: TokenBucket) -> DataFrame:
-    feed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return _requests(feed).groupBy("key").transformWithStateInPandas(
-        statefulProcessor=BucketProcessor(bucket), outputStructType="request_id bigint, allowed boolean, remaining bigint, retry_after bigint",
-        outputMode="append", timeMode="none")
+DECISION = "request_id bigint, allowed boolean, retry_after bigint"
 
 
-def fixed_window_stream(feed: DataFrame, window: FixedWindow) -> DataFrame:
-    feed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return _requests(feed).groupBy("key").transformWithStateInPandas(
-        statefulProcessor=WindowProcessor(window), outputStructType="request_id bigint, allowed boolean, retry_after bigint",
-        outputMode="append", timeMode="none")
+def token_bucket_stream(feed: DataFrame, bucket: TokenBucket, delay: str = DELAY, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    return ordered_stream(_requests(feed), ["key"], BucketFold(bucket), "request_id bigint, allowed boolean, remaining bigint, retry_after bigint",
+                          delay, slice_seconds)
+
+
+def fixed_window_stream(feed: DataFrame, windows: list[FixedWindow], delay: str = DELAY, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """A request passes when every window allows it."""
+    return ordered_stream(_requests(feed), ["key"], WindowFold(windows), DECISION, delay, slice_seconds)
+
+
+def endpoint_limit_stream(feed: DataFrame, limits: DataFrame, delay: str = DELAY, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """Per-endpoint windows; the stream is joined to the static table of (area, action, requests, seconds)."""
+    longest = limits.agg(F.max("seconds")).first()[0] or 0
+    rows = feed.join(limits, ["area", "action"]).select(
+        "user_id", "area", "action", "requests", "seconds", F.col("request_id").alias("id"), F.lit(0).alias("x"), "ts")
+    return ordered_stream(rows, ["user_id", "area", "action", "requests", "seconds"], KeyedWindowFold([FixedWindow(1, int(longest))]), DECISION,
+                          delay, slice_seconds)
 
 
 class IdleProcessor(StatefulProcessor):
@@ -232,9 +352,9 @@ def windowed_stats(feed: DataFrame, keys: list[str], value: str, size: str, slid
     ).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "mean", "low", "high")
 
 
-def user_sessions_stream(feed: DataFrame, gap: str = "3600 seconds") -> DataFrame:
-    """Activity sessions per user (append or complete mode)."""
-    return event_time(feed).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events")).select(
+def user_sessions_stream(feed: DataFrame, gap: str = "3600 seconds", delay: str = "1 hour") -> DataFrame:
+    """Activity sessions per user (append or complete mode); in append mode a session comes once it is closed."""
+    return event_time(feed, delay=delay).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events")).select(
         "user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
@@ -261,23 +381,40 @@ def subscription_state(feed: DataFrame) -> DataFrame:
         "subscription_id", "m.status", "m.type")
 
 
-def late_split(feed: DataFrame, seconds: int, label: str) -> tuple[str, str]:
-    """Write rows older than the newest time of earlier micro-batches minus ``seconds`` apart.
+def late_split(feed: DataFrame, seconds: int, label: str) -> DataFrame:
+    """All rows with ``late``: older than the newest time of earlier micro-batches minus ``seconds``.
 
-    The newest time is kept as one row per batch next to the data, so a restarted query goes on
-    from there. Returns the folders of on-time and late rows.
+    A micro-batch is read once: one write deals its rows to the folders of both outputs, and its newest
+    time is observed on the way. That time is kept as one row per batch next to the data, so a
+    restarted query goes on from there and a repeated batch writes the same again.
     """
     spark = feed.sparkSession
     out = shared_dir(spark, label)
-    spark.range(0).select(F.lit(None).cast("timestamp").alias("m"), F.lit(-1).cast("long").alias("batch_id")).write.parquet(f"{out}/newest/batch_id=-1")
+    spark.range(0).select(F.lit(None).cast("long").alias("m")).write.parquet(f"{out}/newest/batch_id=-1")
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        seen = spark.read.schema("m timestamp, batch_id bigint").parquet(f"{out}/newest").filter(F.col("batch_id") < batch_id)
-        bound = F.coalesce(seen.agg(F.max("m") - F.expr(f"INTERVAL {seconds} SECONDS")).scalar(), F.lit("0001-01-01").cast("timestamp"))
-        ts = F.col("ts").cast("timestamp")
-        batch.filter(ts >= bound).write.mode("overwrite").parquet(f"{out}/on_time/batch_id={batch_id}")
-        batch.filter(ts < bound).write.mode("overwrite").parquet(f"{out}/late/batch_id={batch_id}")
-        batch.agg(F.max(ts).alias("m")).write.mode("overwrite").parquet(f"{out}/newest/batch_id={batch_id}")
+        seen = spark.read.schema("m bigint, batch_id bigint").parquet(f"{out}/newest").filter(F.col("batch_id") < batch_id)
+        newest = seen.agg(F.max("m")).first()[0]
+        ts = F.unix_micros(F.col("ts").cast("timestamp"))
+        late = F.lit(False) if newest is None else ts < newest - seconds * 1_000_000
+        top = Observation()
+        batch.observe(top, F.max(ts).alias("m")).withColumn("late", F.coalesce(late, F.lit(False))).write.mode("overwrite").partitionBy("late").parquet(
+            f"{out}/data/batch_id={batch_id}")
+        spark.range(1).select(F.lit(top.get["m"]).cast("long").alias("m")).write.mode("overwrite").parquet(f"{out}/newest/batch_id={batch_id}")
 
     feed.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(split).start().awaitTermination()
-    return f"{out}/on_time", f"{out}/late"
+    schema = StructType([*feed.schema.fields]).add("batch_id", "long").add("late", "boolean")
+    return spark.read.schema(schema).parquet(f"{out}/data").drop("batch_id")
+
+
+def replay(df: DataFrame, arrival: Column, files: int, label: str) -> str:
+    """Write a table as a feed of files in order of arrival, for a stream to read one after the other."""
+    spark = df.sparkSession
+    out = shared_dir(spark, label)
+    timed = df.withColumn("_at", F.unix_micros(arrival.cast("timestamp")))
+    low, high = timed.agg(F.min("_at"), F.max("_at")).first()
+    low, span = low or 0, max(1, (high or 0) - (low or 0) + 1)
+    for k in range(files):
+        part = timed.filter((F.col("_at") >= low + span * k // files) & (F.col("_at") < low + span * (k + 1) // files))
+        part.drop("_at").write.mode("append").parquet(f"{out}/part={k}")
+    return f"{out}/part=*"

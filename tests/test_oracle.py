@@ -10,14 +10,7 @@ from stakeflow.sources.tables import RAW
 
 from .conftest import SF
 
-# a cross-section per module; tools/check.py runs all of them
-NAMES = [
-    "bet_stats_by_market", "bet_breakdown", "bet_list_totals", "paginate", "merge_records", "dedup_first", "streaks", "max_drawdown",
-    "var_es", "leaderboard", "rolling_team_features", "line_movement", "prediction_stats", "league_standings", "head_to_head",
-    "odds_comparison", "arbitrage_finder", "ensemble_weighted", "poisson_grid", "odds_as_of_bet", "parlay_candidates", "quota_check",
-    "dq_rules", "pii_scan", "attack_scan", "outliers_iqr", "query_params", "report_columns", "token_bucket", "fixed_window_limit",
-    "user_sessions", "tumbling_agg", "odds_movement_stream", "similar_matches", "lake_refine",
-]
+NAMES = [name for name, q in QUERIES.items() if q.sql]
 
 
 def norm(v):
