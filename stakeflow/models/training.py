@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stakeflow.functions.semantics import r6
 from stakeflow.operators.windows import rolling_team_features
+from stakeflow.session import written
 
 FEATURES = ["home_gf", "home_ga", "away_gf", "away_ga", "home_rest", "away_rest", "h2h"]
 
@@ -23,7 +24,7 @@ def training_set(matches: DataFrame, sides: DataFrame, n: int = 5) -> DataFrame:
 
     Features only use earlier matches, so nothing of the match itself leaks in.
     """
-    f = rolling_team_features(sides, n)
+    f = written(rolling_team_features(sides, n), "features")  # read for both teams
     home = f.select("match_id", F.col("team").alias("home_team"), F.col("goals_for_avg").alias("home_gf"),
                     F.col("goals_against_avg").alias("home_ga"), F.col("rest_days").cast("double").alias("home_rest"), F.col("h2h_win_rate").alias("h2h"))
     away = f.select("match_id", F.col("team").alias("away_team"), F.col("goals_for_avg").alias("away_gf"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stakeflow.functions.semantics import kelly, r6, ratio
 from stakeflow.operators.reports import best_odds
-from stakeflow.operators.scan import attach
+from stakeflow.operators.scan import group_stats
 
 
 def implied_probability(quotes: DataFrame) -> DataFrame:
@@ -222,10 +222,9 @@ def stake_recommendation(confidence: Column, odds: Column, bankroll: float, frac
 
 def market_inefficiencies(quotes: DataFrame, z: float) -> DataFrame:
     """Prices more than ``z`` deviations off the consensus, and the book that moved last."""
-    g = quotes.groupBy("match_id", "outcome").agg(
-        F.avg("odds").alias("mean"), F.stddev_samp("odds").alias("sd"),
-        F.max_by("bookmaker", F.struct(F.col("quoted_at"), -F.col("bookmaker"))).alias("slow_book"))
-    j = attach(quotes, g, ["match_id", "outcome"], F.struct("bookmaker", "odds", "quoted_at"))
+    j = group_stats(quotes, ["match_id", "outcome"], {
+        "mean": F.avg("odds"), "sd": F.stddev_samp("odds"),
+        "slow_book": F.max_by("bookmaker", F.struct(F.col("quoted_at"), -F.col("bookmaker")))})
     return j.withColumn("z", r6(F.try_divide(F.col("odds") - F.col("mean"), F.nullif(F.col("sd"), F.lit(0.0))))).filter(
         F.abs("z") > z).select("match_id", "outcome", "bookmaker", "odds", r6(F.col("mean")).alias("consensus"), "z", "slow_book")
 

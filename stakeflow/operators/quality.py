@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from stakeflow.functions import text as X
 from stakeflow.functions.rules import resolve
 from stakeflow.functions.semantics import r6, ratio
-from stakeflow.operators.scan import attach, exact_quantiles, trailing_rows
+from stakeflow.operators.scan import attach, exact_quantiles, group_stats, trailing_rows
 
 
 def _counts_to_rows(one: DataFrame, names: list[str], label: str, fields: list[str]) -> DataFrame:
@@ -147,16 +147,16 @@ def outliers(df: DataFrame, group: list[str], value: str, method: str, k: float
     """Rows outside mean +- k deviations (``z``) or the quartile fences (``iqr``) of their group."""
     if method == "z":
         k = 3.0 if k is None else k
-        s = df.groupBy(*group).agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("sd"))
-        bounds = s.select(*group, (F.col("m") - F.col("sd") * k).alias("low"), (F.col("m") + F.col("sd") * k).alias("high"))
+        j = group_stats(df, group, {"_m": F.avg(value), "_sd": F.stddev_samp(value)}).withColumns(
+            {"low": F.col("_m") - F.col("_sd") * k, "high": F.col("_m") + F.col("_sd") * k}).drop("_m", "_sd")
     elif method == "iqr":
         k = 1.5 if k is None else k
         q = exact_quantiles(df, group, value, {"q1": 0.25, "q3": 0.75})
         span = (F.col("q3") - F.col("q1")) * k
-        bounds = q.select(*group, (F.col("q1") - span).alias("low"), (F.col("q3") + span).alias("high"))
+        j = attach(df, q.select(*group, (F.col("q1") - span).alias("low"), (F.col("q3") + span).alias("high")), group, F.struct(*df.columns))
     else:
         raise ValueError("method must be 'z' or 'iqr'")
-    return attach(df, bounds, group, F.struct(*df.columns)).withColumn("low", r6(F.col("low"))).withColumn("high", r6(F.col("high"))).filter(
+    return j.withColumn("low", r6(F.col("low"))).withColumn("high", r6(F.col("high"))).filter(
         (F.col(value) < F.col("low")) | (F.col(value) > F.col("high")))
 
 
@@ -189,8 +189,7 @@ def quality_report(df: DataFrame, columns: list[str], freshness: str | None = No
 
 def normalize(df: DataFrame, group: list[str], value: str, method: str) -> DataFrame:
     """Scale a column within its group to [0, 1] or to z-scores; constant groups give 0."""
-    s = df.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.avg(value).alias("_m"), F.stddev_samp(value).alias("_sd"))
-    j = attach(df, s, group, F.struct(*df.columns))
+    j = group_stats(df, group, {"_lo": F.min(value), "_hi": F.max(value), "_m": F.avg(value), "_sd": F.stddev_samp(value)})
     v = F.col(value)
     if method == "minmax":
         scaled = F.coalesce(F.try_divide(v - F.col("_lo"), F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))), F.lit(0.0))

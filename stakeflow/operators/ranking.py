@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stakeflow.operators.scan import running
+from stakeflow.operators.scan import numbered
 
 
 def paginate(df: DataFrame, order: list[str], block: Column, page: int, per_page: int) -> DataFrame:
@@ -56,7 +56,6 @@ def top_features(importance: DataFrame, k: int) -> DataFrame:
     return importance.orderBy(F.desc("importance"), "feature").limit(k)
 
 
-def chunks(df: DataFrame, order: list[str], block: Column, n: int) -> DataFrame:
+def chunks(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """Number consecutive batches of ``n`` rows in ``order``."""
-    out = running(df, [], order, block, {"_pos": ("count", F.lit(1))})
-    return out.withColumn("chunk", F.floor((F.col("_pos") - 1) / n).cast("long")).drop("_pos")
+    return numbered(df, order, "_pos").withColumn("chunk", F.floor((F.col("_pos") - 1) / n).cast("long")).drop("_pos")

@@ -11,7 +11,7 @@ from stakeflow.functions.semantics import confidence_level, ntz, r6, ratio, roi,
 from stakeflow.operators.aggregates import (
     ledger_aggs, ledger_report, prediction_aggs, prediction_report, settle_bets, standings_aggs, today_flag,
 )
-from stakeflow.operators.scan import attach, top_per_key
+from stakeflow.operators.scan import attach, group_stats, top_per_key
 
 
 def prediction_stats(predictions: DataFrame) -> DataFrame:
@@ -164,16 +164,21 @@ def head_to_head(matches: DataFrame, last: int = 3) -> DataFrame:
     return rec.join(top.groupBy(*keys).agg(F.array_join(scores, " ").alias("last_meetings")), keys)
 
 
+#: Best price of a match and outcome; ties go to the smallest bookmaker id.
+BEST_ODDS = {
+    "best_odds": lambda: F.max("odds"), "best_bookmaker": lambda: F.max_by("bookmaker", F.struct(F.col("odds"), -F.col("bookmaker"))),
+    "average_odds": lambda: F.avg("odds"), "quotes": lambda: F.count("*"),
+}
+
+
 def best_odds(quotes: DataFrame) -> DataFrame:
-    """Best price per match and outcome; ties go to the smallest bookmaker id."""
-    return quotes.groupBy("match_id", "outcome").agg(
-        F.max("odds").alias("best_odds"),
-        F.max_by("bookmaker", F.struct(F.col("odds"), -F.col("bookmaker"))).alias("best_bookmaker"),
-        F.avg("odds").alias("average_odds"), F.count("*").alias("quotes"))
+    """Best price per match and outcome."""
+    return quotes.groupBy("match_id", "outcome").agg(*[c().alias(n) for n, c in BEST_ODDS.items()])
 
 
 def odds_comparison(quotes: DataFrame) -> DataFrame:
-    return attach(quotes, best_odds(quotes), ["match_id", "outcome"], F.struct("bookmaker", "odds", "quoted_at")).withColumn(
+    """Every price beside the best of its match and outcome."""
+    return group_stats(quotes, ["match_id", "outcome"], {n: c() for n, c in BEST_ODDS.items()}).withColumn(
         "is_best", (F.col("odds") == F.col("best_odds")) & (F.col("bookmaker") == F.col("best_bookmaker")))
 
 

@@ -13,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stakeflow.session import written
+
 BLOCK = "_block"
+PLACE = "_place"
 
 
 def time_block(ts: str | Column, unit: str = "hour") -> Column:
@@ -101,30 +104,84 @@ def _running(kind: str, column: str, frame) -> Column:
     return (F.first if base == "first" else F.last)(column, ignorenulls=True).over(frame)
 
 
-def attach(df: DataFrame, info: DataFrame, keys: list[str], salt: Column, salts: int | None = None,
-           how: str = "inner") -> DataFrame:
-    """Add the columns of ``info`` (one row per key) to every row with that key.
+def placed(df: DataFrame, keys: list[str], order: list[str], label: str = "placed") -> DataFrame:
+    """The rows, range-partitioned by (keys, order) and written once with their partition's number in PLACE.
+
+    ``F.col(PLACE)`` is a block for :func:`running` that follows the density of the rows: a key with many
+    rows spans many partitions, small keys share one, and the summaries are one row per key and
+    partition. All passes read the written rows; the source is read for them alone.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(parts, *keys, *order).withColumn(PLACE, F.spark_partition_id()), label)
+
+
+def numbered(df: DataFrame, order: list[Column | str], name: str, label: str = "numbered") -> DataFrame:
+    """Rows numbered from 1 in a global order: one range sort, written, plus the row counts of the partitions before."""
+    rows = written(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), label).withColumn("_part", F.shiftright("_at", 33))
+    # one row per partition of the sort
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select(
+        F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(starts), F.col("_part") == F.col("_p")).withColumn(name, place).select(*df.columns, name)
+
+
+def heavy_keys(df: DataFrame, keys: list[str]) -> dict[int, int]:
+    """Hashes of the keys that hold more than one task's even share of the rows, with the tasks each would fill.
+
+    A frequent-items sketch, merged over all tasks, tracks 16 keys per shuffle partition; at most one key
+    per partition can pass the bar, so the answer is small whatever the table holds.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = df.select(F.xxhash64(*keys).alias("h"))
+    top, rows = hashed.agg(F.expr(f"approx_top_k(h, {parts}, {min(1_000_000, max(1000, 16 * parts))})"), F.count("*")).first()
+    return {x["item"]: -(-x["count"] * parts // rows) for x in top or [] if x["count"] * parts > rows}
+
+
+def _hot(df: DataFrame, keys: list[str], hot: dict[int, int]) -> DataFrame:
+    """Add ``_tasks``: the tasks that a heavy key would fill, null for all other keys."""
+    table = df.sparkSession.createDataFrame(list(hot.items()), "_h long, _tasks int")
+    return df.join(F.broadcast(table), F.xxhash64(*keys) == F.col("_h"), "left").drop("_h")
+
 
-    The same result as a join on ``keys``, for sides where one key may hold a large share of the
-    rows and the other side is already aggregated, a case that runtime skew handling does not
-    split. Rows are spread over (key, salt); each such group gets a copy of its key's info. There
-    are as many salts as shuffle partitions unless given, so even a single key reaches every task.
-    A null key is a key like any other.
+def attach(df: DataFrame, info: DataFrame, keys: list[str], salt: Column, how: str = "inner") -> DataFrame:
+    """Add the columns of ``info`` (one row per key) to every row with that key; a null key is a key like any other.
+
+    A join on the keys in which only heavy keys are salted: their rows are dealt over as many tasks as
+    they fill, and their row of ``info`` is copied as often.
     """
-    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     extra = [c for c in info.columns if c not in keys]
-    rows = df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)))
-    present = rows.select(*keys, "_salt").distinct()
     named = info.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.struct(*extra).alias("_info"))
-    copies = present.join(named, _same(keys)).select(*keys, "_salt", "_info").withColumn("_tag", F.lit(0))
-    both = rows.withColumn("_tag", F.lit(1)).unionByName(copies, allowMissingColumns=True)
-    group = Window.partitionBy(*keys, "_salt").orderBy("_tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = both.withColumn("_info", F.first("_info").over(group)).filter("_tag = 1")
-    if how == "inner":
-        out = out.filter(F.col("_info").isNotNull())
+    hot = heavy_keys(df, keys)
+    if not hot:
+        out = df.join(named, _same(keys), how)
+    else:
+        rows = _hot(df, keys, hot).withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(salt), F.col("_tasks")), F.lit(0)))
+        copies = _hot(named, [f"_k_{k}" for k in keys], hot).withColumn(
+            "_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_tasks"), F.lit(1)).cast("long") - 1))).drop("_tasks")
+        out = rows.join(copies, _same(keys) & (F.col("_salt") == F.col("_copy")), how)
     return out.select(*df.columns, *[F.col(f"_info.`{c}`").alias(c) for c in extra])
 
 
+def group_stats(df: DataFrame, keys: list[str], stats: dict[str, Column]) -> DataFrame:
+    """Add aggregates of each key's rows to these rows: one read and one window.
+
+    Rows of heavy keys do not go through the window; their keys are aggregated, which gives a row for
+    each, and these few rows are broadcast.
+    """
+    hot = heavy_keys(df, keys)
+    window = Window.partitionBy(*keys)
+    over = [c.over(window).alias(n) for n, c in stats.items()]
+    if not hot:
+        return df.select("*", *over)
+    rows = _hot(df, keys, hot)
+    many = rows.filter(F.col("_tasks").isNotNull()).drop("_tasks")
+    info = many.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
+    named = info.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *stats)
+    few = rows.filter(F.col("_tasks").isNull()).drop("_tasks").select("*", *over)
+    return few.unionByName(many.join(F.broadcast(named), _same(keys)).select(*df.columns, *stats))
+
+
 def _same(keys: list[str]) -> Column:
     """Equality of ``keys`` with their ``_k_`` copies, null equal to null."""
     out = F.lit(True)

@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stakeflow.operators.scan import running, time_block
+from stakeflow.operators.scan import PLACE, placed, running
+from stakeflow.session import written
 
 
 def user_sessions(events: DataFrame, gap_seconds: int = 3600) -> DataFrame:
     """Sessions per user: a gap longer than ``gap_seconds`` starts a new one.
 
-    Session numbers come from blocked running counts, so a user with most of the events is
-    spread over many tasks.
+    Session numbers are running counts over rows placed by (user, time), so a user with most of the
+    events is spread over many tasks.
     """
-    order, block = ["ts", "event_id"], time_block("ts")
-    prev = running(events.select("user_id", "ts", "event_id"), ["user_id"], order, block, {"_prev": ("lag", F.col("ts"))})
+    order, block = ["ts", "event_id"], F.col(PLACE)
+    rows = placed(events.select("user_id", "ts", "event_id"), ["user_id"], order, "activity")
+    prev = running(rows, ["user_id"], order, block, {"_prev": ("lag", F.col("ts"))})
     gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_prev").cast("timestamp"))
-    fresh = prev.withColumn("_new", (F.col("_prev").isNull() | (gap >= gap_seconds * 1_000_000)).cast("long"))
+    fresh = written(prev.withColumn("_new", (F.col("_prev").isNull() | (gap >= gap_seconds * 1_000_000)).cast("long")), "gaps")
     numbered = running(fresh, ["user_id"], order, block, {"_no": ("sum", F.col("_new"))})
     return numbered.groupBy("user_id", "_no").agg(
         F.min("ts").alias("start"), (F.max("ts") + F.make_dt_interval(secs=F.lit(gap_seconds))).alias("end"), F.count("*").alias("events")).drop("_no")
@@ -25,6 +27,7 @@ def user_sessions(events: DataFrame, gap_seconds: int = 3600) -> DataFrame:
 
 def late_data_report(arrivals: DataFrame, seconds: int) -> DataFrame:
     """Rows whose event time lies more than ``seconds`` behind the newest seen before their arrival."""
-    out = running(arrivals, [], ["arrived", "event_id"], time_block("arrived"), {"_newest": ("max_before", F.col("ts"))})
+    order = ["arrived", "event_id"]
+    out = running(placed(arrivals, [], order, "arrivals"), [], order, F.col(PLACE), {"_newest": ("max_before", F.col("ts"))})
     late = F.unix_micros(F.col("_newest").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
-    return out.withColumn("late_seconds", F.floor(late / 1_000_000)).filter(late > seconds * 1_000_000).drop("_newest")
+    return out.withColumn("late_seconds", F.floor(late / 1_000_000)).filter(late > seconds * 1_000_000).drop("_newest", PLACE)

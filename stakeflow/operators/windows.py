@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from stakeflow.functions.semantics import r6, ratio
 from stakeflow.operators.aggregates import settle_bets
 from stakeflow.operators.scan import (
-    BLOCK, attach, ranked, running, time_block, top_per_key, trailing_rows, trailing_time,
+    BLOCK, PLACE, attach, group_stats, placed, ranked, running, time_block, top_per_key, trailing_rows, trailing_time,
 )
+from stakeflow.session import written
 
 BET_ORDER = ["placed_at", "bet_id"]
 
@@ -195,9 +196,10 @@ def rolling_variance(bets: DataFrame, key: str = "user_id", days: int = 30) -> D
 
 def rolling_team_features(sides: DataFrame, n: int = 5) -> DataFrame:
     """Goals over the last ``n`` matches, head-to-head win rate and rest days, all before kick-off."""
-    order, block = ["match_date", "match_id"], time_block("match_date", "day")
-    goals = trailing_rows(sides, ["team"], order, block, n, {
-        "gf_sum": F.sum("gf"), "ga_sum": F.sum("ga"), "last_n": F.count("*")}, also={"_previous": ("lag", F.col("match_date"))})
+    order = ["match_date", "match_id"]
+    rows = placed(sides.select("team", "opponent", "result", "gf", "ga", *order), ["team"], order, "sides")
+    goals = written(trailing_rows(rows, ["team"], order, F.col(PLACE), n, {
+        "gf_sum": F.sum("gf"), "ga_sum": F.sum("ga"), "last_n": F.count("*")}, also={"_previous": ("lag", F.col("match_date"))}), "goals")
     # a pair meets rarely: wider blocks, fewer carried rows
     pair = running(goals, ["team", "opponent"], order, time_block("match_date", "month"), {
         "_met": ("sum_before", F.lit(1)), "_beat": ("sum_before", (F.col("result") == "W").cast("long"))})
@@ -210,17 +212,19 @@ def rolling_team_features(sides: DataFrame, n: int = 5) -> DataFrame:
 
 def failed_login_run(events: DataFrame, failure: Column, success: Column) -> DataFrame:
     """Failures since the user's last success, at each event."""
-    order, block = ["ts", "event_id"], time_block("ts")
-    counted = running(events, ["user_id"], order, block, {"_fails": ("sum", failure.cast("long"))})
-    reset = running(counted, ["user_id"], order, block, {"_at": ("last", F.when(success, F.col("_fails")))})
-    return reset.withColumn("failed_attempts", F.col("_fails") - F.coalesce(F.col("_at"), F.lit(0))).drop("_fails", "_at")
+    order = ["ts", "event_id"]
+    rows = placed(events.withColumns({"_fail": failure.cast("long"), "_reset": success}), ["user_id"], order)
+    counted = written(running(rows, ["user_id"], order, F.col(PLACE), {"_fails": ("sum", F.col("_fail"))}), "fails")
+    reset = running(counted, ["user_id"], order, F.col(PLACE), {"_at": ("last", F.when(F.col("_reset"), F.col("_fails")))})
+    return reset.withColumn("failed_attempts", F.col("_fails") - F.coalesce(F.col("_at"), F.lit(0))).select(*events.columns, "failed_attempts")
 
 
 def loss_chasing(bets: DataFrame, key: str = "user_id") -> DataFrame:
     """Bets right after a loss with more than the user's mean stake: how many and their profit."""
-    done = settle_bets(bets).filter("settled")
-    prior = running(done, [key], BET_ORDER, time_block("placed_at"), {"_prev": ("lag", F.col("status"))})
-    mean = done.groupBy(key).agg(r6(F.avg("stake")).alias("mean_stake"))
+    done = settle_bets(bets).filter("settled").select(key, *BET_ORDER, "status", "stake", "profit")
+    rows = placed(done, [key], BET_ORDER, "settled")
+    prior = running(rows, [key], BET_ORDER, F.col(PLACE), {"_prev": ("lag", F.col("status"))})
+    mean = rows.groupBy(key).agg(r6(F.avg("stake")).alias("mean_stake"))
     after = F.col("_prev") == "lost"
     chase = after & (F.col("stake") > F.col("mean_stake"))
     return attach(prior, mean, [key], F.col("bet_id")).groupBy(key).agg(
@@ -232,9 +236,8 @@ def loss_chasing(bets: DataFrame, key: str = "user_id") -> DataFrame:
 
 def current_session(activity: DataFrame) -> DataFrame:
     """Flag the user's latest activity as the current session."""
-    latest = activity.groupBy("user_id").agg(F.max(F.struct("ts", "event_id"))["event_id"].alias("_latest"))
-    return attach(activity, latest, ["user_id"], F.col("event_id")).withColumn(
-        "is_current", F.col("event_id") == F.col("_latest")).drop("_latest")
+    return group_stats(activity, ["user_id"], {"_latest": F.max(F.struct("ts", "event_id"))}).withColumn(
+        "is_current", F.col("event_id") == F.col("_latest")["event_id"]).drop("_latest")
 
 
 def live_probability_shift(updates: DataFrame, n: int = 3) -> DataFrame:

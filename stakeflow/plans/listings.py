@@ -71,7 +71,7 @@ def _(t):
 
 @query("chunks", "", """SELECT event_id, CAST(floor((row_number() OVER (ORDER BY ts, event_id) - 1) / 50.0) AS BIGINT) AS chunk FROM events""")
 def _(t):
-    return R.chunks(t.events.select("event_id", "ts"), ["ts", "event_id"], time_block("ts"), 50).select("event_id", "chunk")
+    return R.chunks(t.events.select("event_id", "ts"), ["ts", "event_id"], 50).select("event_id", "chunk")
 
 
 @query("union_value_bets", "v_quote", """SELECT match_id, bookmaker, odds, outcome FROM v_quote WHERE outcome = 'home' AND 0.25 * odds > 1

@@ -72,10 +72,10 @@ def test_attach_equals_join(skewed):
     # a null key is a key
     same = lambda right: skewed.k.eqNullSafe(right.k)
     want = skewed.join(info, same(info)).select("id", "m", "n")
-    assert rows(S.attach(skewed, info, ["k"], F.col("id"), salts=4).select("id", "m", "n")) == rows(want)
+    assert rows(S.attach(skewed, info, ["k"], F.col("id")).select("id", "m", "n")) == rows(want)
     part = info.filter("n > 100")
     left = skewed.join(part, same(part), "left").select("id", "n")
-    assert rows(S.attach(skewed, part, ["k"], F.col("id"), salts=4, how="left").select("id", "n")) == rows(left)
+    assert rows(S.attach(skewed, part, ["k"], F.col("id"), how="left").select("id", "n")) == rows(left)
 
 
 def test_value_block_is_monotone(spark):
@@ -89,3 +89,49 @@ def test_top_per_key(skewed):
     w = Window.partitionBy("k").orderBy(F.desc("ts"), "id")
     want = skewed.withColumn("rn", F.row_number().over(w)).filter("rn <= 4").select("id", "rn")
     assert rows(S.top_per_key(skewed, ["k"], [F.desc("ts"), F.asc("id")], 4, F.col("id"), salts=8).select("id", "rn")) == rows(want)
+
+
+def test_heavy_keys_are_found(spark, skewed):
+    counts = {r.k: r.n for r in skewed.groupBy("k").agg(F.count("*").alias("n")).collect()}
+    parts, total = int(spark.conf.get("spark.sql.shuffle.partitions")), sum(counts.values())
+    heavy = {k for k, n in counts.items() if n * parts > total}
+    named = {r.h: r.k for r in skewed.select("k", F.xxhash64("k").alias("h")).distinct().collect()}
+    found = S.heavy_keys(skewed, ["k"])
+    assert heavy and {named[h] for h in found} == heavy
+    assert all(found[h] >= counts[named[h]] * parts / total for h in found)
+    assert S.heavy_keys(skewed.limit(0), ["k"]) == {} and S.heavy_keys(spark.range(1000), ["id"]) == {}
+
+
+def test_heavy_keys_are_dealt_over_tasks(skewed):
+    out = S.attach(skewed, skewed.groupBy("k").agg(F.count("*").alias("n")), ["k"], F.col("id"))
+    assert "_salt" in out._jdf.queryExecution().toString()
+    even = skewed.filter(F.col("id") % 97 == 0).withColumn("k", F.col("id").cast("string"))
+    plain = S.attach(even, even.groupBy("k").agg(F.count("*").alias("n")), ["k"], F.col("id"))
+    assert "_salt" not in plain._jdf.queryExecution().toString()
+    assert rows(plain.select("id", "n")) == rows(even.select("id", F.lit(1)))
+
+
+def test_group_stats_equal_a_join(skewed):
+    stats = {"m": F.max(F.struct("v", "id")), "n": F.count("*"), "lo": F.min("v")}
+    info = skewed.groupBy("k").agg(*[c.alias(n) for n, c in stats.items()])
+    want = skewed.join(info, skewed.k.eqNullSafe(info.k)).select("id", "m", "n", "lo")
+    assert rows(S.group_stats(skewed, ["k"], stats).select("id", "m", "n", "lo")) == rows(want)
+
+
+def test_placed_blocks_follow_density(spark, skewed):
+    """One read of the source; the hot key spans partitions, and running values over them are those of a plain window."""
+    order = ["ts", "id"]
+    rows_ = S.placed(skewed, ["k"], order)
+    sizes = [r["count"] for r in rows_.groupBy(S.PLACE).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 2.5 * sum(sizes) / len(sizes)
+    got = S.running(rows_, ["k"], order, F.col(S.PLACE), {"s": ("sum", F.col("id")), "p": ("lag", F.col("id"))}).select("id", "s", "p")
+    w = Window.partitionBy("k").orderBy(*order)
+    want = skewed.select("id", F.sum("id").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lag("id").over(w))
+    assert rows(got) == rows(want)
+
+
+def test_numbered_rows(skewed):
+    got = S.numbered(skewed, [F.desc("v"), F.asc("id")], "n").select("id", "n")
+    want = skewed.select("id", F.row_number().over(Window.orderBy(F.desc("v"), F.asc("id"))).alias("n"))
+    assert rows(got) == rows(want)
+    assert S.numbered(skewed.limit(0), ["id"], "n").count() == 0
