@@ -1,15 +1,20 @@
 """Ordered and grouped computations that stay parallel when one key holds most of the rows.
 
-A plain window over ``partitionBy(user)`` sorts a whole user in one task. Here each key is cut
-into blocks along the order (an hour, a day, a narrow value range). Every block is reduced to one
-small row, and these summaries are windowed per key to give each block what came before it. That
-carried row is put in front of its block, so an ordinary window inside (key, block) continues the
-running value. The rows are shuffled once, on (key, block), and never joined; the summaries per
-key are bounded by the number of blocks in the retention period.
+A plain window over ``partitionBy(user)`` sorts a whole user in one task. A frequent-items sketch
+tells which keys are heavy, that is hold more rows than a task's even share. Light keys, usually all,
+take the plain window: one read and one shuffle. Heavy keys are cut into blocks along the order (a
+range of rows, an hour, a narrow value range). Every block is reduced to one small row, and these
+summaries are windowed per key to give each block what came before it. That carried row is put in
+front of its block, so an ordinary window inside (key, block) continues the running value. The
+rows are shuffled once, on (key, block), and never joined.
+
+The functions that look for heavy keys run the sketch over the key columns when they are called.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,17 +42,45 @@ def running(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    block: Column,
+    block: Column | None,
     specs: dict[str, tuple[str, Column]],
     descending: bool = False,
+    split: bool = True,
 ) -> DataFrame:
-    """Add running values per key in ``order``.
+    """Add running values per key in ``order``; heavy keys are cut by ``block``, None says that no key is heavy.
+
+    Without ``split`` all keys are cut, see :func:`dense`.
 
     ``specs`` maps an output column to (kind, expression); kinds are ``sum``, ``count``, ``max``,
     ``min`` (current row included), ``sum_before``, ``max_before`` (excluded), ``last`` and
     ``first`` (non-null, included), ``last_before`` (non-null, excluded) and ``lag``.
     ``order`` must be unique inside a key.
     """
+    if block is None:
+        return _plain(df, keys, order, specs, descending)
+    few, many = by_weight(df, keys) if split else (None, df)
+    out = [] if few is None else [_plain(few, keys, order, specs, descending)]
+    out += [] if many is None else [_blocked(many, keys, order, block, specs, descending)]
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
+def _plain(df: DataFrame, keys: list[str], order: list[str], specs: dict[str, tuple[str, Column]], descending: bool) -> DataFrame:
+    line = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*[F.desc(c) if descending else F.asc(c) for c in order])
+    upto, before = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(Window.unboundedPreceding, -1)
+    out = []
+    for name, (kind, value) in specs.items():
+        if kind not in KINDS:
+            raise ValueError(f"unknown running kind {kind!r}")
+        if kind == "lag":
+            out.append(F.lag(value).over(line).alias(name))
+        elif kind == "count":
+            out.append(F.count(value).over(upto).alias(name))
+        else:
+            out.append(_over(kind, value, before if kind.endswith("_before") else upto).alias(name))
+    return df.select("*", *out)
+
+
+def _blocked(df: DataFrame, keys: list[str], order: list[str], block: Column, specs: dict[str, tuple[str, Column]], descending: bool) -> DataFrame:
     names = list(specs)
     rows = df.withColumn(BLOCK, block).withColumns({f"_in_{n}": _input(*specs[n]) for n in names})
     place = F.struct(*order)
@@ -67,7 +100,7 @@ def running(
     earlier = (Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc(BLOCK) if descending else F.asc(BLOCK))
                .rowsBetween(Window.unboundedPreceding, -1))
     blocks = rows.groupBy(*keys, BLOCK).agg(*[partial(n).alias(f"_in_{n}") for n in names])
-    carry = blocks.select(*keys, BLOCK, *[_running(specs[n][0], f"_in_{n}", earlier).alias(f"_in_{n}") for n in names],
+    carry = blocks.select(*keys, BLOCK, *[_over(specs[n][0], f"_in_{n}", earlier).alias(f"_in_{n}") for n in names],
                           F.count("*").over(earlier).alias("_n")).filter("_n > 0").drop("_n")
 
     line = rows.withColumn("_tag", F.lit(1)).unionByName(carry.withColumn("_tag", F.lit(0)), allowMissingColumns=True)
@@ -79,7 +112,7 @@ def running(
             out.append(F.lag(f"_in_{n}").over(inside)["v"].alias(n))
         else:
             end = -1 if kind.endswith("_before") else Window.currentRow
-            out.append(_running(kind, f"_in_{n}", inside.rowsBetween(Window.unboundedPreceding, end)).alias(n))
+            out.append(_over(kind, f"_in_{n}", inside.rowsBetween(Window.unboundedPreceding, end)).alias(n))
     return line.select(*df.columns, *out, "_tag").filter("_tag = 1").drop("_tag")
 
 
@@ -95,7 +128,7 @@ def _input(kind: str, value: Column) -> Column:
     return F.struct(value.alias("v")) if kind == "lag" else value
 
 
-def _running(kind: str, column: str, frame) -> Column:
+def _over(kind: str, column: str | Column, frame) -> Column:
     base = kind.removesuffix("_before")
     if base in ("sum", "count"):
         return F.sum(column).over(frame)
@@ -138,6 +171,28 @@ def heavy_keys(df: DataFrame, keys: list[str]) -> dict[int, int]:
     return {x["item"]: -(-x["count"] * parts // rows) for x in top or [] if x["count"] * parts > rows}
 
 
+def by_weight(df: DataFrame, keys: list[str]) -> tuple[DataFrame | None, DataFrame | None]:
+    """The rows of light and of heavy keys; None where there are none for sure. Without keys all rows are one heavy key."""
+    if not keys:
+        return None, df
+    hot = heavy_keys(df, keys)
+    if not hot:
+        return df, None
+    rows = _hot(df, keys, hot)
+    return rows.filter(F.col("_tasks").isNull()).drop("_tasks"), rows.filter(F.col("_tasks").isNotNull()).drop("_tasks")
+
+
+def dense(df: DataFrame, keys: list[str], order: list[str], run: Callable[[DataFrame, Column | None], DataFrame], label: str = "placed") -> DataFrame:
+    """``run(rows, block)`` over the light keys' rows without blocks and over the heavy keys' rows placed by density.
+
+    The steps of ``run`` take the rows as they come (``split=False``). For operators of several ordered steps on the same keys: light keys share one shuffle for all steps.
+    """
+    few, many = by_weight(df, keys)
+    out = [] if few is None else [run(few, None)]
+    out += [] if many is None else [run(placed(many, keys, order, label), F.col(PLACE))]
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
 def _hot(df: DataFrame, keys: list[str], hot: dict[int, int]) -> DataFrame:
     """Add ``_tasks``: the tasks that a heavy key would fill, null for all other keys."""
     table = df.sparkSession.createDataFrame(list(hot.items()), "_h long, _tasks int")
@@ -169,17 +224,13 @@ def group_stats(df: DataFrame, keys: list[str], stats: dict[str, Column]) -> Dat
     Rows of heavy keys do not go through the window; their keys are aggregated, which gives a row for
     each, and these few rows are broadcast.
     """
-    hot = heavy_keys(df, keys)
-    window = Window.partitionBy(*keys)
-    over = [c.over(window).alias(n) for n, c in stats.items()]
-    if not hot:
-        return df.select("*", *over)
-    rows = _hot(df, keys, hot)
-    many = rows.filter(F.col("_tasks").isNotNull()).drop("_tasks")
+    few, many = by_weight(df, keys)
+    over = [c.over(Window.partitionBy(*keys)).alias(n) for n, c in stats.items()]
+    if many is None:
+        return few.select("*", *over)
     info = many.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
     named = info.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *stats)
-    few = rows.filter(F.col("_tasks").isNull()).drop("_tasks").select("*", *over)
-    return few.unionByName(many.join(F.broadcast(named), _same(keys)).select(*df.columns, *stats))
+    return few.select("*", *over).unionByName(many.join(F.broadcast(named), _same(keys)).select(*df.columns, *stats))
 
 
 def _same(keys: list[str]) -> Column:
@@ -192,8 +243,8 @@ def _same(keys: list[str]) -> Column:
 
 def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Distinct values per key with row counts and the rows above and below each value."""
-    hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    out = running(hist, keys, [value], value_block(value), {"_upto": ("sum", F.col("n"))})
+    hist = written(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n")), "value-counts")
+    out = running(hist, keys, [value], value_block(value), {"_upto": ("sum", F.col("n"))}, split=False)
     totals = hist.groupBy(*keys).agg(F.sum("n").alias("total"))
     if keys:
         named = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "total")
@@ -226,21 +277,39 @@ def ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles per key from value counts; no group is held in memory."""
-    counts = value_ranks(df, keys, value)
+    """Exact interpolated quantiles per key: an aggregate for light keys, value counts for heavy ones, of which none is held in memory."""
+    few, many = by_weight(df, keys)
+    out = [] if few is None else [few.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()]).filter(
+        F.coalesce(*probs).isNotNull())]
+    out += [] if many is None else [_counted_quantiles(many, keys, value, probs)]
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
+def _counted_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Quantiles from value counts: only the blocks of values that hold a wanted position are ordered."""
+    counts = written(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n")), "value-counts")
+    counts = counts.withColumn(BLOCK, value_block(value))
+    of_key = Window.partitionBy(*[f"_k_{k}" for k in keys]) if keys else Window.partitionBy(F.lit(0))
+    blocks = counts.groupBy(*keys, BLOCK).agg(F.sum("n").alias("_rows")).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(BLOCK).alias("_b"), "_rows")
+    blocks = blocks.withColumn("total", F.sum("_rows").over(of_key)).withColumn(
+        "_before", F.sum("_rows").over(of_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rows"))
+    position = {n: (F.col("total") - 1) * F.lit(p) for n, p in probs.items()}
+    wanted = [f(at) for at in position.values() for f in (F.floor, F.ceil)]
+    hit = F.lit(False)
+    for at in wanted:
+        hit = hit | ((F.col("_before") <= at) & (at < F.col("_before") + F.col("_rows")))
+    inside = Window.partitionBy(*keys, BLOCK).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    rows = counts.join(blocks.filter(hit), _same(keys) & (F.col(BLOCK) == F.col("_b"))).withColumn(
+        "_below", F.col("_before") + F.sum("n").over(inside) - F.col("n"))
     aggs = []
-    for name, p in probs.items():
-        pos = (F.col("total") - 1) * F.lit(p)
-        for side, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (F.col("below") <= at) & (at < F.col("below") + F.col("n"))
-            aggs.append(F.max(F.when(hit, F.col(value))).alias(f"_{name}_{side}"))
-        aggs.append(F.max(pos - F.floor(pos)).alias(f"_{name}_f"))
-    out = counts.groupBy(*keys).agg(*aggs)
-    cols = [
-        (F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_f")).alias(n)
-        for n in probs
-    ]
-    return out.select(*keys, *cols)
+    for name, at in position.items():
+        for side, one in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            found = (F.col("_below") <= one) & (one < F.col("_below") + F.col("n"))
+            aggs.append(F.max(F.when(found, F.col(value))).alias(f"_{name}_{side}"))
+        aggs.append(F.max(at - F.floor(at)).alias(f"_{name}_f"))
+    cols = [(F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_f")).alias(n) for n in probs]
+    return rows.groupBy(*keys).agg(*aggs).select(*keys, *cols)
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int,
@@ -259,19 +328,36 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int,
     )
 
 
-def trailing_rows(df: DataFrame, keys: list[str], order: list[str], block: Column, n: int,
-                  aggs: dict[str, Column], also: dict[str, tuple[str, Column]] | None = None, chunk: int = 4096) -> DataFrame:
+def trailing_rows(df: DataFrame, keys: list[str], order: list[str], block: Column | None, n: int,
+                  aggs: dict[str, Column], also: dict[str, tuple[str, Column]] | None = None, chunk: int = 4096,
+                  split: bool = True) -> DataFrame:
     """Aggregates over the ``n`` rows before each row of a key.
 
-    ``also`` adds running values, see :func:`running`, from the pass that numbers the rows.
-
-    Rows get their position, then are windowed in chunks of positions; the last ``n`` rows of a
+    ``also`` adds running values, see :func:`running`, from the pass that numbers the rows. Rows of
+    heavy keys get their position, then are windowed in chunks of positions; the last ``n`` rows of a
     chunk are copied into the next one, so every frame is complete inside its chunk.
     """
+    if block is None:
+        few, many = df, None
+    else:
+        few, many = by_weight(df, keys) if split else (None, df)
+    out = [] if few is None else [_trailing_plain(few, keys, order, n, aggs, also)]
+    out += [] if many is None else [_trailing_blocked(many, keys, order, block, n, aggs, also, chunk)]
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
+def _trailing_plain(df: DataFrame, keys: list[str], order: list[str], n: int, aggs: dict[str, Column],
+                    also: dict[str, tuple[str, Column]] | None) -> DataFrame:
+    frame = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(-n, -1)
+    return _plain(df, keys, order, also or {}, False).select("*", *[c.over(frame).alias(name) for name, c in aggs.items()])
+
+
+def _trailing_blocked(df: DataFrame, keys: list[str], order: list[str], block: Column, n: int, aggs: dict[str, Column],
+                      also: dict[str, tuple[str, Column]] | None, chunk: int) -> DataFrame:
     size = max(chunk, n)
     at = F.col("_pos") - 1
     home = F.floor(at / size)
-    pos = running(df, keys, order, block, {"_pos": ("count", F.lit(1)), **(also or {})})
+    pos = _blocked(df, keys, order, block, {"_pos": ("count", F.lit(1)), **(also or {})}, False)
     spread = pos.withColumn("_home", home).withColumn("_chunk", F.explode(
         F.when(at % size >= size - n, F.array(home, home + 1)).otherwise(F.array(home))))
     frame = Window.partitionBy(*keys, "_chunk").orderBy("_pos").rowsBetween(-n, -1)
@@ -283,10 +369,24 @@ def trailing_time(df: DataFrame, keys: list[str], ts: str, seconds: int, aggs: d
                   spans: int = 4) -> DataFrame:
     """Aggregates over the rows of a key in the ``seconds`` up to and including each row.
 
-    Keys are cut into blocks of ``spans`` frame lengths; rows in the last length of a block are
+    Heavy keys are cut into blocks of ``spans`` frame lengths; rows in the last length of a block are
     copied into the next one.
     """
     width = seconds * 1_000_000
+    few, many = by_weight(df, keys)
+    if many is not None:
+        blocked = _trailing_time_blocked(many, keys, ts, width, aggs, spans)
+        return blocked if few is None else _trailing_time_plain(few, keys, ts, width, aggs).unionByName(blocked)
+    return _trailing_time_plain(few, keys, ts, width, aggs)
+
+
+def _trailing_time_plain(df: DataFrame, keys: list[str], ts: str, width: int, aggs: dict[str, Column]) -> DataFrame:
+    frame = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-width, 0)
+    rows = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    return rows.select("*", *[c.over(frame).alias(name) for name, c in aggs.items()]).drop("_us")
+
+
+def _trailing_time_blocked(df: DataFrame, keys: list[str], ts: str, width: int, aggs: dict[str, Column], spans: int) -> DataFrame:
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     home = F.floor(F.col("_us") / (width * spans))
     spread = df.withColumn("_us", us).withColumn("_home", home).withColumn("_chunk", F.explode(

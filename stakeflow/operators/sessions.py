@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stakeflow.operators.scan import PLACE, placed, running
+from stakeflow.operators.scan import PLACE, dense, placed, running
 from stakeflow.session import written
 
 
 def user_sessions(events: DataFrame, gap_seconds: int = 3600) -> DataFrame:
     """Sessions per user: a gap longer than ``gap_seconds`` starts a new one.
 
-    Session numbers are running counts over rows placed by (user, time), so a user with most of the
-    events is spread over many tasks.
+    Session numbers are running counts; a user with most of the events is spread over many tasks.
     """
-    order, block = ["ts", "event_id"], F.col(PLACE)
-    rows = placed(events.select("user_id", "ts", "event_id"), ["user_id"], order, "activity")
-    prev = running(rows, ["user_id"], order, block, {"_prev": ("lag", F.col("ts"))})
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_prev").cast("timestamp"))
-    fresh = written(prev.withColumn("_new", (F.col("_prev").isNull() | (gap >= gap_seconds * 1_000_000)).cast("long")), "gaps")
-    numbered = running(fresh, ["user_id"], order, block, {"_no": ("sum", F.col("_new"))})
-    return numbered.groupBy("user_id", "_no").agg(
+    order = ["ts", "event_id"]
+
+    def number(rows: DataFrame, block: Column | None) -> DataFrame:
+        prev = running(rows, ["user_id"], order, block, {"_prev": ("lag", F.col("ts"))}, split=False)
+        gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_prev").cast("timestamp"))
+        fresh = prev.withColumn("_new", (F.col("_prev").isNull() | (gap >= gap_seconds * 1_000_000)).cast("long"))
+        fresh = fresh if block is None else written(fresh, "gaps")
+        return running(fresh, ["user_id"], order, block, {"_no": ("sum", F.col("_new"))}, split=False).drop(PLACE)
+
+    return dense(events.select("user_id", "ts", "event_id"), ["user_id"], order, number, "activity").groupBy("user_id", "_no").agg(
         F.min("ts").alias("start"), (F.max("ts") + F.make_dt_interval(secs=F.lit(gap_seconds))).alias("end"), F.count("*").alias("events")).drop("_no")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stakeflow.functions.semantics import r6, ratio
 from stakeflow.operators.aggregates import settle_bets
 from stakeflow.operators.scan import (
-    BLOCK, PLACE, attach, group_stats, placed, ranked, running, time_block, top_per_key, trailing_rows, trailing_time,
+    BLOCK, PLACE, dense, group_stats, ranked, running, time_block, top_per_key, trailing_rows, trailing_time,
 )
 from stakeflow.session import written
 
@@ -197,13 +197,17 @@ def rolling_variance(bets: DataFrame, key: str = "user_id", days: int = 30) -> D
 def rolling_team_features(sides: DataFrame, n: int = 5) -> DataFrame:
     """Goals over the last ``n`` matches, head-to-head win rate and rest days, all before kick-off."""
     order = ["match_date", "match_id"]
-    rows = placed(sides.select("team", "opponent", "result", "gf", "ga", *order), ["team"], order, "sides")
-    goals = written(trailing_rows(rows, ["team"], order, F.col(PLACE), n, {
-        "gf_sum": F.sum("gf"), "ga_sum": F.sum("ga"), "last_n": F.count("*")}, also={"_previous": ("lag", F.col("match_date"))}), "goals")
-    # a pair meets rarely: wider blocks, fewer carried rows
-    pair = running(goals, ["team", "opponent"], order, time_block("match_date", "month"), {
-        "_met": ("sum_before", F.lit(1)), "_beat": ("sum_before", (F.col("result") == "W").cast("long"))})
-    return pair.select(
+
+    def features(rows: DataFrame, block: Column | None) -> DataFrame:
+        goals = trailing_rows(rows, ["team"], order, block, n, {
+            "gf_sum": F.sum("gf"), "ga_sum": F.sum("ga"), "last_n": F.count("*")}, also={"_previous": ("lag", F.col("match_date"))}, split=False)
+        met = {"_met": ("sum_before", F.lit(1)), "_beat": ("sum_before", (F.col("result") == "W").cast("long"))}
+        if block is None:  # pairs of a light team lie in its task
+            return running(goals, ["team", "opponent"], order, None, met)
+        # a pair meets rarely: wider blocks, fewer carried rows
+        return running(written(goals.drop(PLACE), "goals"), ["team", "opponent"], order, time_block("match_date", "month"), met)
+
+    return dense(sides.select("team", "opponent", "result", "gf", "ga", *order), ["team"], order, features, "sides").select(
         "team", "match_id", "last_n", r6(F.try_divide(F.col("gf_sum"), F.col("last_n"))).alias("goals_for_avg"),
         r6(F.try_divide(F.col("ga_sum"), F.col("last_n"))).alias("goals_against_avg"),
         r6(F.try_divide(F.col("_beat").cast("double"), F.col("_met"))).alias("h2h_win_rate"),
@@ -213,21 +217,25 @@ def rolling_team_features(sides: DataFrame, n: int = 5) -> DataFrame:
 def failed_login_run(events: DataFrame, failure: Column, success: Column) -> DataFrame:
     """Failures since the user's last success, at each event."""
     order = ["ts", "event_id"]
-    rows = placed(events.withColumns({"_fail": failure.cast("long"), "_reset": success}), ["user_id"], order)
-    counted = written(running(rows, ["user_id"], order, F.col(PLACE), {"_fails": ("sum", F.col("_fail"))}), "fails")
-    reset = running(counted, ["user_id"], order, F.col(PLACE), {"_at": ("last", F.when(F.col("_reset"), F.col("_fails")))})
+
+    def since(rows: DataFrame, block: Column | None) -> DataFrame:
+        counted = running(rows, ["user_id"], order, block, {"_fails": ("sum", F.col("_fail"))}, split=False)
+        counted = counted if block is None else written(counted, "fails")
+        out = running(counted, ["user_id"], order, block, {"_at": ("last", F.when(F.col("_reset"), F.col("_fails")))}, split=False)
+        return out.drop(PLACE)
+
+    reset = dense(events.withColumns({"_fail": failure.cast("long"), "_reset": success}), ["user_id"], order, since)
     return reset.withColumn("failed_attempts", F.col("_fails") - F.coalesce(F.col("_at"), F.lit(0))).select(*events.columns, "failed_attempts")
 
 
 def loss_chasing(bets: DataFrame, key: str = "user_id") -> DataFrame:
     """Bets right after a loss with more than the user's mean stake: how many and their profit."""
     done = settle_bets(bets).filter("settled").select(key, *BET_ORDER, "status", "stake", "profit")
-    rows = placed(done, [key], BET_ORDER, "settled")
-    prior = running(rows, [key], BET_ORDER, F.col(PLACE), {"_prev": ("lag", F.col("status"))})
-    mean = rows.groupBy(key).agg(r6(F.avg("stake")).alias("mean_stake"))
+    prior = running(group_stats(done, [key], {"_mean": F.avg("stake")}), [key], BET_ORDER, time_block("placed_at"), {"_prev": ("lag", F.col("status"))})
+    prior = prior.withColumn("mean_stake", r6(F.col("_mean")))
     after = F.col("_prev") == "lost"
     chase = after & (F.col("stake") > F.col("mean_stake"))
-    return attach(prior, mean, [key], F.col("bet_id")).groupBy(key).agg(
+    return prior.groupBy(key).agg(
         F.max("mean_stake").alias("mean_stake"),
         F.round(F.avg(F.when(after, F.col("stake"))), 8).alias("mean_stake_after_loss"),
         F.count_if(chase).alias("chasing_bets"),
