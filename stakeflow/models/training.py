@@ -8,13 +8,13 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stakeflow.functions.semantics import r6
+from stakeflow.models.neighbours import nearest
 from stakeflow.operators.windows import rolling_team_features
-from stakeflow.session import written
+from stakeflow.session import shared_dir, written
 
 FEATURES = ["home_gf", "home_ga", "away_gf", "away_ga", "home_rest", "away_rest", "h2h"]
 
@@ -30,10 +30,24 @@ def training_set(matches: DataFrame, sides: DataFrame, n: int = 5) -> DataFrame:
     away = f.select("match_id", F.col("team").alias("away_team"), F.col("goals_for_avg").alias("away_gf"),
                     F.col("goals_against_avg").alias("away_ga"), F.col("rest_days").cast("double").alias("away_rest"))
     done = matches.filter("status = 'finished'").select(
-        "match_id", "match_date", "home_team", "away_team", (F.col("home_score") > F.col("away_score")).cast("double").alias("label"))
+        "match_id", "match_date", "league", "home_team", "away_team", "home_score", "away_score", (F.col("home_score") > F.col("away_score")).cast("double").alias("label"))
     return done.join(home, ["match_id", "home_team"]).join(away, ["match_id", "away_team"])
 
 
+#: Labels by market: the three results (0 home, 1 draw, 2 away), and yes (1) or no (0).
+MARKETS = {
+    "match_winner": lambda: F.when(F.col("home_score") > F.col("away_score"), 0.0).when(F.col("home_score") == F.col("away_score"), 1.0).otherwise(2.0),
+    "over_2_5": lambda: (F.col("home_score") + F.col("away_score") > 2).cast("double"),
+    "both_score": lambda: ((F.col("home_score") > 0) & (F.col("away_score") > 0)).cast("double"),
+}
+
+
+def market_label(market: str) -> Column:
+    if market not in MARKETS:
+        raise ValueError(f"unknown market {market!r}, expected one of {sorted(MARKETS)}")
+    return MARKETS[market]()
+
+
 def algorithm(algo: str, **params):
     kinds = {"logistic": LogisticRegression, "random_forest": RandomForestClassifier, "gbt": GBTClassifier}
     if algo not in kinds:
@@ -54,9 +68,36 @@ def train(data: DataFrame, algo: str, features: list[str] = FEATURES, **params)
 
 
 def predict(model: PipelineModel, data: DataFrame, keep: list[str]) -> DataFrame:
-    """Probability of the positive class per row; also works on a stream."""
-    p = model.transform(data)
-    return p.select(*keep, r6(vector_to_array("probability")[1]).alias("p"), F.col("prediction").cast("int").alias("prediction"))
+    """Probability of class 1, of all classes, and the likeliest class per row; also works on a stream."""
+    p = model.transform(data).withColumn("_p", vector_to_array("probability"))
+    return p.select(*keep, r6(F.col("_p")[1]).alias("p"), F.transform("_p", r6).alias("probabilities"), F.col("prediction").cast("int").alias("prediction"))
+
+
+def train_predict(data: DataFrame, market: str, algo: str, cut: str, sport: str = "league", keep: tuple[str, ...] = ("match_id",),
+                  features: list[str] = FEATURES, **params) -> DataFrame:
+    """One model per sport for a market: fitted on the matches before ``cut``, scored on the matches from then on.
+
+    The sports are a short list; a sport whose earlier matches show one result only has no model and
+    no predictions. Gradient-boosted trees take markets of two results. A model is scored from its
+    saved form.
+    """
+    label = market_label(market)
+    if algo == "gbt" and market == "match_winner":
+        raise ValueError("gbt takes markets with two results")
+    spark, out = data.sparkSession, shared_dir(data.sparkSession, "models")
+    labelled = written(data.withColumn("label", label), "labelled")
+    past, later = F.col("match_date") < F.lit(cut).cast("timestamp_ntz"), F.col("match_date") >= F.lit(cut).cast("timestamp_ntz")
+    able = labelled.filter(past).groupBy(sport).agg(F.count_distinct("label").alias("n")).filter("n > 1").select(sport).orderBy(sport)
+    scores = None
+    for n, row in enumerate(able.collect()):
+        own = labelled.filter(F.col(sport).eqNullSafe(F.lit(row[0])))
+        train(own.filter(past), algo, features, **params).write().save(f"{out}/{n}")
+        scored = predict(PipelineModel.load(f"{out}/{n}"), own.filter(later), [*keep, sport])
+        scores = scored if scores is None else scores.unionByName(scored)
+    if scores is None:
+        schema = labelled.select(*keep, sport).schema.add("p", "double").add("probabilities", "array<double>").add("prediction", "int")
+        scores = spark.createDataFrame([], schema)
+    return scores.withColumn("market", F.lit(market))
 
 
 def time_folds(data: DataFrame, ts: str, bounds: list[str]) -> DataFrame:
@@ -67,15 +108,30 @@ def time_folds(data: DataFrame, ts: str, bounds: list[str]) -> DataFrame:
     return data.withColumn("fold", fold)
 
 
-def tune(data: DataFrame, folds: int, features: list[str] = FEATURES, reg: tuple[float, ...] = (0.0, 0.1)) -> DataFrame:
-    """Mean area under ROC per regularisation strength over the given folds."""
-    pipe = pipeline("logistic", features)
-    lr = pipe.getStages()[-1]
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg)).build()
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), numFolds=folds,
-                        foldCol="fold", parallelism=2).fit(data)
-    rows = [(float(p[lr.regParam]), float(m)) for p, m in zip(grid, cv.avgMetrics)]
-    return data.sparkSession.createDataFrame(rows, "reg double, auc double").withColumn("auc", r6(F.col("auc")))
+def rolling_origin(data: DataFrame) -> DataFrame:
+    """Per fold from 1 on: the rows of the folds before it, which a model may see, and its own."""
+    sizes = data.groupBy("fold").agg(F.count("*").alias("test_rows"))
+    # one row per fold
+    before = Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("train_rows", F.sum("test_rows").over(before)).filter("train_rows IS NOT NULL").select("fold", "train_rows", "test_rows")
+
+
+def tune(data: DataFrame, features: list[str] = FEATURES, reg: tuple[float, ...] = (0.0, 0.1)) -> DataFrame:
+    """Area under ROC per regularisation strength and fold, with the mean per strength.
+
+    Rolling origin: fold k is scored by a model of the folds before k, so no model has seen later rows.
+    Folds that hold one label only cannot be scored and are left out.
+    """
+    score = BinaryClassificationEvaluator()
+    rows = []
+    for row in rolling_origin(data).orderBy("fold").collect():
+        past, fold = data.filter(F.col("fold") < row["fold"]), data.filter(F.col("fold") == row["fold"])
+        if min(d.agg(F.count_distinct("label")).first()[0] for d in (past, fold)) < 2:
+            continue
+        for r in reg:
+            rows.append((float(r), row["fold"], float(score.evaluate(train(past, "logistic", features, regParam=r).transform(fold)))))
+    scores = data.sparkSession.createDataFrame(rows, "reg double, fold int, auc double")
+    return scores.select("reg", "fold", r6(F.col("auc")).alias("auc"), r6(F.avg("auc").over(Window.partitionBy("reg"))).alias("mean_auc"))
 
 
 def feature_importance(model: PipelineModel, spark, features: list[str] = FEATURES) -> DataFrame:
@@ -116,13 +172,13 @@ def batch_predict(requests: DataFrame, scored: DataFrame, limit: int = 50) -> Da
 
 
 def drift_psi(reference: DataFrame, current: DataFrame, value: str, low: float, high: float, bins: int = 10) -> DataFrame:
-    """Population stability index per bin and in total (counts are smoothed by 0.5)."""
+    """Population stability index over ``bins`` bins and one on either side; every count is smoothed by 0.5."""
     both = reference.select(value, F.lit(0).alias("side")).unionByName(current.select(value, F.lit(1).alias("side")))
     binned = both.groupBy(F.width_bucket(value, F.lit(low), F.lit(high), F.lit(bins)).alias("bin")).agg(
         F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
     n = binned.agg(F.struct(F.sum("a").alias("a"), F.sum("b").alias("b"))).scalar()
-    p = (F.col("a") + 0.5) / (F.col("n.a") + 0.5 * bins)
-    q = (F.col("b") + 0.5) / (F.col("n.b") + 0.5 * bins)
+    p = (F.col("a") + 0.5) / (F.col("n.a") + 0.5 * (bins + 2))
+    q = (F.col("b") + 0.5) / (F.col("n.b") + 0.5 * (bins + 2))
     rows = binned.withColumn("n", n).withColumn("part", (p - q) * F.ln(p / q))
     return rows.groupBy().agg(r6(F.sum("part")).alias("psi"), F.count("*").alias("bins"))
 
@@ -143,10 +199,6 @@ def bias_report(performance: DataFrame, overall: DataFrame, segment: str) -> Dat
     return performance.select(segment, "n", "accuracy", "brier", r6(F.col("accuracy") - base).alias("accuracy_gap"))
 
 
-#: Queries that are scored together.
-QUERY_BLOCK = 256
-
-
 def centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
     """Mean vector per label, summed dimension by dimension."""
     dims = vectors.select(label, F.posexplode(vector).alias("i", "x")).groupBy(label, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
@@ -154,23 +206,5 @@ def centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
 
 
 def similar_matches(queries: DataFrame, candidates: DataFrame, qid: str, cid: str, vector: str, k: int) -> DataFrame:
-    """``k`` candidates with the highest cosine similarity for each query vector, exactly.
-
-    The queries are dealt into blocks of about ``QUERY_BLOCK``; candidates are scanned against one block
-    array at a time and cut to k per task before the shuffle. Norms are taken once per vector.
-    """
-    from stakeflow.operators.scan import top_per_key
-
-    def dot(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-    def sides(df: DataFrame, ident: str, name: str) -> DataFrame:
-        v = df.select(F.col(ident).alias(name), F.col(vector).cast("array<double>").alias("v"))
-        return v.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
-
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    packed = sides(queries, qid, "qid").groupBy(F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("_block")).agg(
-        F.collect_list(F.struct("qid", "v", "norm")).alias("_q")).select("_q")
-    scored = sides(candidates, cid, "cid").join(packed).select("cid", "v", "norm", F.explode("_q").alias("q")).select(
-        F.col("q.qid").alias(qid), F.col("cid").alias(cid), r6(dot(F.col("q.v"), F.col("v")) / (F.col("q.norm") * F.col("norm"))).alias("similarity"))
-    return top_per_key(scored, [qid], [F.desc("similarity"), F.asc(cid)], k, F.col(cid))
+    """``k`` candidates with the highest cosine similarity for each query vector, exactly; see ``neighbours``."""
+    return nearest(queries, candidates, qid, cid, vector, k)[0]

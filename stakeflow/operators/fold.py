@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stakeflow.operators.scan import PLACE, by_weight, placed, running
+from stakeflow.session import written
+
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], new_state: Callable[[], dict],
                  step: Callable[[dict, object], tuple | None], schema: str,
@@ -132,8 +135,63 @@ GLOBAL_LIMITS = ((100, 60), (1000, 3600), (10000, 86400))
 
 
 def fixed_window_limit(requests: DataFrame, key: str, limits: tuple[tuple[int, int], ...] = GLOBAL_LIMITS) -> DataFrame:
-    """Apply several windows at once; a request passes when every limit allows it."""
+    """Apply several windows at once; a request passes when every limit allows it.
+
+    Light keys are folded in order; heavy ones get their windows by pointer doubling, see :func:`window_starts`.
+    """
     r = requests.select(key, "request_id", "ts", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("now"))
+    few, many = by_weight(r, [key])
+    if many is None:
+        return _fixed_fold(few, key, limits)
+    rows = written(many, "requests")
+    ok, wait = [], []
+    for i, (n, s) in enumerate(limits):
+        rows = _decided(rows, [key], F.lit(n), F.lit(s), f"_ok{i}", f"_wait{i}")
+        ok.append(F.col(f"_ok{i}"))
+        wait.append(F.col(f"_wait{i}"))
+    heavy = rows.select("request_id", F.forall(F.array(*ok), lambda x: x).alias("allowed"), F.array_max(F.array(*wait)).alias("retry_after"))
+    return _fixed_fold(few, key, limits).unionByName(heavy)
+
+
+def window_starts(rows: DataFrame, keys: list[str], seconds: Column) -> DataFrame:
+    """``rows`` (keys, now, request_id) with ``_n``, the number of the request, and ``_start``, whether it opens a window.
+
+    A key's first request opens a window, and each window is followed by the first request at or after
+    its end. So every request points to the first one a window later, and those that the first
+    request reaches open the windows. Pointers are doubled: after k joins they span 2^k windows, so the
+    orbit of a key of any length is found in a logarithmic number of joins over all tasks.
+    """
+    order = ["now", "_side", "request_id"]
+    base = rows.select(*keys, "now", "request_id", seconds.cast("double").alias("_s"))
+    both = base.select(*keys, "now", F.lit(1).alias("_side"), "request_id").unionByName(
+        base.select(*keys, (F.col("now") + F.col("_s")).alias("now"), F.lit(0).alias("_side"), "request_id"))
+    counted = running(placed(both, keys, order, "probes"), keys, order, F.col(PLACE), {"_c": ("count", F.when(F.col("_side") == 1, 1))}, split=False)
+    pairs = written(counted.groupBy(*keys, "request_id").agg(
+        F.max(F.when(F.col("_side") == 1, F.col("_c"))).alias("_n"), F.max(F.when(F.col("_side") == 0, F.col("_c") + 1)).alias("_next")), "numbered")
+    size = pairs.groupBy(*keys).agg(F.max("_n").alias("_size"))
+    hops = written(pairs.join(size, keys).filter("_next <= _size").select(*keys, F.col("_n").alias("_from"), F.col("_next").alias("_to")), "hops")
+    reached = size.select(*keys, F.lit(1).cast("long").alias("_from"))
+    while not hops.isEmpty():
+        reached = written(reached.unionByName(reached.join(hops, [*keys, "_from"]).select(*keys, F.col("_to").alias("_from"))), "reached")
+        again = hops.select(*keys, F.col("_from").alias("_to"), F.col("_to").alias("_end"))
+        hops = written(hops.join(again, [*keys, "_to"]).select(*keys, "_from", F.col("_end").alias("_to")), "hops")
+    opened = reached.select(*keys, F.col("_from").alias("_n"), F.lit(True).alias("_start"))
+    numbered = pairs.drop("_next").join(opened, [*keys, "_n"], "left")
+    return rows.join(numbered, [*keys, "request_id"])
+
+
+def _decided(rows: DataFrame, keys: list[str], limit: Column, seconds: Column, ok: str, wait: str) -> DataFrame:
+    """Add a window's decision and wait to rows of heavy keys; a null key is a key like any other."""
+    names, keys, rows = rows.columns, ["_key"], rows.withColumn("_key", F.struct(*keys))
+    order = ["now", "request_id"]
+    opened = placed(window_starts(rows, keys, seconds), keys, order, "windows")
+    inside = running(opened, keys, order, F.col(PLACE), {"_w": ("last", F.when(F.col("_start"), F.struct("now", "_n")))}, split=False)
+    passes = F.col("_n") - F.col("_w._n") < limit
+    left = F.greatest(F.lit(1), F.floor(F.col("_w.now") + seconds - F.col("now")))
+    return inside.select(*names, passes.alias(ok), F.when(passes, 0).otherwise(left).cast("long").alias(wait))
+
+
+def _fixed_fold(r: DataFrame, key: str, limits: tuple[tuple[int, int], ...]) -> DataFrame:
     windows = [FixedWindow(n, s) for n, s in limits]
 
     def step(state, row):
@@ -159,7 +217,15 @@ def endpoint_limit(requests: DataFrame, limits: DataFrame) -> DataFrame:
     """Per-endpoint windows: the limit of (area, action) comes from the table ``limits``."""
     r = requests.join(limits, ["area", "action"]).select(
         "user_id", "area", "action", "requests", "seconds", "request_id", "ts", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("now"))
+    keys = ["user_id", "area", "action"]
+    few, many = by_weight(r, keys)
+    if many is None:
+        return _endpoint_fold(few)
+    heavy = _decided(written(many, "requests"), keys, F.col("requests"), F.col("seconds"), "allowed", "retry_after")
+    return _endpoint_fold(few).unionByName(heavy.select("request_id", "allowed", "retry_after"))
+
 
+def _endpoint_fold(r: DataFrame) -> DataFrame:
     def step(state, row):
         w = FixedWindow(row.requests, row.seconds)
         state["s"], state["c"], ok, wait = w.hit(state.get("s"), state.get("c", 0), row.now)

@@ -9,7 +9,7 @@ from stakeflow.operators import aggregates as A
 from stakeflow.plans.registry import query
 from stakeflow.plans.reports import MODEL
 from stakeflow.plans.risk import SIDES
-from stakeflow.session import shared_dir
+from stakeflow.session import shared_dir, written
 
 
 def _train_set(t):
@@ -39,29 +39,38 @@ def _model(t, algo, **params):
     return PipelineModel.load(f"{out}-model"), data
 
 
+#: Matches from here on are scored by models of the matches before.
+HOLDOUT = "2000-01-01"
+
+
 @query("train_predict_logistic")
 def _(t):
-    model, data = _model(t, "logistic", maxIter=20)
-    return M.predict(model, data, ["match_id"])
+    return M.train_predict(_train_set(t), "match_winner", "logistic", HOLDOUT, maxIter=20)
 
 
 @query("train_predict_random_forest")
 def _(t):
-    model, data = _model(t, "random_forest", numTrees=10, maxDepth=4)
-    return M.predict(model, data, ["match_id"])
+    return M.train_predict(_train_set(t), "over_2_5", "random_forest", HOLDOUT, numTrees=10, maxDepth=4)
 
 
 @query("train_predict_gbt")
 def _(t):
-    model, data = _model(t, "gbt", maxIter=5, maxDepth=3)
-    return M.predict(model, data, ["match_id"])
+    return M.train_predict(_train_set(t), "both_score", "gbt", HOLDOUT, maxIter=3, maxDepth=3)
+
+
+FOLDS = ["1996-09-01", "1998-05-01", "1999-12-01"]
+
+
+@query("tune_folds", "v_match", """WITH f AS (SELECT CAST(match_date >= TIMESTAMP '1996-09-01' AS INT) + CAST(match_date >= TIMESTAMP '1998-05-01' AS INT) + CAST(match_date >= TIMESTAMP '1999-12-01' AS INT) AS fold
+     FROM v_match WHERE status = 'finished'), s AS (SELECT fold, count(*) AS test_rows FROM f GROUP BY 1)
+  SELECT a.fold, CAST(sum(b.test_rows) AS BIGINT) AS train_rows, any_value(a.test_rows) AS test_rows FROM s a JOIN s b ON b.fold < a.fold GROUP BY 1""")
+def _(t):
+    return M.rolling_origin(M.time_folds(t.match.filter("status = 'finished'"), "match_date", FOLDS))
 
 
 @query("tune")
 def _(t):
-    out = shared_dir(t.spark, "training-set")
-    M.time_folds(_train_set(t), "match_date", ["1997-06-01", "1999-06-01"]).write.parquet(out)
-    return M.tune(t.spark.read.parquet(out), folds=3)
+    return M.tune(written(M.time_folds(_train_set(t), "match_date", FOLDS), "training-set"))
 
 
 @query("feature_importance")
@@ -107,7 +116,7 @@ def _split(t):
 
 @query("drift_psi", "v_bet", f"""WITH {SPLIT}, u AS (SELECT stake, 0 AS side FROM a UNION ALL SELECT stake, 1 FROM b),
    h AS (SELECT CASE WHEN stake < 0 THEN 0 WHEN stake >= 250 THEN 11 ELSE floor(stake / 25) + 1 END AS bin, count(*) FILTER (side = 0) AS x, count(*) FILTER (side = 1) AS y FROM u GROUP BY 1),
-   p AS (SELECT (x + 0.5::DOUBLE) / ((SELECT sum(x) FROM h) + 5) AS p, (y + 0.5::DOUBLE) / ((SELECT sum(y) FROM h) + 5) AS q FROM h)
+   p AS (SELECT (x + 0.5::DOUBLE) / ((SELECT sum(x) FROM h) + 6) AS p, (y + 0.5::DOUBLE) / ((SELECT sum(y) FROM h) + 6) AS q FROM h)
   SELECT round(sum((p - q) * ln(p / q)), 6) AS psi, count(*) AS bins FROM p""")
 def _(t):
     a, b = _split(t)
