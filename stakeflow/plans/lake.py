@@ -60,9 +60,11 @@ def _(t):
     return S.snapshot(t.orders, shared_dir(t.spark, "snapshot"), "incremental", "o_orderdate", "2000-06-01").select("o_orderkey", "o_totalprice")
 
 
-@query("retention", "", "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-04-20' - INTERVAL 90 DAY")
+@query("retention", "", "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-04-20 07:30:00' - INTERVAL 90 DAY")
 def _(t):
-    return S.rewrite_retained(t.events, shared_dir(t.spark, "retained"), "ts", "2024-04-20").select("event_id", "ts")
+    out = shared_dir(t.spark, "by-day")
+    S.write_by_day(t.events, out, "ts")
+    return S.retain(t.spark, out, "ts", "2024-04-20 07:30:00").select("event_id", "ts")
 
 
 @query("continuous_rollup_refresh", "v_tick", """SELECT match_id, time_bucket(INTERVAL 1 DAY, ts) AS bucket, count(*) AS n, arg_min(odds, (ts, tick_id)) AS open, max(odds) AS high, min(odds) AS low,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stakeflow.functions.semantics import as_time, ntz
@@ -12,21 +12,25 @@ from stakeflow.functions.semantics import as_time, ntz
 TEXT_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path and what the path lists."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, list(fs.listStatus(root))
+
+
 def export_report(df: DataFrame, path: str, fmt: str) -> DataFrame:
     """Write a csv or json report and return its record count and size in bytes.
 
-    The records are counted in the written files, so the source is read once.
+    The records are counted on their way to the files, so nothing is read back.
     """
     if fmt not in ("csv", "json"):
         raise ValueError("format must be csv or json")
-    writer = df.write.format(fmt).options(**TEXT_TIMES)
+    spark, counted = df.sparkSession, Observation()
+    writer = df.observe(counted, F.count("*").alias("n")).write.format(fmt).options(**TEXT_TIMES)
     (writer.option("header", True) if fmt == "csv" else writer).save(path)
-    spark = df.sparkSession
-    reader = spark.read.schema(df.schema).format(fmt).options(**TEXT_TIMES)
-    # quoted texts may hold line breaks
-    back = reader.options(header=True, multiLine=True).load(path) if fmt == "csv" else reader.load(path)
-    size = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{fmt}").load(path).agg(F.sum("length")).scalar()
-    return back.agg(F.count("*").alias("record_count")).select(F.lit(fmt).alias("format"), "record_count", size.alias("size"))
+    size = sum(f.getLen() for f in _files(spark, path)[1] if f.getPath().getName().endswith(f".{fmt}"))
+    return spark.createDataFrame([(fmt, counted.get["n"], size)], "format string, record_count long, size long")
 
 
 def lake_refine(raw: DataFrame, path: str, clean: dict[str, Column], valid: Column, mapping: dict[str, str], day: Column) -> dict[str, DataFrame]:
@@ -82,10 +86,37 @@ def retention(df: DataFrame, ts: str, now, days: int = RETENTION_DAYS) -> DataFr
     return df.filter(F.col(ts) >= ntz(as_time(now) - dt.timedelta(days=days)))
 
 
-def rewrite_retained(df: DataFrame, path: str, ts: str, now, days: int = RETENTION_DAYS) -> DataFrame:
-    """Write the retained rows by day as the table's next version."""
-    retention(df, ts, now, days).withColumn("day", F.to_date(ts)).write.mode("overwrite").partitionBy("day").parquet(path)
-    return df.sparkSession.read.parquet(path)
+def write_by_day(df: DataFrame, path: str, ts: str) -> None:
+    df.withColumn("day", F.to_date(ts)).write.partitionBy("day").parquet(path)
+
+
+def retain(spark: SparkSession, path: str, ts: str, now, days: int = RETENTION_DAYS) -> DataFrame:
+    """Drop the rows of a table stored by day (:func:`write_by_day`) that are older than ``days`` days.
+
+    Folders of expired days, and of rows without a time, are removed by name, without reading a row; only
+    the boundary day is written anew. Files of later days are not touched.
+    """
+    import datetime as dt
+    cut = as_time(now) - dt.timedelta(days=days)
+    table = spark.read.parquet(path)
+    fs, listed = _files(spark, path)
+    boundary = None
+    for day in listed:
+        name = day.getPath().getName()
+        if not name.startswith("day="):
+            continue
+        value = name.removeprefix("day=")
+        if value.startswith("__") or value < str(cut.date()):
+            fs.delete(day.getPath(), True)
+        elif value == str(cut.date()) and cut.time() != dt.time():
+            boundary = day.getPath()
+    if boundary is not None:
+        kept = table.filter((F.col("day") == F.lit(cut.date())) & (F.col(ts) >= ntz(cut)))
+        if kept.isEmpty():
+            fs.delete(boundary, True)
+        else:
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
 
 
 def refresh_rollup(stored: DataFrame, changed: DataFrame, bucket: str, since) -> DataFrame:
