@@ -29,8 +29,9 @@ XSS_PATTERNS = {
 # Card brands by number prefix, and the candidate patterns of the PII scan.
 CARD_BRANDS = (("visa", "^4"), ("mastercard", "^5[1-5]"), ("amex", "^3[47]"), ("discover", "^6011"))
 EMAIL_CANDIDATE = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-CARD_CANDIDATE = r"[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]+"
-PHONE_CANDIDATE = r"\+[0-9][0-9 ().-]*[0-9]|\(?[0-9]{2,4}\)?[ .-][0-9][0-9 .-]*[0-9]"
+CARD_CANDIDATE = r"[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3}\b)?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]+"
+PHONE_CANDIDATE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}|\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{4}|\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2}){3,4}"
+CARD_GROUPS = r"[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3}\b)?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"
 
 
 def strip(c: Column) -> Column:
@@ -83,7 +84,8 @@ def query_params(url: Column) -> Column:
 
     pairs = F.filter(
         F.transform(F.split(q, "&"), lambda p: F.struct(
-            F.try_url_decode(F.split_part(p, F.lit("="), F.lit(1))).alias("k"),
+            # a key with a broken escape stays as it is
+            F.coalesce(F.try_url_decode(F.split_part(p, F.lit("="), F.lit(1))), F.split_part(p, F.lit("="), F.lit(1))).alias("k"),
             decode(F.regexp_extract(p, "=(.*)$", 1)).alias("v"))),
         lambda x: (x["v"] != "") & x["k"].isNotNull())
     keys = F.array_distinct(F.transform(pairs, lambda x: x["k"]))
@@ -105,10 +107,14 @@ def cards(text: Column) -> Column:
     """Valid card numbers of a text, separators removed."""
     found = F.transform(F.regexp_extract_all(text, F.lit(CARD_CANDIDATE), F.lit(0)), lambda x: F.regexp_replace(x, "[ -]", ""))
     sized = F.filter(found, lambda x: F.length(x).between(13, 19))
-    return F.filter(sized, luhn)
+    # sixteen digits and three more may be a card and its check value
+    whole = F.transform(sized, lambda x: F.when((F.length(x) == 19) & ~luhn(x), F.substring(x, 1, 16)).otherwise(x))
+    return F.filter(whole, luhn)
 
 
 def phones(text: Column) -> Column:
+    """Phone numbers of a text, outside of card numbers in groups, separators removed."""
+    text = F.regexp_replace(text, CARD_GROUPS, "_")
     found = F.transform(F.regexp_extract_all(text, F.lit(PHONE_CANDIDATE), F.lit(0)), lambda x: F.regexp_replace(x, r"[\s\-\(\)\.]", ""))
     return F.filter(found, lambda x: x.rlike(r"^\+?[0-9]{7,15}$"))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stakeflow.functions.semantics import bet_return, is_settled, ntz, r6, ratio, roi, win_rate
+from stakeflow.functions.semantics import as_time, bet_return, is_settled, ntz, r6, ratio, roi, win_rate
 
 
 def settle_bets(bets: DataFrame) -> DataFrame:
@@ -107,8 +109,15 @@ def prediction_report(grouped: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def calibration(predictions: DataFrame, low: int = 0) -> DataFrame:
-    """Per ten-point band: n, mean confidence, accuracy, gap and the band's share of ECE."""
+def calibration(predictions: DataFrame, now=None, lookback_days: int | None = None, low: int = 0) -> DataFrame:
+    """Per ten-point band: n, mean confidence, accuracy, gap and the band's share of ECE.
+
+    ``lookback_days``, 7 to 365, keeps the predictions made since ``now`` less these days.
+    """
+    if lookback_days is not None:
+        if not 7 <= lookback_days <= 365:
+            raise ValueError("lookback_days must be between 7 and 365")
+        predictions = predictions.filter(F.col("created_at") >= ntz(as_time(now) - dt.timedelta(days=lookback_days)))
     decided = predictions.filter(F.col("status").isin("won", "lost") & (F.col("confidence") >= low))
     bands = (
         decided.withColumn("band", F.least(F.floor(F.col("confidence") / 10) * 10, F.lit(90)))

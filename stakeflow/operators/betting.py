@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,80 +127,45 @@ def goal_rates(matches: DataFrame, strength: DataFrame) -> DataFrame:
         (F.col("aa") * F.col("hd") * F.col("league_mean")).alias("la"))
 
 
-def poisson_grid(rates: DataFrame) -> DataFrame:
-    """Market probabilities of two independent Poisson scores.
+# fixed values: ln k! for k below 8
+LN_FACTORIALS = tuple(math.log(math.factorial(k)) for k in range(8))
 
-    Totals and both-to-score have closed forms. The winner is a sum over scores, taken per row up to
-    where both tails are below 1e-12; what is left of one goes to the side with the higher rate.
-    No grid rows are made.
-    """
-    lh, la = F.col("lh"), F.col("la")
-    mean, sd = lh + la, F.sqrt(lh + la)
-    top = F.greatest(lh, la)
-    last = F.ceil(top + F.sqrt(top) * 9 + 20).cast("int")
-
-    def step(s: Column, k: Column) -> Column:
-        h, a = s["h"] * lh / k, s["a"] * la / k
-        return F.struct(
-            h.alias("h"), a.alias("a"), (s["ch"] + h).alias("ch"), (s["ca"] + a).alias("ca"), (s["home"] + h * s["ca"]).alias("home"),
-            (s["draw"] + h * a).alias("draw"), (s["away"] + a * s["ch"]).alias("away"))
-
-    h0, a0 = F.exp(-lh), F.exp(-la)
-    start = F.struct(h0.alias("h"), a0.alias("a"), h0.alias("ch"), a0.alias("ca"), F.lit(0.0).alias("home"), (h0 * a0).alias("draw"), F.lit(0.0).alias("away"))
-    px = rates.withColumn("g", F.aggregate(F.sequence(F.lit(1), last), start, step))
-    rest = 1 - F.col("g.home") - F.col("g.draw") - F.col("g.away")
-    return px.select(
-        "match_id", r6(F.col("g.home") + F.when(lh >= la, rest).otherwise(0.0)).alias("p_home"), r6(F.col("g.draw")).alias("p_draw"),
-        r6(F.col("g.away") + F.when(lh < la, rest).otherwise(0.0)).alias("p_away"),
-        r6(1 - F.exp(-mean) * (1 + mean + mean * mean / 2)).alias("over_2_5"), r6((1 - h0) * (1 - a0)).alias("btts"),
-        r6(mean).alias("goals_mean"), r6(sd).alias("goals_std"), r6(F.greatest(F.lit(0.0), mean - sd)).alias("goals_low"), r6(mean + sd).alias("goals_high"))
+
+def _ln_factorial(k: Column) -> Column:
+    """ln k!, by Stirling's series from 8 on (error below 1e-10)."""
+    x = k.cast("double")
+    series = (x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    return F.when(k < 8, F.get(F.array(*[F.lit(v) for v in LN_FACTORIALS]), k.cast("int"))).otherwise(series)
 
 
-def _poisson(rate: Column, k: int) -> Column:
-    return F.exp(-rate) * F.pow(rate, F.lit(float(k))) / math.factorial(k)
+def _poisson(rate: Column, k: Column) -> Column:
+    """Poisson probability in log space, so that no rate is too high."""
+    return F.when(rate == 0, F.when(k == 0, 1.0).otherwise(0.0)).otherwise(F.exp(k * F.ln(rate) - rate - _ln_factorial(k)))
 
 
-def monte_carlo(rates: DataFrame, n: int, seed: int, max_goals: int = 10) -> DataFrame:
-    """Simulate ``n`` scores per match; draws are hashes of (match, trial, side, seed), so runs repeat.
+def poisson_grid(rates: DataFrame) -> DataFrame:
+    """Market probabilities of two independent Poisson scores.
 
-    Goals follow the inverse Poisson distribution function. Trials are exploded per match and
-    reduced at once to counts, so each match sends one partial row to the shuffle.
+    Totals and both-to-score have closed forms. The winner depends on the pair of rates alone: each distinct
+    pair gets one row per score within nine deviations of either rate, and running sums over these
+    give the three results. What is left of one goes to the side with the higher rate.
     """
-    if not 100 <= n <= 10000:
-        raise ValueError("n must be between 100 and 10000")
-
-    def uniform(side: str) -> Column:
-        h = F.xxhash64("match_id", "trial", F.lit(side), F.lit(seed))
-        return (F.pmod(h, F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
-
-    def with_cdf(df: DataFrame, rate: str, name: str) -> DataFrame:
-        total = F.lit(0.0)
-        for k in range(max_goals):
-            df = df.withColumn(f"{name}{k}", total + _poisson(F.col(rate), k))
-            total = F.col(f"{name}{k}")
-        return df
-
-    def goals(u: str, name: str) -> Column:
-        out = F.lit(0)
-        for k in range(max_goals):
-            out = out + F.when(F.col(u) > F.col(f"{name}{k}"), 1).otherwise(0)
-        return out
-
-    # the rows grow n-fold: spread them first, on the key the counts need anyway
-    parts = int(rates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rates = rates.repartition(parts, "match_id")
-    t = with_cdf(with_cdf(rates, "lh", "h"), "la", "a").withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    t = t.withColumn("uh", uniform("h")).withColumn("ua", uniform("a")).select(
-        "match_id", goals("uh", "h").alias("h"), goals("ua", "a").alias("a"))
-
-    def share(c: Column) -> Column:
-        return r6(F.count_if(c) / F.count("*"))
-
-    h, a = F.col("h"), F.col("a")
-    return t.groupBy("match_id").agg(
-        share(h > a).alias("p_home"), share(h == a).alias("p_draw"), share(h < a).alias("p_away"),
-        r6(F.avg("h")).alias("goals_home"), r6(F.avg("a")).alias("goals_away"),
-        share(a == 0).alias("clean_sheet_home"), share(h == 0).alias("clean_sheet_away"))
+    lh, la, k = F.col("lh"), F.col("la"), F.col("k")
+    mean, sd = lh + la, F.sqrt(lh + la)
+    low, high = F.least(lh, la), F.greatest(lh, la)
+    scores = F.sequence(F.greatest(F.lit(0), F.floor(low - F.sqrt(low) * 9 - 20)).cast("long"), F.ceil(high + F.sqrt(high) * 9 + 20).cast("long"))
+    grid = rates.filter(lh.isNotNull() & la.isNotNull()).select("lh", "la").distinct().withColumn("k", F.explode(scores)).select(
+        "lh", "la", "k", _poisson(lh, k).alias("h"), _poisson(la, k).alias("a"))
+    below = Window.partitionBy("lh", "la").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("ch", F.coalesce(F.sum("h").over(below), F.lit(0.0))).withColumn("ca", F.coalesce(F.sum("a").over(below), F.lit(0.0)))
+    results = grid.groupBy("lh", "la").agg(
+        F.sum(F.col("h") * F.col("ca")).alias("home"), F.sum(F.col("h") * F.col("a")).alias("draw"), F.sum(F.col("a") * F.col("ch")).alias("away"))
+    rest = 1 - F.col("home") - F.col("draw") - F.col("away")
+    return rates.join(results, ["lh", "la"], "left").select(
+        "match_id", r6(F.col("home") + F.when(lh >= la, rest).otherwise(0.0)).alias("p_home"), r6(F.col("draw")).alias("p_draw"),
+        r6(F.col("away") + F.when(lh < la, rest).otherwise(0.0)).alias("p_away"),
+        r6(1 - F.exp(-mean) * (1 + mean + mean * mean / 2)).alias("over_2_5"), r6((1 - F.exp(-lh)) * (1 - F.exp(-la))).alias("btts"),
+        r6(mean).alias("goals_mean"), r6(sd).alias("goals_std"), r6(F.greatest(F.lit(0.0), mean - sd)).alias("goals_low"), r6(mean + sd).alias("goals_high"))
 
 
 def portfolio_allocation(daily: DataFrame, bankroll: float, cap: float = 0.15) -> DataFrame:
@@ -229,16 +195,29 @@ def market_inefficiencies(quotes: DataFrame, z: float) -> DataFrame:
         F.abs("z") > z).select("match_id", "outcome", "bookmaker", "odds", r6(F.col("mean")).alias("consensus"), "z", "slow_book")
 
 
-def backtest(bets: DataFrame, start, end, bankroll: float, fraction: float = 0.25, cap: float = 0.02) -> DataFrame:
-    """Replay a fractional Kelly rule: per user the ledger totals and the largest drawdown.
+#: Stake rules by name: columns (confidence, odds) and the bankroll to a stake.
+STRATEGIES: dict[str, Callable[[Column, Column, float], Column]] = {
+    "kelly": stake_recommendation,
+    "flat": lambda confidence, odds, bankroll: F.lit(bankroll * 0.01),
+    "confidence": lambda confidence, odds, bankroll: r6(F.lit(bankroll * 0.02) * confidence / 100),
+    "value_only": lambda confidence, odds, bankroll: F.when(confidence / 100 * odds > 1, F.lit(bankroll * 0.01)).otherwise(0.0),
+}
+
+
+def backtest(bets: DataFrame, start, end, bankroll: float, strategy: str | Callable[[Column, Column, float], Column] = "kelly") -> DataFrame:
+    """Replay a stake rule: per user the ledger totals and the largest drawdown.
 
-    ``bets`` carries ``confidence``; stakes are relative to the starting bankroll.
+    ``bets`` carries ``confidence``; ``strategy`` is a name of STRATEGIES or a rule of that form. Stakes are
+    relative to the starting bankroll; bets without a stake are not placed.
     """
+    if isinstance(strategy, str) and strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}, expected one of {sorted(STRATEGIES)}")
     from stakeflow.functions.semantics import ntz
     from stakeflow.operators.aggregates import bet_stats
     from stakeflow.operators.windows import max_drawdown
 
-    stake = stake_recommendation(F.col("confidence"), F.col("odds"), bankroll, fraction, cap)
+    rule = STRATEGIES[strategy] if isinstance(strategy, str) else strategy
+    stake = rule(F.col("confidence"), F.col("odds"), bankroll)
     replay = bets.filter((F.col("placed_at") >= ntz(start)) & (F.col("placed_at") < ntz(end)))
     replay = replay.withColumn("cashout_value", F.when(F.col("cashout_value").isNotNull(), stake * 0.8)).withColumn(
         "stake", stake).filter("stake > 0")

@@ -66,19 +66,20 @@ def pick(df: DataFrame, fields: list[str]) -> DataFrame:
     return remap(df, {f: f for f in fields})
 
 
-def _words(name: str) -> list[str]:
-    spaced = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name)
-    return [w.lower() for w in re.split(r"[_\s\-]+", spaced) if w]
+def _snake(name: str) -> str:
+    """A separator before each capitalised word; underscores of the name stay, so ``_id`` and ``id`` differ."""
+    spaced = re.sub(r"(?<=.)(?=[A-Z][a-z])|(?<=[a-z0-9])(?=[A-Z])", "_", name)
+    return re.sub(r"[\s\-]+", "_", spaced).lower()
 
 
 def _parts(name: str) -> list[str]:
-    """Words by separator only: camel and pascal case do not split at capitals."""
-    return [w for w in re.split(r"[_\s\-]+", name.lower()) if w]
+    """Words by separator only: camel and pascal case do not split at capitals. A leading separator gives an empty first word."""
+    return re.split(r"[_\s\-]+", name.lower())
 
 
 NAMING: dict[str, Callable[[str], str]] = {
-    "snake": lambda s: "_".join(_words(s)),
-    "kebab": lambda s: "-".join(_words(s)),
+    "snake": lambda s: _snake(s),
+    "kebab": lambda s: _snake(s).replace("_", "-"),
     "camel": lambda s: "".join(w if i == 0 else w.capitalize() for i, w in enumerate(_parts(s))),
     "pascal": lambda s: "".join(w.capitalize() for w in _parts(s)),
 }

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stakeflow.functions.semantics import confidence_level, ntz, r6, ratio, roi, win_rate
+from stakeflow.functions.semantics import as_time, confidence_level, ntz, r6, ratio, roi, win_rate
 from stakeflow.operators.aggregates import (
     ledger_aggs, ledger_report, prediction_aggs, prediction_report, settle_bets, standings_aggs, today_flag,
 )
+from stakeflow.operators.filters import period_filter
 from stakeflow.operators.scan import attach, group_stats, top_per_key
 
 
@@ -32,17 +34,35 @@ def prediction_stats(predictions: DataFrame) -> DataFrame:
                           ).withColumn("worst", sport & (F.col("member") == F.min_by("member", F.col("accuracy")).over(w)))
 
 
-def analytics_overview(bets: DataFrame, predictions: DataFrame, trend: DataFrame) -> DataFrame:
-    """Ledger, prediction and trend figures per user; each side is reduced before the join."""
-    ledger = ledger_report(settle_bets(bets).groupBy("user_id").agg(*ledger_aggs()), ["user_id"]).select(
-        "user_id", "total_bets", "profit", "roi", "win_rate")
+def analytics_overview(bets: DataFrame, predictions: DataFrame, trend: DataFrame, period: str = "all", now=None) -> DataFrame:
+    """Ledger, prediction and trend figures per user over a period, with a part per sport and the best and worst sport.
+
+    Bets count by ``placed_at``, predictions by ``created_at``; the period is 7d, 30d, 90d, 1y or all. The
+    sports of a user rank by return on investment, equal ones by name. Each side is reduced
+    before the join; totals and sports come from one aggregation.
+    """
+    if period not in ("7d", "30d", "90d", "1y", "all"):
+        raise ValueError(f"unknown period {period!r}")
+    if period != "all":
+        bets, predictions = period_filter(bets, "placed_at", period, now), period_filter(predictions, "created_at", period, now)
+    user, sport = F.col("user_id"), F.col("sport")
+    g = settle_bets(bets).groupingSets([[user], [user, sport]], user, sport).agg(F.grouping_id().alias("gid"), *ledger_aggs())
+    rows = ledger_report(g, ["user_id", "sport", "gid"])
+    whole, part = F.col("gid") == 1, F.col("gid") == 0
+    kept = ["total_bets", "won", "staked", "profit", "roi", "win_rate"]
+    by_sport = F.sort_array(F.collect_list(F.when(part, F.struct("sport", "total_bets", "won", "profit", "roi", "win_rate"))))
+    ledger = rows.groupBy("user_id").agg(
+        *[F.max(F.when(whole, F.col(c))).alias(c) for c in kept], by_sport.alias("by_sport"),
+        F.min_by("sport", F.when(part, F.struct(-F.col("roi"), F.col("sport")))).alias("best_sport"),
+        F.min_by("sport", F.when(part, F.struct(F.col("roi"), F.col("sport")))).alias("worst_sport"))
     preds = prediction_report(predictions.groupBy("user_id").agg(*prediction_aggs()), ["user_id"]).select(
-        "user_id", F.col("total").alias("total_predictions"), "accuracy")
+        "user_id", F.col("total").alias("total_predictions"), F.col("correct").alias("correct_predictions"), "accuracy")
     out = ledger.join(preds, "user_id", "full").join(trend.select("user_id", "trend"), "user_id", "left")
     return out.select(
-        "user_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total_bets", "total_predictions")],
-        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("profit", "roi", "win_rate", "accuracy")],
-        F.coalesce("trend", F.lit("stable")).alias("trend"))
+        "user_id", *[F.coalesce(c, F.lit(0)).alias(n) for c, n in (
+            ("total_bets", "total_bets"), ("won", "winning_bets"), ("total_predictions", "total_predictions"), ("correct_predictions", "correct_predictions"))],
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("staked", "profit", "roi", "win_rate", "accuracy")],
+        "by_sport", "best_sport", "worst_sport", F.coalesce("trend", F.lit("stable")).alias("trend"))
 
 
 def performance_by(bets: DataFrame, unit: str) -> DataFrame:
@@ -56,14 +76,33 @@ def rollup_report(bets: DataFrame, dims: list[str]) -> DataFrame:
     return ledger_report(g, ["level", *dims]).select("level", *dims, "total_bets", "win_rate", "profit", "roi")
 
 
-def admin_stats(bets: DataFrame, predictions: DataFrame, users: DataFrame, start) -> DataFrame:
-    """Platform totals since ``start`` as one row."""
-    recent = settle_bets(bets).filter(F.col("placed_at") >= ntz(start))
-    b = recent.agg(
-        F.count("*").alias("bets"), F.count_distinct("user_id").alias("active_users"),
-        r6(F.sum("stake")).alias("wagered"), r6(F.sum("profit")).alias("user_profit"))
-    return b.withColumn("total_users", users.agg(F.count("*")).scalar()).withColumn(
-        "predictions", predictions.agg(F.count("*")).scalar())
+def admin_stats(bets: DataFrame, predictions: DataFrame, users: DataFrame, now, days: int = 7) -> DataFrame:
+    """Platform figures of the last ``days`` days and of today, as one row.
+
+    New users are counted today and over the last 7 and 30 days; accuracy is that of the predictions
+    of the period.
+    """
+    at = as_time(now)
+    today = ntz(dt.datetime.combine(at.date(), dt.time()))
+
+    def last(n: int) -> Column:
+        return ntz(at - dt.timedelta(days=n))
+
+    b = settle_bets(bets).filter(F.col("placed_at") >= F.least(last(days), today)).agg(*[a.alias(n) for n, a in {
+        "bets": F.count_if(F.col("placed_at") >= last(days)), "bets_today": F.count_if(F.col("placed_at") >= today),
+        "active_users": F.count_distinct(F.when(F.col("placed_at") >= last(days), F.col("user_id"))),
+        "wagered": r6(F.coalesce(F.sum(F.when(F.col("placed_at") >= last(days), F.col("stake"))), F.lit(0.0))),
+        "user_profit": r6(F.coalesce(F.sum(F.when(F.col("placed_at") >= last(days), F.col("profit"))), F.lit(0.0)))}.items()])
+    p = predictions.filter(F.col("created_at") >= F.least(last(days), today))
+    recent = F.col("created_at") >= last(days)
+    won, lost = (F.count_if(recent & (F.col("status") == x)) for x in ("won", "lost"))
+    p = p.agg(F.count_if(recent).alias("predictions"), F.count_if(F.col("created_at") >= today).alias("predictions_today"),
+              r6(ratio(won, won + lost, 100)).alias("accuracy"))
+    joined = F.col("created_at")
+    u = users.agg(F.count("*").alias("total_users"), F.count_if(joined >= today).alias("new_users_today"),
+                  F.count_if(joined >= last(7)).alias("new_users_week"), F.count_if(joined >= last(30)).alias("new_users_month"))
+    # one row each
+    return b.crossJoin(p).crossJoin(u)
 
 
 # Upper bounds of the latency histogram in milliseconds.
@@ -333,8 +372,8 @@ def live_dashboard(bets: DataFrame, now) -> DataFrame:
         r6(ratio(F.sum(F.when(done, F.col("profit"))), F.sum(F.when(done, F.col("stake"))), 100)).alias("roi_today"))
 
 
-def daily_digest(matches: DataFrame, picks: DataFrame, value_bets: DataFrame, arbs: DataFrame) -> DataFrame:
-    """Counts per day and the top pick.
+def daily_digest(matches: DataFrame, picks: DataFrame, value_bets: DataFrame, arbs: DataFrame, top: int = 3) -> DataFrame:
+    """Counts per day and the ``top`` picks, most confident first.
 
     ``picks`` has (match_id, confidence); ``value_bets`` and ``arbs`` have match_id. Each is
     reduced to one row per match before it meets the schedule.
@@ -344,10 +383,32 @@ def daily_digest(matches: DataFrame, picks: DataFrame, value_bets: DataFrame, ar
     arb = arbs.select("match_id").distinct().withColumn("arb", F.lit(1))
     m = matches.select("match_id", F.to_date("match_date").alias("day"))
     j = m.join(best, "match_id", "left").join(val, "match_id", "left").join(arb, "match_id", "left")
-    return j.groupBy("day").agg(
+    counts = j.groupBy("day").agg(
         F.count("*").alias("events"), F.coalesce(F.sum("picks"), F.lit(0)).alias("picks"),
-        F.coalesce(F.sum("value_bets"), F.lit(0)).alias("value_bets"), F.count("arb").alias("arbitrages"),
-        F.max_by("match_id", F.when(F.col("confidence").isNotNull(), F.struct(F.col("confidence"), -F.col("match_id")))).alias("top_pick"))
+        F.coalesce(F.sum("value_bets"), F.lit(0)).alias("value_bets"), F.count("arb").alias("arbitrages"))
+    listed = top_per_key(m.join(best, "match_id"), ["day"], [F.desc("confidence"), F.asc("match_id")], top, F.col("match_id"))
+    lists = listed.groupBy("day").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("rn", "match_id", "confidence"))), lambda x: F.struct(x["match_id"], x["confidence"])).alias("top_picks"))
+    return counts.join(lists, "day", "left").withColumn("top_pick", F.get("top_picks", F.lit(0))["match_id"])
+
+
+def digest_performance(bets: DataFrame, now) -> DataFrame:
+    """Per user: return on investment of yesterday and of the seven days before today, and the current streak."""
+    from stakeflow.operators.windows import streaks
+
+    today = dt.datetime.combine(as_time(now).date(), dt.time())
+    earlier = lambda n: F.col("placed_at") >= ntz(today - dt.timedelta(days=n))
+    before = bets.filter(F.col("placed_at") < ntz(today))
+    done = settle_bets(before.filter(earlier(7))).filter("settled")
+
+    def of(days: int) -> Column:
+        return r6(ratio(F.sum(F.when(earlier(days), F.col("profit"))), F.sum(F.when(earlier(days), F.col("stake"))), 100))
+
+    recent = done.groupBy("user_id").agg(of(1).alias("yesterday_roi"), of(7).alias("week_roi"))
+    run = streaks(before).select("user_id", F.abs("current").alias("current_streak"), F.when(F.col("current") > 0, "winning").otherwise("losing").alias("streak_type"))
+    return run.join(recent, "user_id", "full").select(
+        "user_id", F.coalesce("yesterday_roi", F.lit(0.0)).alias("yesterday_roi"), F.coalesce("week_roi", F.lit(0.0)).alias("week_roi"),
+        F.coalesce("current_streak", F.lit(0)).alias("current_streak"), F.coalesce("streak_type", F.lit("none")).alias("streak_type"))
 
 
 def parlay_odds(legs: DataFrame, key: str) -> DataFrame:

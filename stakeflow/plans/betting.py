@@ -154,7 +154,7 @@ def _(t):
     return B.market_inefficiencies(t.quote, 1.1)
 
 
-@query("backtest", "v_bet", """WITH r0 AS (SELECT *, round(least(greatest(0, (CAST(40 + bet_id % 41 AS DOUBLE) / 100 * odds - 1) / (odds - 1)) * 0.25, 0.02) * 1000, 6) AS st FROM v_bet
+BACKTEST = """WITH r0 AS (SELECT *, {stake} AS st FROM v_bet
      WHERE placed_at >= TIMESTAMP '2024-01-08' AND placed_at < TIMESTAMP '2024-01-29'),
    s AS (SELECT user_id, placed_at, bet_id, status, st AS stake, odds, CASE status WHEN 'won' THEN st * odds WHEN 'void' THEN st WHEN 'cashed_out' THEN st * 0.8 ELSE 0 END AS ret FROM r0 WHERE st > 0),
    g AS (SELECT user_id, count(*) AS total_bets, round(sum(stake), 6) AS staked, round(sum(ret) - sum(stake), 6) AS profit, round((sum(ret) - sum(stake)) * 100 / sum(stake), 6) AS roi,
@@ -162,7 +162,23 @@ def _(t):
    c AS (SELECT user_id, placed_at, bet_id, sum(ret - stake) OVER (PARTITION BY user_id ORDER BY placed_at, bet_id ROWS UNBOUNDED PRECEDING) AS cum FROM s WHERE status <> 'pending'),
    p AS (SELECT *, greatest(0, max(cum) OVER (PARTITION BY user_id ORDER BY placed_at, bet_id ROWS UNBOUNDED PRECEDING)) AS peak FROM c),
    d AS (SELECT user_id, round(greatest(0, max(peak - cum)), 6) AS max_drawdown, round(greatest(0, max(peak - cum)) * 100 / (max(peak) + 1000), 6) AS max_drawdown_pct FROM p GROUP BY 1)
-  SELECT * FROM g JOIN d USING (user_id)""")
+  SELECT * FROM g JOIN d USING (user_id)"""
+
+
+def _backtest(t, strategy):
+    return B.backtest(t.bet.withColumn("confidence", (F.col("bet_id") % 41 + 40).cast("double")), "2024-01-08", "2024-01-29", 1000.0, strategy)
+
+
+@query("backtest", "v_bet", BACKTEST.format(stake="round(least(greatest(0, (CAST(40 + bet_id % 41 AS DOUBLE) / 100 * odds - 1) / (odds - 1)) * 0.25, 0.02) * 1000, 6)"))
+def _(t):
+    return _backtest(t, "kelly")
+
+
+@query("backtest_value_only", "v_bet", BACKTEST.format(stake="CASE WHEN CAST(40 + bet_id % 41 AS DOUBLE) / 100 * odds > 1 THEN CAST(10 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"))
+def _(t):
+    return _backtest(t, "value_only")
+
+
+@query("backtest_rule", "v_bet", BACKTEST.format(stake="CAST(40 + bet_id % 41 AS DOUBLE) / odds"))
 def _(t):
-    bets = t.bet.withColumn("confidence", (F.col("bet_id") % 41 + 40).cast("double"))
-    return B.backtest(bets, "2024-01-08", "2024-01-29", 1000.0)
+    return _backtest(t, lambda confidence, odds, bankroll: confidence / odds)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from stakeflow.functions import text as X
 from stakeflow.functions.rules import IPV4, IPV6
 from stakeflow.functions.text import SPACE, WORD
 from stakeflow.operators import quality as Q
@@ -52,15 +53,20 @@ def _(t):
     return Q.dq_rules(t.pages, {"url": "url", "html": [("length", 1000, 4000), "json"]})
 
 
-@query("pii_scan", "", r"""WITH d AS (SELECT doc_id, length(text) AS n, len(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}')) AS emails,
-     len(list_filter(list_transform(regexp_extract_all(text, '\+[0-9][0-9 ().-]*[0-9]|\(?[0-9]{2,4}\)?[ .-][0-9][0-9 .-]*[0-9]'), lambda x: regexp_replace(x, '[\s\-\(\)\.]', '', 'g')),
-        lambda x: regexp_matches(x, '^\+?[0-9]{7,15}$'))) AS phones,
-     list_filter(list_transform(regexp_extract_all(text, '[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]+'), lambda x: regexp_replace(x, '[ -]', '', 'g')), lambda x: length(x) BETWEEN 13 AND 19) AS cand FROM documents),
-   k AS (SELECT doc_id, emails, phones, list_filter(cand, lambda x: list_sum(list_transform(range(1, length(x) + 1), lambda i:
+LUHN = """list_sum(list_transform(range(1, length(x) + 1), lambda i:
       CASE WHEN i % 2 = 1 THEN CAST(substr(reverse(x), i, 1) AS INT) WHEN CAST(substr(reverse(x), i, 1) AS INT) > 4 THEN CAST(substr(reverse(x), i, 1) AS INT) * 2 - 9
-       ELSE CAST(substr(reverse(x), i, 1) AS INT) * 2 END)) % 10 = 0) AS c FROM d)
+       ELSE CAST(substr(reverse(x), i, 1) AS INT) * 2 END)) % 10 = 0"""
+PII = rf"""WITH d AS (SELECT doc_id, len(regexp_extract_all(text, '{X.EMAIL_CANDIDATE}')) AS emails,
+     len(list_filter(list_transform(regexp_extract_all(regexp_replace(text, '{X.CARD_GROUPS}', '_', 'g'), '{X.PHONE_CANDIDATE}'), lambda x: regexp_replace(x, '[\s\-\(\)\.]', '', 'g')),
+        lambda x: regexp_matches(x, '^\+?[0-9]{{7,15}}$'))) AS phones,
+     list_filter(list_transform(regexp_extract_all(text, '{X.CARD_CANDIDATE}'), lambda x: regexp_replace(x, '[ -]', '', 'g')), lambda x: length(x) BETWEEN 13 AND 19) AS cand FROM documents),
+   m AS (SELECT doc_id, emails, phones, list_transform(cand, lambda x: CASE WHEN length(x) = 19 AND NOT ({LUHN}) THEN substr(x, 1, 16) ELSE x END) AS cand FROM d),
+   k AS (SELECT doc_id, emails, phones, list_filter(cand, lambda x: {LUHN}) AS c FROM m)
   SELECT doc_id, emails, phones, len(c) AS cards, len(list_filter(c, lambda x: regexp_matches(x, '^4'))) AS visa, len(list_filter(c, lambda x: regexp_matches(x, '^5[1-5]'))) AS mastercard,
-    len(list_filter(c, lambda x: regexp_matches(x, '^3[47]'))) AS amex, len(list_filter(c, lambda x: regexp_matches(x, '^6011'))) AS discover FROM k""")
+    len(list_filter(c, lambda x: regexp_matches(x, '^3[47]'))) AS amex, len(list_filter(c, lambda x: regexp_matches(x, '^6011'))) AS discover FROM k"""
+
+
+@query("pii_scan", "", PII)
 def _(t):
     return Q.pii_scan(t.documents.select("doc_id", "text"))
 

@@ -27,15 +27,37 @@ def _(t):
     return R.prediction_stats(t.prediction)
 
 
-@query("analytics_overview", "v_bet v_prediction", f"""WITH {DAILY}, l AS (SELECT user_id, {LEDGER} FROM s GROUP BY user_id),
-  p AS (SELECT user_id, {PRED} FROM v_prediction GROUP BY user_id),
+def _overview(where_bets, where_predictions):
+    sport = LEDGER.strip()
+    return f"""WITH {SETTLED}, sb AS (SELECT * FROM s {where_bets}), d AS (SELECT user_id, CAST(placed_at AS DATE) AS day, round(sum(profit), 6) AS profit FROM s WHERE status <> 'pending' GROUP BY 1, 2),
+  l AS (SELECT user_id, {LEDGER} FROM sb GROUP BY user_id),
+  k AS (SELECT user_id, sport, {sport} FROM sb GROUP BY user_id, sport),
+  ks AS (SELECT user_id, string_agg(concat_ws(':', sport, total_bets, won), ' ' ORDER BY sport) AS by_sport, arg_min(sport, (-roi, sport)) AS best_sport, arg_min(sport, (roi, sport)) AS worst_sport FROM k GROUP BY 1),
+  pp AS (SELECT user_id, status, confidence, created_at + INTERVAL 8401 DAY AS created_at FROM v_prediction),
+  p AS (SELECT user_id, {PRED} FROM pp {where_predictions} GROUP BY user_id),
   g AS (SELECT user_id, COALESCE(regr_slope(profit, date_diff('day', DATE '1970-01-01', day)), 0) AS s FROM d GROUP BY user_id)
-  SELECT user_id, COALESCE(total_bets, 0) AS total_bets, COALESCE(total, 0) AS total_predictions, COALESCE(profit, 0) AS profit,
-    COALESCE(roi, 0) AS roi, COALESCE(win_rate, 0) AS win_rate, COALESCE(accuracy, 0) AS accuracy,
-    CASE WHEN g.s > 0.5 THEN 'up' WHEN g.s < -0.5 THEN 'down' ELSE 'stable' END AS trend
-  FROM l FULL JOIN p USING (user_id) LEFT JOIN g USING (user_id)""")
+  SELECT user_id, COALESCE(total_bets, 0) AS total_bets, COALESCE(won, 0) AS winning_bets, COALESCE(total, 0) AS total_predictions, COALESCE(correct, 0) AS correct_predictions,
+    COALESCE(staked, 0) AS staked, COALESCE(profit, 0) AS profit, COALESCE(roi, 0) AS roi, COALESCE(win_rate, 0) AS win_rate, COALESCE(accuracy, 0) AS accuracy,
+    by_sport, best_sport, worst_sport, CASE WHEN g.s > 0.5 THEN 'up' WHEN g.s < -0.5 THEN 'down' ELSE 'stable' END AS trend
+  FROM l FULL JOIN p USING (user_id) LEFT JOIN ks USING (user_id) LEFT JOIN g USING (user_id)"""
+
+
+def _overview_of(t, period):
+    made = t.prediction.withColumn("created_at", F.col("created_at").cast("timestamp_ntz") + F.make_dt_interval(days=F.lit(8401)))
+    out = R.analytics_overview(t.bet, made, W.profit_trend(t.bet), period, "2024-01-31 00:00:00")
+    text = F.array_join(F.transform("by_sport", lambda x: F.concat_ws(":", x["sport"], x["total_bets"], x["won"])), " ")
+    return out.withColumn("by_sport", text)
+
+
+@query("analytics_overview", "v_bet v_prediction", _overview("", ""))
 def _(t):
-    return R.analytics_overview(t.bet, t.prediction, W.profit_trend(t.bet))
+    return _overview_of(t, "all")
+
+
+@query("analytics_overview_week", "v_bet v_prediction", _overview(
+    "WHERE placed_at >= TIMESTAMP '2024-01-24'", "WHERE created_at >= TIMESTAMP '2024-01-24'"))
+def _(t):
+    return _overview_of(t, "7d")
 
 
 def _perf(unit):
@@ -59,11 +81,17 @@ def _(t):
     return R.rollup_report(t.bet, ["sport", "market", "bet_type"])
 
 
-@query("admin_stats", "v_bet", f"""WITH {SETTLED} SELECT count(*) AS bets, count(DISTINCT user_id) AS active_users, round(sum(stake), 6) AS wagered,
-    round(sum(profit), 6) AS user_profit, (SELECT count(*) FROM customer) AS total_users, (SELECT count(*) FROM lineitem) AS predictions
-   FROM s WHERE placed_at >= TIMESTAMP '2024-01-24'""")
+@query("admin_stats", "v_bet v_prediction", f"""WITH {SETTLED}, r AS (SELECT * FROM s WHERE placed_at >= TIMESTAMP '2024-01-23 12:00:00'),
+   p AS (SELECT status, created_at + INTERVAL 8401 DAY AS made FROM v_prediction), u AS (SELECT TIMESTAMP '2024-01-30 09:00:00' - INTERVAL 1 HOUR * CAST(c_custkey * 7 % 1500 AS INT) AS made FROM customer)
+  SELECT count(*) AS bets, count(*) FILTER (placed_at >= TIMESTAMP '2024-01-30') AS bets_today, count(DISTINCT user_id) AS active_users, round(sum(stake), 6) AS wagered, round(sum(profit), 6) AS user_profit,
+   (SELECT count(*) FROM p WHERE made >= TIMESTAMP '2024-01-23 12:00:00') AS predictions, (SELECT count(*) FROM p WHERE made >= TIMESTAMP '2024-01-30') AS predictions_today,
+   (SELECT round(COALESCE(100.0 * count(*) FILTER (status = 'won') / nullif(count(*) FILTER (status IN ('won', 'lost')), 0), 0), 6) FROM p WHERE made >= TIMESTAMP '2024-01-23 12:00:00') AS accuracy,
+   (SELECT count(*) FROM u) AS total_users, (SELECT count(*) FROM u WHERE made >= TIMESTAMP '2024-01-30') AS new_users_today,
+   (SELECT count(*) FROM u WHERE made >= TIMESTAMP '2024-01-23 12:00:00') AS new_users_week, (SELECT count(*) FROM u WHERE made >= TIMESTAMP '2023-12-31 12:00:00') AS new_users_month FROM r""")
 def _(t):
-    return R.admin_stats(t.bet, t.lineitem, t.customer, "2024-01-24")
+    made = t.prediction.withColumn("created_at", F.col("created_at").cast("timestamp_ntz") + F.make_dt_interval(days=F.lit(8401)))
+    joined = F.lit("2024-01-30 09:00:00").cast("timestamp_ntz") - F.make_dt_interval(hours=(F.col("c_custkey") * 7 % 1500).cast("int"))
+    return R.admin_stats(t.bet, made, t.customer.select(joined.alias("created_at")), TODAY, 7)
 
 
 @query("traffic_metrics", "v_access", """SELECT path, count(*) AS requests,
@@ -103,13 +131,13 @@ def _(t):
 
 
 @query("confidence_calibration", "v_prediction", """WITH d AS (SELECT *, least(floor(confidence / 10) * 10, 90) AS b, CASE status WHEN 'won' THEN 100.0 ELSE 0 END AS hit
-     FROM v_prediction WHERE status IN ('won', 'lost') AND confidence >= 60),
+     FROM v_prediction WHERE status IN ('won', 'lost') AND confidence >= 60 AND created_at >= TIMESTAMP '2000-12-31' - INTERVAL 300 DAY),
    t AS (SELECT count(*) AS tn, avg(confidence) AS tc, avg(hit) AS th FROM d),
    g AS (SELECT CAST(b AS BIGINT) AS band, count(*) AS n, avg(confidence) AS c, avg(hit) AS h FROM d GROUP BY 1)
   SELECT band, n, round(c, 6) AS mean_confidence, round(h, 6) AS accuracy, round(abs(c - h), 6) AS gap, round(abs(c - h) * n / tn, 6) AS ece_part,
     round(abs(tc - th), 6) AS overall_error FROM g, t""")
 def _(t):
-    return A.calibration(t.prediction, low=60)
+    return A.calibration(t.prediction, "2000-12-31", 300, low=60)
 
 
 MODEL = """count(*) AS n, round(100.0 * count(*) FILTER ((confidence >= 50) = (status = 'won')) / count(*), 6) AS accuracy,
@@ -257,13 +285,28 @@ def _(t):
    v AS (SELECT match_id, count(*) AS n FROM v_quote WHERE 0.3 * odds > 1 GROUP BY 1),
    b AS (SELECT match_id, outcome, max(odds) AS o FROM v_quote GROUP BY 1, 2), a AS (SELECT match_id FROM b GROUP BY 1 HAVING count(*) = 3 AND sum(1 / o) < 0.7)
   SELECT CAST(match_date AS DATE) AS day, count(*) AS events, CAST(COALESCE(sum(picks), 0) AS BIGINT) AS picks, CAST(COALESCE(sum(v.n), 0) AS BIGINT) AS value_bets,
-    count(a.match_id) AS arbitrages, arg_max(match_id, (confidence, -match_id)) FILTER (confidence IS NOT NULL) AS top_pick
+    count(a.match_id) AS arbitrages, arg_max(match_id, (confidence, -match_id)) FILTER (confidence IS NOT NULL) AS top_pick,
+    array_to_string(list(concat(match_id, ':', CAST(confidence AS INT)) ORDER BY confidence DESC, match_id) FILTER (confidence IS NOT NULL)[1:3], ' ') AS top_picks
   FROM v_match LEFT JOIN k USING (match_id) LEFT JOIN v USING (match_id) LEFT JOIN a USING (match_id) GROUP BY 1""")
 def _(t):
     from stakeflow.operators.betting import arbitrage_finder
     conf = t.lineitem.select(F.col("l_orderkey").alias("match_id"), (F.col("l_quantity") * 2).alias("confidence"))
-    return R.daily_digest(t.match, conf.filter("confidence >= 70"), t.quote.filter("CAST(0.3 AS DOUBLE) * odds > 1"),
-                          arbitrage_finder(t.quote, outcomes=3, max_inverse=0.7))
+    out = R.daily_digest(t.match, conf.filter("confidence >= 70"), t.quote.filter("CAST(0.3 AS DOUBLE) * odds > 1"),
+                         arbitrage_finder(t.quote, outcomes=3, max_inverse=0.7))
+    text = F.transform("top_picks", lambda x: F.concat(x["match_id"], F.lit(":"), x["confidence"].cast("int")))
+    return out.withColumn("top_picks", F.array_join(text, " "))
+
+
+@query("digest_performance", "v_bet", f"""WITH {SETTLED}, b AS (SELECT * FROM s WHERE placed_at < TIMESTAMP '2024-01-30'),
+   w AS (SELECT user_id, round(COALESCE(sum(profit) FILTER (placed_at >= TIMESTAMP '2024-01-29') * 100 / nullif(sum(stake) FILTER (placed_at >= TIMESTAMP '2024-01-29'), 0), 0), 6) AS yesterday_roi,
+     round(COALESCE(sum(profit) * 100 / nullif(sum(stake), 0), 0), 6) AS week_roi FROM b WHERE status <> 'pending' AND placed_at >= TIMESTAMP '2024-01-23' GROUP BY 1),
+   x AS (SELECT user_id, status, row_number() OVER (PARTITION BY user_id ORDER BY placed_at DESC, bet_id DESC) AS rn FROM b WHERE status IN ('won', 'lost')),
+   f AS (SELECT user_id, arg_min(status, rn) AS st FROM x GROUP BY 1),
+   r AS (SELECT x.user_id, st, COALESCE(min(rn) FILTER (status <> st) - 1, max(rn)) AS n FROM x JOIN f USING (user_id) GROUP BY 1, 2)
+  SELECT user_id, COALESCE(yesterday_roi, 0) AS yesterday_roi, COALESCE(week_roi, 0) AS week_roi, COALESCE(n, 0) AS current_streak,
+    CASE st WHEN 'won' THEN 'winning' WHEN 'lost' THEN 'losing' ELSE 'none' END AS streak_type FROM r FULL JOIN w USING (user_id)""")
+def _(t):
+    return R.digest_performance(t.bet, TODAY)
 
 
 @query("parlay_odds", "v_quote", """SELECT match_id AS parlay_id, count(*) AS legs, round(ln(product(odds)), 6) AS log_odds,

@@ -64,15 +64,6 @@ def test_ensemble_sums_to_one(tables):
     assert B.ensemble(tables.prob, "soft").filter(F.abs(F.col("p_home") + F.col("p_draw") + F.col("p_away") - 1) > 1e-5).count() == 0
 
 
-def test_monte_carlo_near_grid(spark, tables):
-    rates = B.goal_rates(tables.match, B.attack_defence(A.team_sides(tables.match)))
-    mc, grid = B.monte_carlo(rates, 2000, 11).select("match_id", F.col("p_home").alias("m")), B.poisson_grid(rates).select("match_id", "p_home")
-    far = mc.join(grid, "match_id").filter(F.abs(F.col("m") - F.col("p_home")) > 0.06).count()
-    assert far <= rates.count() * 0.01
-    again = B.monte_carlo(rates, 2000, 11).select("match_id", F.col("p_home").alias("m"))
-    assert again.exceptAll(mc).count() == 0
-
-
 def test_elo_matches_loop(spark, tables):
     m = tables.match.filter("status = 'finished'").orderBy("match_date", "match_id").collect()
     want = {}
@@ -241,11 +232,14 @@ def test_export_keeps_values(spark, tables):
 
 
 def test_poisson_shares_add_to_one(spark):
-    rates = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate([(0.1, 0.2), (1.4, 1.1), (100.0, 98.0), (30.0, 0.1)])], "match_id int, lh double, la double")
+    rates = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate([(0.1, 0.2), (1.4, 1.1), (100.0, 98.0), (30.0, 0.1), (800.0, 790.0), (0.0, 1.2)])], "match_id int, lh double, la double")
     got = {r.match_id: r for r in B.poisson_grid(rates).collect()}
     assert all(abs(r.p_home + r.p_draw + r.p_away - 1) < 3e-6 for r in got.values())
     assert abs(got[1].over_2_5 - 0.456187) < 1e-6 and got[2].over_2_5 == 1.0
     assert 0.4 < got[2].p_away < got[2].p_home < 0.6 and got[3].p_home > 0.999
+    # far beyond where exp(-rate) is 0: the difference is nearly normal with mean 10 and variance 1590
+    assert abs(got[4].p_home - 0.5941) < 2e-3 and abs(got[4].p_draw - 0.0097) < 2e-4
+    assert (got[5].p_home, got[5].p_draw) == (0.0, pytest.approx(0.301194, abs=2e-6))
 
 
 def test_null_groups_and_values_stay(spark):
@@ -282,3 +276,63 @@ def test_match_detail_lists_every_injury(spark):
     inj = spark.createDataFrame([("A", f"p{i}", "2024-01-01", f"2024-01-1{i}") for i in range(5)], "team string, player string, injury_date string, expected_return string")
     row = match_detail(m, st, inj).first()
     assert [p.player for p in row.home.injuries] == ["p4", "p3", "p2", "p1", "p0"] and row.home.injured == 5 and row.away.injured == 0
+
+
+def test_backtest_strategies(spark, tables):
+    bets = tables.bet.withColumn("confidence", (F.col("bet_id") % 41 + 40).cast("double"))
+    run = lambda s: {r.user_id: r.staked for r in B.backtest(bets, "2024-01-08", "2024-01-29", 1000.0, s).collect()}
+    flat = run("flat")
+    assert flat and all(v % 10 == 0 for v in flat.values())
+    assert run(lambda confidence, odds, bankroll: F.lit(10.0)) == flat and run("value_only") != flat
+    with pytest.raises(ValueError):
+        B.backtest(bets, "2024-01-08", "2024-01-29", 1000.0, "martingale")
+
+
+def test_calibration_lookback(tables):
+    whole = A.calibration(tables.prediction).agg(F.sum("n")).first()[0]
+    part = A.calibration(tables.prediction, "2000-12-31", 30).agg(F.sum("n")).first()[0]
+    assert 0 < part < whole
+    for days in (6, 366):
+        with pytest.raises(ValueError):
+            A.calibration(tables.prediction, "2000-12-31", days)
+
+
+def test_cards_and_phones(spark):
+    from stakeflow.functions import text as X
+
+    cases = [
+        ("3782 822463 10005", ["378282246310005"], []), ("4111-1111-1111-1111", ["4111111111111111"], []),
+        ("4111 1111 1111 1111 123", ["4111111111111111"], []), ("4111 1111 1111 1111 5555 5555 5555 4444", ["4111111111111111", "5555555555554444"], []),
+        ("555-123-4567 555-987-6543", [], ["5551234567", "5559876543"]), ("+1 (555) 123-4567", [], ["+15551234567"]),
+        ("call 01 23 45 67 89 now", [], ["0123456789"]), ("4111 1111 1111 1112", [], []), ("no. 12 of 345", [], []),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "i int, t string")
+    got = {r.i: (r.c, r.p) for r in df.select("i", X.cards(F.col("t")).alias("c"), X.phones(F.col("t")).alias("p")).collect()}
+    assert [got[i] for i in range(len(cases))] == [(c, p) for _, c, p in cases]
+
+
+def test_broken_escape_in_a_parameter_name(spark):
+    from stakeflow.functions.text import query_params
+
+    df = spark.createDataFrame([("http://x/?a%zz=1&b=2&a%zz=3&%41=4",)], "u string")
+    assert df.select(query_params(F.col("u")).alias("m")).first().m == {"a%zz": ["1", "3"], "b": ["2"], "A": ["4"]}
+
+
+def test_names_keep_their_underscores(spark):
+    from stakeflow.operators.projections import NAMING, rename_columns
+
+    assert [NAMING["snake"](n) for n in ("_id", "id", "a__b", "matchID", "HTTPServer", "kick off-time")] == ["_id", "id", "a__b", "match_id", "http_server", "kick_off_time"]
+    assert [NAMING[c]("_match_date") for c in ("camel", "kebab")] == ["MatchDate", "-match-date"]
+    df = spark.createDataFrame([(1, 2)], "_id int, id int")
+    assert rename_columns(df, "snake").columns == ["_id", "id"] and rename_columns(df, "camel").columns == ["Id", "id"]
+
+
+def test_match_detail_with_form(spark):
+    from stakeflow.operators.joins import match_detail
+
+    m = spark.createDataFrame([(1, "x", "A", "B", "2024-01-01", "finished", 1, 0)],
+                              "match_id long, league string, home_team string, away_team string, match_date string, status string, home_score long, away_score long")
+    st = spark.createDataFrame([("A", 1), ("B", 1)], "team string, played int")
+    inj = spark.createDataFrame([], "team string, player string, injury_date string, expected_return string")
+    row = match_detail(m, st, inj, form=spark.createDataFrame([("A", "WDL")], "team string, form string")).first()
+    assert row.home.form == ["W", "D", "L"] and row.away.form is None
