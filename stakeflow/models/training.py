@@ -7,7 +7,6 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,17 +148,6 @@ def select_features(data: DataFrame, k: int, features: list[str] = FEATURES) ->
     return [features[i] for i in model.stages[-1].selectedFeatures]
 
 
-def calibrate(scored: DataFrame, p: str, label: str) -> DataFrame:
-    """Isotonic map of raw scores: boundaries and calibrated probabilities as rows.
-
-    Rows are pre-aggregated to one weighted row per score.
-    """
-    pre = scored.groupBy(p).agg(F.avg(label).alias("label"), F.count("*").cast("double").alias("weight"))
-    data = VectorAssembler(inputCols=[p], outputCol="features").transform(pre)
-    model = IsotonicRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(data)
-    return model.transform(data).select(p, r6(F.col("label")).alias("observed"), r6(F.col("prediction")).alias("calibrated"))
-
-
 def batch_predict(requests: DataFrame, scored: DataFrame, limit: int = 50) -> DataFrame:
     """Scores of a requested list of matches, with an error for ids that have none.
 

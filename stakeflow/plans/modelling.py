@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from stakeflow.functions.semantics import r6
 from stakeflow.models import training as M
+from stakeflow.models.calibration import calibrate
 from stakeflow.operators import aggregates as A
 from stakeflow.plans.registry import query
 from stakeflow.plans.reports import MODEL
@@ -79,11 +80,14 @@ def _(t):
     return M.feature_importance(model, t.spark).orderBy(F.desc("importance"), "feature")
 
 
-@query("calibrate")
+@query("calibrate", "v_prediction", """WITH g AS (SELECT confidence AS p, CAST(count(*) AS DOUBLE) AS w, CAST(count(*) FILTER (status = 'won') AS DOUBLE) AS s FROM v_prediction WHERE status IN ('won', 'lost') GROUP BY 1),
+   c AS (SELECT p, s / w AS o, sum(w) OVER (ORDER BY p) AS cw, sum(s) OVER (ORDER BY p) AS cs, sum(w) OVER (ORDER BY p) - w AS bw, sum(s) OVER (ORDER BY p) - s AS bs FROM g),
+   m AS (SELECT i.p, a.p AS first, min((b.cs - a.bs) / (b.cw - a.bw)) AS v FROM c i JOIN c a ON a.p <= i.p JOIN c b ON b.p >= i.p GROUP BY 1, 2)
+  SELECT p, round(o, 6) AS observed, round(max(v), 6) AS calibrated FROM m JOIN c USING (p) GROUP BY p, o""")
 def _(t):
     scored = t.prediction.filter(F.col("status").isin("won", "lost")).select(
         F.col("confidence").alias("p"), (F.col("status") == "won").cast("double").alias("label"))
-    return M.calibrate(scored, "p", "label")
+    return calibrate(scored, "p", "label")
 
 
 @query("stream_scoring")
