@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stakeflow.llm.components import connected_components
-from stakeflow.llm.storage import written
+from stakeflow.llm.storage import free_names, written
 from stakeflow.llm.words import chunks, hash_seeds, minhash, mix, shingle_set, split_words
 
 
@@ -285,5 +285,6 @@ def near_copies(docs: DataFrame, opts: Settings = Settings()) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, opts: Settings = Settings()) -> DataFrame:
     """The documents that are kept, with all their columns: one of every component."""
-    gone = near_copies(docs, opts).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select(*docs.columns)
+    (name,) = free_names(docs, "gone_id")
+    gone = near_copies(docs, opts).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti").select(*docs.columns)

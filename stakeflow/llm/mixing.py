@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stakeflow.llm.storage import written
+from stakeflow.llm.storage import free_names, written
 
 # fixed value: words are runs of bytes that are not ASCII white space
 WORD = r"[^\x20\x09-\x0D]+"
@@ -109,27 +109,29 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_e
     and every source ends within half a document of its target. Documents of size 0 cost nothing of
     the budget and are kept once.
     """
+    # the plan's columns stand beside those of the documents, whatever these are called
+    key, size, source, copies, total, target, before, place, nth, words, row, epoch = free_names(
+        docs, "m_id", "m_size", "m_source", "m_copies", "m_source_size", "m_target", "m_before", "m_place", "m_nth", "m_words", "m_row", "m_epoch")
     plan = mix_plan(docs, weights, max_epochs, seed).select(
-        F.col("doc_id").alias("m_id"), F.col("size").alias("m_size"), F.col("source").alias("m_source"),
-        F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int").alias("m_copies"),
-        F.col("source_size").alias("m_source_size"), F.col("target").alias("m_target"),
-        F.col("words_before").alias("m_before"), F.col("place").alias("m_place"),
+        F.col("doc_id").alias(key), F.col("size").alias(size), F.col("source").alias(source),
+        F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int").alias(copies),
+        F.col("source_size").alias(total), F.col("target").alias(target),
+        F.col("words_before").alias(before), F.col("place").alias(place),
     )
     # repeated rows of one id have plans of their own: pair them by number
     number = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))
-    plan = plan.withColumn("m_nth", number("m_id", "m_size", "m_source"))
-    rows = docs.withColumn("m_words", word_count(F.col("text")))
-    rows = rows.withColumn("m_row", number("doc_id", "m_words", "source"))
+    plan = plan.withColumn(nth, number(key, size, source))
+    rows = docs.withColumn(words, word_count(F.col("text")))
+    rows = rows.withColumn(row, number("doc_id", words, "source"))
     taken = rows.join(
         plan,
-        F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("m_words") == F.col("m_size"))
-        & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("m_row") == F.col("m_nth")),
-    ).filter("m_copies > 0")
-    epoch = F.explode(F.sequence(F.lit(0), F.col("m_copies") - 1))
-    finish = (F.col("m_epoch") * F.col("m_source_size") + F.col("m_before") + F.col("m_size")) / F.col("m_target")
+        F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(words) == F.col(size))
+        & F.col("source").eqNullSafe(F.col(source)) & (F.col(row) == F.col(nth)),
+    ).filter(F.col(copies) > 0)
+    finish = (F.col(epoch) * F.col(total) + F.col(before) + F.col(size)) / F.col(target)
     return (
-        taken.withColumn("m_epoch", epoch)
-        .orderBy(F.when(F.col("m_target") > 0, finish), "m_place", "doc_id")
+        taken.withColumn(epoch, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)))
+        .orderBy(F.when(F.col(target) > 0, finish), place, "doc_id")
         .select(*docs.columns)
     )
 

@@ -6,7 +6,7 @@ import corpus_pipeline as pipeline
 from stakeflow.llm import minhash, passages, toxicity
 
 from ..conftest import SF
-from .cases import empty, words
+from .cases import awkward, empty, frame, words
 
 
 def test_stages_in_order(spark):
@@ -36,3 +36,25 @@ def test_stages_in_order(spark):
 @pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
 def test_stages_pass_empty_tables(spark, name):
     assert dict(pipeline.STAGES)[name](spark, empty(spark), SF).count() == 0
+
+
+CLASHES = {"id": 7, "m_words": 99, "m_epoch": 98, "m_id": "m", "gone_id": 97, "cut_doc": 96, "cut_spans": "c", "M_Size": 95}
+
+
+@pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES[:-1]])
+def test_stages_return_null_repeated_and_clashing_rows(spark, name):
+    """Further columns come back unchanged whatever their names, and null and repeated rows pass without a crash."""
+    docs = frame(spark, awkward() + awkward()[:2])
+    out = dict(pipeline.STAGES)[name](spark, docs, SF)
+    assert out.dtypes == docs.dtypes
+    got = out.collect()
+    assert got and all(r[c] == v for r in got for c, v in CLASHES.items())
+    texts = {(r.doc_id, r.text) for r in got}
+    if name != "passage_dedup":
+        assert texts <= {(d, t) for d, t, *_ in awkward()}
+    assert any(r.text is None for r in got)
+
+
+def test_last_stage_packs_awkward_rows(spark):
+    docs = frame(spark, awkward())
+    assert {r.doc_id for r in pipeline.pack(spark, docs, SF).collect()} == {d for d, *_ in awkward()}
