@@ -1,5 +1,6 @@
 """Near copies, repeated passages, components, near vectors and nearest vectors against brute force."""
 
+import random
 from fractions import Fraction
 
 import numpy as np
@@ -163,15 +164,74 @@ def test_compact_windows_are_the_long_cartesian_nodes():
     assert got == want
 
 
-def test_similar_runs():
+def spans_of(same):
+    x = np.arange(len(same), dtype=np.uint16)
+    return passages.similar_spans(x, np.where(same, x, x + 1000).astype(np.uint16), [0], passages.Settings())
+
+
+def test_similar_spans():
     same = np.ones(200, bool)
-    assert passages.similar_runs(same, 5, 50, Fraction(8, 10)) == [(0, 200)]
+    assert spans_of(same) == [(0, 200)]
     same[60:120] = False
-    assert passages.similar_runs(same, 5, 50, Fraction(8, 10)) == [(0, 60), (120, 200)]
+    assert spans_of(same) == [(0, 60), (120, 200)]
     one = np.ones(90, bool)
     one[44] = False
-    assert passages.similar_runs(one, 5, 50, Fraction(8, 10)) == [(0, 90)]
-    assert passages.similar_runs(same[:49], 5, 50, Fraction(8, 10)) == []
+    assert spans_of(one) == [(0, 90)]
+    assert spans_of(same[:49]) == []
+    x = np.arange(200, dtype=np.uint16)
+    added = np.r_[x[:70], [900], x[70:100]].astype(np.uint16)  # a word more in the middle
+    assert passages.similar_spans(x[30:100], added[20:], [10, 11], passages.Settings()) == [(0, 70)]
+    assert passages.similar_spans(added[30:], x, [30, 29], passages.Settings()) == [(0, 71)]
+    # both halves alone are too short, and far apart they are no passage
+    apart = np.r_[x[:30], np.arange(500, 530), x[30:60]].astype(np.uint16)
+    assert passages.similar_spans(x[:60], apart, [0, 30], passages.Settings()) == []
+
+
+def edited(passage, how, r):
+    out = list(passage)
+    at = r.randrange(6, len(out) - 6)
+    if how == "changed":
+        out[at] = f"new{r.randrange(10**6)}"
+    elif how == "added":
+        out.insert(at, f"new{r.randrange(10**6)}")
+    elif how == "missing":
+        del out[at]
+    return out
+
+
+def jaccard(a, b, n=5):
+    x, y = ({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_recall_of_edited_passages(spark):
+    """Passages of 55, 80 and 150 words with one word changed, added or missing, in otherwise unrelated documents."""
+    r = random.Random(12)
+    texts, wanted, clean = [], {}, set()
+    number = 10_000
+    for length in (55, 80, 150):
+        for how in ("same", "changed", "added", "missing"):
+            for _ in range(50):
+                passage = prose(number * 3, length).split()
+                second = edited(passage, how, r)
+                if jaccard(passage, second) >= 0.8 and len(second) >= 50:
+                    wanted[number + 1] = (how, length)
+                for k, own in enumerate((passage, second)):
+                    texts.append((number + k, " ".join([*prose(number * 7 + k, r.randint(5, 80)).split(), *own, *prose(number * 11 + k, r.randint(5, 80)).split()])))
+                number += 2
+    for _ in range(200):
+        clean.add(number)
+        texts.append((number, prose(number * 13, 120)))
+        number += 1
+    found = {}
+    for s in passages.repeated_passages(frame(spark, rows(texts))).collect():
+        found[s.doc_id] = max(found.get(s.doc_id, 0), s.n_words)
+    by = {}
+    for doc, kind in wanted.items():
+        by.setdefault(kind[0], []).append(found.get(doc, 0) >= 0.8 * kind[1])
+    shares = {how: sum(hits) / len(hits) for how, hits in by.items()}
+    assert shares["same"] == 1.0 and all(shares[how] >= 0.93 for how in ("changed", "added", "missing")), shares
+    assert not clean & set(found)
 
 
 VECTORS = "vec_id long, embedding array<float>, label int, id long, copies long, leaf string, shard int, block int"
