@@ -34,11 +34,14 @@ WORST = -np.inf
 @dataclass(frozen=True)
 class Settings:
     k: int = 20
-    shards: int = 8  # at least; a shard holds at most shard_rows classes
+    shards: int = 8  # at least; a shard holds at most shard_rows classes and about shard_bytes
     shard_rows: int = 200_000
+    shard_bytes: int = 1 << 29
     links: int = 16  # per node in the upper layers, twice that in the lowest
     build_width: int = 64
     search_width: int = 128
+    starts: int = 256  # rows at least that a query is compared with to find its entries
+    entries: int = 8
     batch: int = 128
     query_block: int = 20_000
     seed: int = 3
@@ -60,6 +63,8 @@ class Graph:
             hi = min(n, lo + min(opts.batch, max(1, lo // 2)))
             self._insert(np.arange(lo, hi))
             lo = hi
+        self.entries = self._reaching_all(self._sample(n))
+        self.entries = np.r_[self.entries, self._lost()]
 
     def search(self, q: np.ndarray, width: int, layer: int, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best ``width`` rows of a layer for each query, nearest first: (rows or -1, scores)."""
@@ -72,7 +77,8 @@ class Graph:
         here = np.einsum("bd,bed->be", q, self.x[np.maximum(entry, 0)])
         here[entry < 0] = WORST
         score[:, :e] = here
-        np.put_along_axis(seen, np.maximum(entry, 0), True, 1)
+        given = entry >= 0
+        seen[np.arange(b)[:, None].repeat(e, 1)[given], entry[given]] = True
         opened = rows < 0
         every = np.arange(b)
         active = every
@@ -105,6 +111,43 @@ class Graph:
         rows[score == WORST] = -1
         return rows, score
 
+    def _sample(self, rows: int) -> np.ndarray:
+        """Evenly spread rows, as many as the root of the rows asks for."""
+        return np.arange(0, rows, max(1, rows // max(self.opts.starts, int(4 * rows**0.5))))
+
+    def _reaching_all(self, entries: np.ndarray) -> np.ndarray:
+        """``entries`` and one row of each part of the lowest layer that no links lead to from them."""
+        near, reached, front, more = self.near[0], np.zeros(len(self.x), bool), entries, []
+        while True:
+            reached[front] = True
+            while len(front):
+                front = near[front].ravel()
+                front = np.unique(front[front >= 0])
+                front = front[~reached[front]]
+                reached[front] = True
+            left = np.flatnonzero(~reached)
+            if not len(left):
+                return np.r_[entries, np.array(more, np.int64)]
+            front = left[:1]
+            more.append(int(left[0]))
+
+    def _lost(self) -> np.ndarray:
+        """Rows that, asked as queries (without the added component), find nothing as near as they are themselves: new entries."""
+        out = [np.zeros(0, np.int64)]
+        for lo in range(0, len(self.x), self.opts.batch):
+            q = self.x[lo : lo + self.opts.batch].copy()
+            q[:, -1] = 0
+            best = self.nearest(q, self.opts.links)[:, 0]
+            short = (q * self.x[np.maximum(best, 0)]).sum(1) < (q * q).sum(1) - 1e-6
+            out.append(lo + np.flatnonzero(short | (best < 0)))
+        return np.concatenate(out)
+
+    def _starts(self, q: np.ndarray, entry: np.ndarray, sample: np.ndarray) -> np.ndarray:
+        """``entry`` and the best of a sample: links follow nearness, so far clusters may have none between them."""
+        most = min(self.opts.entries, len(sample))
+        best = sample[np.argpartition(-(q @ self.x[sample].T), most - 1, axis=1)[:, :most]]
+        return np.concatenate([np.where((best == entry).any(1, keepdims=True), -1, entry), best], 1)
+
     def _spread(self, rows: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
         """Up to ``most`` of each node's candidates (nearest first): those nearer to it than to a chosen one, then the nearest rest."""
         b, w = rows.shape
@@ -128,7 +171,8 @@ class Graph:
         entry = np.full((len(new), 1), self.top, np.int64)
         for layer in range(len(self.near) - 1, -1, -1):
             on = self.level[new] >= layer
-            found, score = self.search(q, self.opts.build_width if on.any() else 1, layer, entry)
+            starts = entry if layer else self._starts(q, entry, self._sample(int(new[0])))
+            found, score = self.search(q, self.opts.build_width if on.any() else 1, layer, starts)
             entry = found[:, :1]
             if not on.any():
                 continue
@@ -180,7 +224,8 @@ class Graph:
             entry = np.full((len(part), 1), self.top, np.int64)
             for layer in range(len(self.near) - 1, 0, -1):
                 entry = self.search(part, 1, layer, entry)[0]
-            out[lo : lo + self.opts.batch] = self.search(part, width, 0, entry)[0]
+            starts = self._starts(part, entry, self.entries)
+            out[lo : lo + self.opts.batch] = self.search(part, max(width, starts.shape[1]), 0, starts)[0][:, :width]
         return out
 
 
@@ -190,7 +235,7 @@ def _build(norm: float, opts: Settings):
         x = matrix(table.column("vector").combine_chunks())
         rest = np.sqrt(np.maximum(norm * norm - (x * x).sum(1), 0))
         graph = Graph(np.column_stack([x, rest]) / (norm or 1), opts)
-        data = pickle.dumps((table.column("id").to_numpy(), x, graph.near, graph.level), protocol=5)
+        data = pickle.dumps((table.column("id").to_numpy(), x, graph.near, graph.level, graph.entries), protocol=5)
         return pa.table({"shard": table.column("shard")[:1], "size": table.column("size")[:1], "graph": pa.array([data], pa.large_binary()).cast(pa.binary())})
 
     return run
@@ -200,11 +245,11 @@ def _search(norm: float, opts: Settings):
     def run(graphs: pa.Table, queries: pa.Table) -> pa.Table:
         out_q, out_id, out_s = [], [], []
         if graphs.num_rows and queries.num_rows:
-            ids, x, near, level = pickle.loads(graphs.column("graph")[0].as_py())
+            ids, x, near, level, entries = pickle.loads(graphs.column("graph")[0].as_py())
             graph = Graph.__new__(Graph)
             rest = np.sqrt(np.maximum(norm * norm - (x * x).sum(1), 0))
             graph.x = (np.column_stack([x, rest]) / (norm or 1)).astype(np.float32)
-            graph.opts, graph.near, graph.level, graph.top = opts, near, level, 0
+            graph.opts, graph.near, graph.level, graph.top, graph.entries = opts, near, level, 0, entries
             q_id, q = queries.column("query_id").to_numpy(), matrix(queries.column("vector").combine_chunks())
             width = max(opts.search_width, opts.k + 1)
             rows = graph.nearest(np.column_stack([q, np.zeros(len(q))]) / (norm or 1), min(width, len(ids)))
@@ -228,8 +273,10 @@ def nearest_vectors(rows: DataFrame, is_query: Column, opts: Settings = Settings
     valid = written(valid, "vectors")
     classes = written(valid.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vector-classes")
     squares = F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)
-    total, norm = classes.agg(F.count("*"), F.coalesce(F.sqrt(F.max(squares)), F.lit(0.0))).first()
-    shards = max(opts.shards, -(-total // opts.shard_rows))
+    total, norm, longest = classes.agg(
+        F.count("*"), F.coalesce(F.sqrt(F.max(squares)), F.lit(0.0)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    each = 8 * (longest + 1) + 16 * opts.links  # a vector and its links in a written graph
+    shards = max(opts.shards, -(-total // opts.shard_rows), -(-total * each // opts.shard_bytes))
     size = F.size("vector").cast("long").alias("size")
     dealt = classes.select("id", "vector", size, F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
     graphs = written(dealt.groupBy("size", "shard").applyInArrow(_build(norm, opts), "shard long, size long, graph binary"), "graphs")

@@ -300,6 +300,27 @@ def test_nearest_vectors_recall(spark):
     assert hits >= 0.97 * 20 * len(got)
 
 
+def test_one_large_shard_is_reached_everywhere():
+    """24,000 clustered vectors of uneven lengths in one graph: no query is left without its neighbours."""
+    r = np.random.default_rng(5)
+    centres = 3 * r.standard_normal((300, 24))
+    x = (centres[r.integers(0, 300, 24_000)] + 0.4 * r.standard_normal((24_000, 24))) * r.uniform(0.5, 2, (24_000, 1))
+    norm = np.sqrt((x * x).sum(1).max())
+    opts = ann.Settings()
+    graph = ann.Graph(np.column_stack([x, np.sqrt(np.maximum(norm**2 - (x * x).sum(1), 0))]) / norm, opts)
+    q = x[::60]
+    found = graph.nearest(np.column_stack([q, np.zeros(len(q))]) / norm, opts.search_width)
+    shares = []
+    for i in range(len(q)):
+        score = x @ q[i]
+        want = set(np.argsort(-score)[:20].tolist())
+        own = found[i][found[i] >= 0]
+        assert len(own) == len(set(own.tolist()))
+        got = own[np.argsort(-score[own])[:20]]
+        shares.append(len(want & set(got.tolist())) / 20)
+    assert np.mean(shares) >= 0.95 and min(shares) >= 0.5, (np.mean(shares), min(shares))
+
+
 def test_nearest_vectors_with_few_candidates(spark):
     data = [(i, [1.0, float(i % 3)], 0, 1, 2, "l", 3, 4) for i in range(0, 8)]
     got = ann.nearest_vectors(spark.createDataFrame(data, VECTORS), F.col("vec_id") == 0).orderBy("rank").collect()
