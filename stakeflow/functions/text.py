@@ -93,6 +93,13 @@ def query_params(url: Column) -> Column:
     return F.map_from_arrays(keys, values)
 
 
+def json_fields(text: Column, paths: dict[str, str], default: str | None = None) -> list[Column]:
+    """Named strings at paths of a JSON text, ``default`` where a path leads nowhere, and ``valid``; broken texts give nulls or defaults."""
+    v = F.try_parse_json(text)
+    found = [F.try_variant_get(v, path, "string") for path in paths.values()]
+    return [*[(c if default is None else F.coalesce(c, F.lit(default))).alias(n) for n, c in zip(paths, found)], v.isNotNull().alias("valid")]
+
+
 def luhn(digits: Column) -> Column:
     """True where a digit string passes the Luhn check."""
     rev = F.reverse(digits)

@@ -25,6 +25,15 @@ def dedup_keep(df: DataFrame, keys: list[str], order: list[str], last: bool = Fa
     return best.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
 
 
+def pivot_kv(df: DataFrame, keys: list[str], name: str, value: str, order: list[str], wanted: list[str]) -> DataFrame:
+    """Key-value rows to columns: the newest value by ``order`` of each wanted name, and how many names a key has.
+
+    Names outside ``wanted`` only count, so a key may have any number of them.
+    """
+    last = dedup_keep(df.select(*keys, name, value, *order), [*keys, name], order, last=True)
+    return last.groupBy(*keys).agg(F.count("*").alias("keys"), *[F.max(F.when(F.col(name) == w, F.col(value))).alias(w) for w in wanted])
+
+
 def merge_records(key: str, *sources: DataFrame, priority: str = "last") -> DataFrame:
     """Field-wise merge of sources with unique keys: non-null fields of the preferred source win."""
     if priority not in ("first", "last"):

@@ -115,10 +115,19 @@ def leaderboard(stats: DataFrame, metric: str, limit: int, me=None) -> DataFrame
         raise ValueError(f"unknown metric {metric!r}")
     if not 5 <= limit <= 100:
         raise ValueError("limit must be between 5 and 100")
-    keep = F.col("rank") <= limit
-    if me is not None:
-        keep = keep | (F.col("user_id") == me)
-    return ranked(stats, [], metric).filter(keep)
+    stats = written(stats, "stats")  # one row per user, read three times
+    value, own = F.col(metric), F.lit(False) if me is None else F.col("user_id") == me
+    # the values of the first ``limit`` users, and the asking user's: at most ``limit`` + 1 rows
+    shown = {r[0] for r in stats.filter(value.isNotNull()).orderBy(F.desc(metric)).limit(limit).select(metric).collect()}
+    asked = {r[0] for r in stats.filter(own & value.isNotNull()).select(metric).limit(1).collect()}
+    places = sorted(shown | asked, reverse=True)
+    counts = stats.agg(F.count(metric), *[f(c) for v in places for f, c in ((F.count_if, value > v), (F.count_if, value < v))]).first()
+    last = max(1, counts[0] - 1)
+    table = [(v, counts[1 + 2 * i] + 1, counts[2 + 2 * i] / last if counts[0] > 1 else 0.0) for i, v in enumerate(places)]
+    kind = stats.schema[metric].dataType.simpleString()
+    ranks = stats.sparkSession.createDataFrame([*table, (None, counts[0] + 1, 0.0)], f"_value {kind}, rank long, percentile double")
+    out = stats.join(F.broadcast(ranks), value.eqNullSafe(F.col("_value")))
+    return out.filter((F.col("rank") <= limit) | own).drop("_value")
 
 
 def performance_comparison(stats: DataFrame, metric: str) -> DataFrame:

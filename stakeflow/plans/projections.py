@@ -80,6 +80,25 @@ def _(t):
         "matchId", "matchInfo.kickOff", "matchInfo.priceInfo.totalPrice", "matchInfo.priceInfo.orderStatus")
 
 
+def _mixed(t):
+    return t.orders.select(F.col("o_orderkey").alias("_matchID"), F.struct(F.col("o_totalprice").alias("TotalPrice"), F.col("o_orderstatus").alias("order status")).alias("Price-Info"))
+
+
+@query("rename_columns_snake", "", "SELECT o_orderkey AS _match_id, o_totalprice AS total_price, o_orderstatus AS order_status FROM orders")
+def _(t):
+    return P.rename_columns(_mixed(t), "snake").select("_match_id", "price__info.total_price", "price__info.order_status")
+
+
+@query("rename_columns_kebab", "", """SELECT o_orderkey AS "-match-id", o_totalprice AS "total-price" FROM orders""")
+def _(t):
+    return P.rename_columns(_mixed(t), "kebab").select("`-match-id`", "`price--info`.`total-price`")
+
+
+@query("rename_columns_pascal", "", """SELECT o_orderkey AS "Matchid", o_orderstatus AS "OrderStatus" FROM orders""")
+def _(t):
+    return P.rename_columns(_mixed(t), "pascal").select("Matchid", "PriceInfo.OrderStatus")
+
+
 @query("flatten_df", "", """SELECT o_orderkey AS match_id, o_orderdate AS match_info_kick_off,
    o_totalprice AS match_info_price_info_total_price, o_orderstatus AS match_info_price_info_order_status FROM orders""")
 def _(t):

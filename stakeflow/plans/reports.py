@@ -309,6 +309,12 @@ def _(t):
     return R.digest_performance(t.bet, TODAY)
 
 
+@query("parlay_odds_of", "v_quote", "SELECT match_id AS parlay_id, round(ln(product(odds)), 6) AS log_odds FROM v_quote GROUP BY 1")
+def _(t):
+    slips = t.quote.groupBy(F.col("match_id").alias("parlay_id")).agg(F.collect_list(F.struct("odds")).alias("legs"))
+    return slips.select("parlay_id", r6(F.ln(R.parlay_odds_of(F.col("legs")))).alias("log_odds"))
+
+
 @query("parlay_odds", "v_quote", """SELECT match_id AS parlay_id, count(*) AS legs, round(ln(product(odds)), 6) AS log_odds,
     round(1 / product(odds), 9) AS implied_probability FROM v_quote GROUP BY 1""")
 def _(t):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from stakeflow.functions import text as X
 from stakeflow.functions.text import SPACE, WORD
-from stakeflow.operators.sets import dedup_keep
+from stakeflow.operators.sets import pivot_kv
 from stakeflow.plans.registry import query
 
 CLEAN = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(C, '[\x{{00}}-\x{{08}}\x{{0b}}\x{{0c}}\x{{0e}}-\x{{1f}}]', '', 'g'),
@@ -59,10 +59,8 @@ def _(t):
   SELECT event_id, CASE WHEN json_valid(props) THEN json_extract_string(props, '$.k') END AS k, 'none' AS missing, json_valid(props) AS valid FROM e""")
 def _(t):
     props = F.when(F.col("event_id") % 10 == 0, "broken{").otherwise(F.col("props"))
-    v = F.try_parse_json(props)
-    return t.events.select(
-        "event_id", F.try_variant_get(v, "$.k", "string").alias("k"),
-        F.coalesce(F.try_variant_get(v, "$.a.b", "string"), F.lit("none")).alias("missing"), v.isNotNull().alias("valid"))
+    (k, _v), (missing, valid) = X.json_fields(props, {"k": "$.k"}), X.json_fields(props, {"missing": "$.a.b"}, "none")
+    return t.events.select("event_id", k, missing, valid)
 
 
 @query("report_columns", "v_bet", """SELECT bet_id, CASE sport WHEN 'football' THEN concat('$', format('{:,.2f}', stake * 100)) WHEN 'tennis' THEN concat('C$', format('{:,.2f}', stake * 100))
@@ -92,7 +90,4 @@ def _(t):
 @query("pivot_kv", "", """WITH l AS (SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1)
   SELECT user_id, count(*) AS keys, max(value) FILTER (event_type = 'click') AS click, max(value) FILTER (event_type = 'purchase') AS purchase FROM l GROUP BY 1""")
 def _(t):
-    # keys are event types: a short list, so a map per user stays small
-    last = dedup_keep(t.events.select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"], last=True)
-    kv = last.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "value"))).alias("m"))
-    return kv.select("user_id", F.size("m").alias("keys"), F.col("m")["click"].alias("click"), F.col("m")["purchase"].alias("purchase"))
+    return pivot_kv(t.events, ["user_id"], "event_type", "value", ["ts", "event_id"], ["click", "purchase"])

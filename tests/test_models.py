@@ -106,3 +106,25 @@ def test_neighbours_of_empty_tables(spark):
     assert M.similar_matches(one, none, "qid", "cid", "v", 3).count() == 0
     assert M.similar_matches(one.limit(0), one.withColumnRenamed("qid", "cid"), "qid", "cid", "v", 3).count() == 0
     assert rows(M.similar_matches(one, one.withColumnRenamed("qid", "cid"), "qid", "cid", "v", 3)) == [(1, 1, 1.0, 1)]
+
+
+def test_streamed_scores_equal_batch_scores(spark, matches):
+    from stakeflow.session import shared_dir
+    from stakeflow.streaming.jobs import stream_source, stream_to_table
+
+    out = shared_dir(spark, "model")
+    M.train(matches, "logistic", maxIter=5).write().save(f"{out}/m")
+    model = M.PipelineModel.load(f"{out}/m")
+    matches.repartition(4).write.parquet(f"{out}/rows")
+    feed = stream_source(spark, f"{out}/rows", entity=matches.schema, max_files=1)
+    scored = stream_to_table(M.predict(model, feed, ["match_id"]), "scores")
+    assert rows(scored) == rows(M.predict(model, matches, ["match_id"])) and scored.count() == matches.count()
+
+
+def test_importance_finds_the_feature_that_decides(spark):
+    r = np.random.default_rng(2)
+    data = [(*map(float, r.random(len(M.FEATURES))),) for _ in range(400)]
+    df = spark.createDataFrame([(*v, float(v[3] > 0.5)) for v in data], ", ".join(f"{f} double" for f in M.FEATURES) + ", label double")
+    got = {x.feature: x.importance for x in M.feature_importance(M.train(df, "random_forest", numTrees=10, maxDepth=4), spark).collect()}
+    assert max(got, key=got.get) == M.FEATURES[3] and sum(got.values()) == pytest.approx(1.0)
+    assert M.select_features(df, 1) == [M.FEATURES[3]]

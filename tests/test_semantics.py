@@ -336,3 +336,13 @@ def test_match_detail_with_form(spark):
     inj = spark.createDataFrame([], "team string, player string, injury_date string, expected_return string")
     row = match_detail(m, st, inj, form=spark.createDataFrame([("A", "WDL")], "team string, form string")).first()
     assert row.home.form == ["W", "D", "L"] and row.away.form is None
+
+
+def test_leaderboard_ranks_ties_nulls_and_the_asking_user(spark):
+    from stakeflow.operators.windows import leaderboard
+
+    d = spark.createDataFrame([(i, float(v) if v is not None else None) for i, v in enumerate([5, 9, 9, 7, 1, 1, 0, None, 3, 9])], "user_id int, roi double")
+    got = {r.user_id: (r["rank"], round(r.percentile, 6)) for r in leaderboard(d, "roi", 5, me=6).collect()}
+    assert got == {1: (1, 0.75), 2: (1, 0.75), 9: (1, 0.75), 3: (4, 0.625), 0: (5, 0.5), 6: (9, 0.0)}
+    assert {r.user_id: r["rank"] for r in leaderboard(d, "roi", 5, me=7).filter("user_id = 7").collect()} == {7: 10}
+    assert leaderboard(d.limit(0), "roi", 5).count() == 0
