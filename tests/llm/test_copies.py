@@ -4,6 +4,7 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,6 +278,25 @@ def test_near_vectors_match_brute_force(spark, opts):
             assert r.n_links == 0 and r.component_id == r.vec_id and r.kept
 
 
+def test_all_links_of_many_vectors(spark):
+    """24,000 clustered vectors in four labels: every link of brute force is found, and none besides."""
+    r = np.random.default_rng(9)
+    centres = r.standard_normal((4000, 32))
+    own = r.integers(0, 4000, 24_000)
+    x = (centres[own] + r.choice([0.02, 0.12, 0.2], (24_000, 1)) * r.standard_normal((24_000, 32))).astype(np.float32)
+    labels = own % 4
+    data = pa.table({"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": pa.array(labels, pa.int32())})
+    got = {v.vec_id: v.n_links for v in vectors.near_vectors(spark.createDataFrame(data).repartition(8)).select("vec_id", "n_links").collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = 0
+    for label in range(4):
+        at = np.flatnonzero(labels == label)
+        near = (u[at] @ u[at].T >= 0.98).sum(1) - 1
+        links += int(near.sum()) // 2
+        assert [got[i] for i in at.tolist()] == near.tolist()
+    assert links > 5_000
+
+
 def test_near_vectors_of_empty(spark):
     assert vectors.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stakeflow.llm import langid, mixing, packing, queries, tokens, toxicity
 
 from ..conftest import SF
-from .cases import awkward, empty, frame, prose, words
+from .cases import awkward, empty, frame, prose, rows, words
 
 
 def test_token_counts_match_a_plain_unigram_search(spark):
@@ -29,6 +29,26 @@ def test_token_counts_match_a_plain_unigram_search(spark):
     assert tokens.token_counts(empty(spark)).count() == 0
 
 
+def plain_count(word, scores, unknown, longest):
+    """Tokens of the best segmentation of one word, by a search over its places."""
+    best = [(0.0, 0)] + [None] * len(word)
+    for end in range(1, len(word) + 1):
+        options = [(best[end - 1][0] + unknown, best[end - 1][1] + 1)]
+        options += [(best[at][0] + scores[word[at:end]], best[at][1] + 1) for at in range(max(0, end - longest), end) if word[at:end] in scores]
+        best[end] = max(options, key=lambda o: (round(o[0], 9), -o[1]))
+    return best[-1][1]
+
+
+def test_token_counts_beyond_ascii(spark):
+    scores, unknown = tokens.piece_scores(tokens.vocabulary_path())
+    longest = max(map(len, scores))
+    texts = ["é中 \U0001f600 ́x", "Straße über größe", "naïve café déjà-vu", "Привет мир", "mañana\u00a0señor ción", "日本語 テキスト", "a\u0301 e\u0301"]
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in tokens.token_counts(frame(spark, rows(list(enumerate(texts))))).collect()}
+    for i, text in enumerate(texts):
+        own = text.encode().split()
+        assert got[i] == (len(own), sum(plain_count(tokens.MARK + w.decode(), scores, unknown, longest) for w in own)), text
+
+
 def test_shared_prefixes_give_the_counts_of_single_words():
     r = random.Random(4)
     vocab = {"a": -1.0, "ab": -1.2, "b": -2.0, "abc": -3.0, "c": -1.5, "ca": -2.5}
@@ -155,6 +175,43 @@ def test_language_of_awkward_documents(spark):
     assert {r.lang_pred for r in langid.identify_language(none).collect()} == {"und"}
 
 
+def plain_features(text):
+    """Hashed n-gram counts of one text, byte by byte."""
+    data = [b if b >= 128 or chr(b).isalpha() else 32 for b in f" {text.lower()} ".encode("utf-8", "replace")]
+    data = [b for i, b in enumerate(data) if b != 32 or i == 0 or data[i - 1] != 32]
+    total = Counter()
+    for order in langid.ORDERS:
+        for i in range(len(data) - order + 1):
+            code = 0
+            for b in data[i : i + order]:
+                code = (code * 257 + b) % 2**32
+            total[((code + order) * 2654435761 % 2**32) >> 20] += 1
+    norm = math.sqrt(sum(total.values()))
+    return {b: math.sqrt(n) / norm for b, n in total.items()}
+
+
+def test_language_equals_plain_decoding(spark):
+    """Features, margins and losses of every document by loops, with the classifiers that the operator fits."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify_language(docs).collect()}
+    for r in docs.collect():
+        if r.text is None or not any(c.isalpha() for c in r.text):
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        x = plain_features(r.text)
+        losses = []
+        for code in model.code:
+            loss = 0.0
+            for bit, sign in enumerate(code):
+                margin = model.bias[bit] + sum(v * model.weights[b, bit] for b, v in x.items())
+                loss += model.bit_weight[bit] * math.log1p(math.exp(-margin * sign))
+            losses.append(loss)
+        best = min(range(len(losses)), key=losses.__getitem__)
+        score = 1 / sum(math.exp(losses[best] - v) for v in losses)
+        assert got[r.doc_id][0] == model.languages[best] and got[r.doc_id][1] == pytest.approx(score, abs=1e-4)
+
+
 def test_codewords_differ():
     for n in (1, 2, 4, 9):
         code = langid.codewords(n)
