@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 
 #: Labelled rows used at most; taken by a hash of the id.
 MAX_EXAMPLES = 20_000
-#: Terms kept at most, strongest association first.
-MAX_TERMS = 4096
 #: Examples in a block of the index.
 BLOCK = 64
 NEIGHBOURS = 15
@@ -170,7 +168,7 @@ def build_index(terms: list[str], examples: list[tuple[int, int, dict[int, int]]
         {t: n for n, t in enumerate(terms)}, idf, np.array([e[1] for e in rows], np.float64), np.array([e[0] for e in rows], np.int64),
         starts, example, weight, block_max, (sum(empty) + rate) / (len(empty) + 1), rate)
     x, y = [], []
-    for n in range(0, len(rows), max(1, len(rows) // 3000)):
+    for n in range(len(rows)):
         at, cosine = index.nearest(*index.vector(rows[n][2]), k, without=n)
         if len(at):
             x.append(_logit(index.vote(at, cosine)))
@@ -197,7 +195,7 @@ def _platt(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, floa
     return (float(a[0]), float(a[1])) if a[0] > 0 else (1.0, 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Index:
+def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Index:
     """Choose terms and build the index from at most ``max_examples`` labelled rows outside the held-out fifth."""
     sample = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -227,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
             kept = sorted(
                 r["term"] for r in stats.filter((share > rate) & (2 * F.col("bad") >= F.col("seen")))
                 .withColumn("surprise", surprise).filter(F.col("surprise") >= F.lit(math.log(max(stats.count(), 1))))
-                .orderBy(F.desc("surprise"), "term").limit(max_terms).collect()
+                .select("term").collect()  # terms of the sample's examples
             )
             stats.unpersist()
         place = {t: i for i, t in enumerate(kept)}

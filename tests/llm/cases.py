@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import re
 
+#: Values of the columns that operators do not ask for.
+MORE = (7, "k", 1, 2, "b", None, 99, 98, "m", 97, 96, "c", 95)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars int, id long, key string, task long, size int, block string, word string, "
 DOCS += "m_words int, m_epoch int, m_id string, gone_id long, cut_doc long, cut_spans string, M_Size int"
@@ -21,7 +23,7 @@ def prose(seed, n):
 
 def rows(texts, lang="en", source="s"):
     """Rows of DOCS; further columns clash with names that operators use inside."""
-    return [(i, t, lang, source, len(t) if t is not None else None, 7, "k", 1, 2, "b", None, 99, 98, "m", 97, 96, "c", 95) for i, t in texts]
+    return [(i, t, lang, source, len(t) if t is not None else None, *MORE) for i, t in texts]
 
 
 def awkward():

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stakeflow.llm import langid, mixing, packing, queries, tokens, toxicity
 
 from ..conftest import SF
-from .cases import awkward, empty, frame, prose, rows, words
+from .cases import MORE, awkward, empty, frame, prose, rows, words
 
 
 def test_token_counts_match_a_plain_unigram_search(spark):
@@ -120,7 +120,7 @@ def test_sum_of_squares_choice_is_the_smallest():
 
 
 def test_mix_matches_sql_on_awkward_sources(spark):
-    data = [(i, prose(i, i % 37), "en", src, 0, 7, "k", 1, 2, "b", None) for i, src in enumerate(["a", "b", None, "Z", "é", "a", ""] * 30)]
+    data = [(i, prose(i, i % 37), "en", src, 0, *MORE) for i, src in enumerate(["a", "b", None, "Z", "é", "a", ""] * 30)]
     docs = frame(spark, data + data[:3])
     con = duckdb.connect()
     con.register("documents", docs.toPandas())
@@ -252,7 +252,7 @@ def test_toxicity_on_small_tables(spark):
         text = prose(i, 40)
         if i % 5 == 0:
             text += " " + " ".join(bad)
-        data.append((i, text, "en", "s", 0, 7, "k", 1, 2, "b", None))
+        data.append((i, text, "en", "s", 0, *MORE))
         if i < 300:
             labels.append((i, int(i % 5 == 0), 1))
     docs = frame(spark, data + awkward())
@@ -284,11 +284,12 @@ def test_toxicity_of_held_out_labels(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     cur = con.execute(queries.ORACLE_SQL[name])
     cols = [d[0] for d in cur.description]
-    got = sorted(tuple(r[c] for c in cols) for r in queries.QUERIES[name](spark, SF).collect())
-    assert got == sorted(cur.fetchall())
+    got = sorted((tuple(r[c] for c in cols) for r in queries.QUERIES[name](spark, SF).collect()), key=repr)
+    assert got == sorted(cur.fetchall(), key=repr)
 
 
 def test_words_helper_matches_pattern():
