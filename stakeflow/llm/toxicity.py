@@ -1,16 +1,16 @@
-"""Toxicity scores by nearest labelled examples under exact TF-IDF cosine.
-
-Terms are words and word stems (first four and five letters, so inflected forms meet). On a bounded
-sample of labelled rows the terms are kept whose presence goes with the label more than chance would
-make of all terms tested; examples are TF-IDF
-vectors over them, held in an inverted index whose posting lists are cut into blocks of examples
-with the largest weight of each block. A query walks the blocks in the order of their upper bounds
-and stops once no block can beat its k-th best example, so the neighbours are exact. Their votes,
-weighted by nearness, are calibrated on the sample itself (each example scored without itself).
-
-Defined cases: a text without any indexed term (also null or empty) gets the rate of such texts in
-the sample; without labelled rows of both kinds every score is the toxic rate of the sample, or 0;
-an example labelled twice counts once, as toxic if any of its labels says so; repeated documents
+"""Toxicity scores by nearest labelled examples under exact TF-IDF cosine, calibrated votes and evidence.
+
+Terms are words and word stems (first four and five letters, so inflected forms meet). Labelled rows,
+a bounded sample, are TF-IDF vectors in two inverted indexes: over every term of the texts, without
+any choice of terms (``Vectors``), and over the telling terms, whose presence goes with the label
+more than chance would make of all terms tested (``Index``). Posting lists are cut into blocks of
+examples with the largest weight of each block; a query opens blocks by their upper bounds and
+leaves those that cannot beat its k-th best example, so neighbours are exact. Their votes, weighted
+by nearness, are two inputs of a logistic calibration on examples that are each scored without themselves.
+
+Defined cases: a text without any term of the examples (also null or empty) gets the rate of such
+texts in the sample; without labelled rows of both kinds every score is the toxic rate of the sample,
+or 0; an example labelled twice counts once, as toxic if any of its labels says so; repeated documents
 are scored each; an empty table gives no rows. Other columns are ignored; texts are read whole.
 """
 
@@ -22,16 +22,25 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows used at most; taken by a hash of the id.
 MAX_EXAMPLES = 20_000
+#: Of these, the ones held as vectors over all terms and used to calibrate; the first by the same hash.
+MAX_VECTORS = 4_000
 #: Examples in a block of the index.
 BLOCK = 64
 NEIGHBOURS = 15
-CACHED_WORDS = 400_000
+#: Neighbours over all terms; those are many weak hints, so more of them vote.
+WIDE_NEIGHBOURS = 50
+#: A term in more than this part of the examples is common: its weights are a dense row.
+COMMON = 1 / 8
+#: Texts scored together.
+TOGETHER = 128
+CACHED_WORDS = 150_000
 
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -66,7 +75,7 @@ def _example_terms(batches):
 
 @dataclass
 class Index:
-    """Block-max inverted index of unit TF-IDF vectors, with the votes' calibration."""
+    """Block-max inverted index of unit TF-IDF vectors over the telling terms."""
 
     terms: dict[str, int]
     idf: np.ndarray
@@ -76,10 +85,7 @@ class Index:
     posting_example: np.ndarray
     posting_weight: np.ndarray
     block_max: np.ndarray  # term x block
-    rest_score: float
     rate: float
-    slope: float = 1.0
-    shift: float = 0.0
     visited: int = field(default=0, compare=False)
 
     def vector(self, tf: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -120,17 +126,159 @@ class Index:
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         """Nearness-weighted share of toxic neighbours, with the base rate as a weak extra vote."""
-        w = 1 / (1.05 - np.minimum(cosine, 1.0))
-        return (float((w * self.toxic[at]).sum()) + 0.5 * self.rate) / (float(w.sum()) + 0.5)
+        return _vote(self.toxic[at], cosine, self.rate)
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges lo..hi, one range after the other."""
+    n = hi - lo
+    return np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
+
+
+class Vectors:
+    """Block-max inverted index of unit TF-IDF vectors over every term of the examples.
+
+    Common terms come first and are dense rows; the list of any other term is cut into cells, one per
+    block of examples, each with its largest weight.
+    """
+
+    def __init__(self, ids: np.ndarray, toxic: np.ndarray, terms: list[str], example: np.ndarray, term: np.ndarray, count: np.ndarray):
+        self.n = n = len(ids)
+        self.blocks = blocks = max(-(-n // BLOCK), 1)
+        df = np.bincount(term, minlength=len(terms))
+        by_df = np.argsort(-df, kind="stable")
+        self.terms = {terms[t]: i for i, t in enumerate(by_df.tolist())}
+        number = np.empty(len(terms), np.int64)
+        number[by_df] = np.arange(len(terms))
+        term = number[term]
+        self.common = int((df > COMMON * n).sum())
+        self.idf = np.log((1 + n) / (1 + df[by_df])) + 1
+        weight = (1 + np.log(count)) * self.idf[term]
+        weight /= np.sqrt(np.bincount(example, weight * weight, minlength=n))[example]
+        head = np.zeros((n, max(self.common, 1)))
+        often = term < self.common
+        head[example[often], term[often]] = weight[often]
+        order = np.lexsort((head.max(1), head.argmax(1)))  # examples that lean on the same common term share blocks
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.ids, self.toxic = ids[order], toxic[order].astype(float)
+        self.head = np.zeros((head.shape[1], blocks * BLOCK))
+        self.head[:, :n] = head[order].T
+        example, term, weight = place[example[~often]], term[~often], weight[~often]
+        order = np.lexsort((example, term))
+        self.example, self.weight = example[order], weight[order]
+        cell, first = np.unique(term[order] * blocks + self.example // BLOCK, return_index=True)
+        self.cell_start = np.append(first, len(order))
+        self.cell_block = cell % blocks
+        self.cell_max = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.cells = np.searchsorted(cell, np.arange(len(terms) + 1) * blocks)
 
-    def score(self, tf: dict[int, int], k: int = NEIGHBOURS) -> tuple[float, list[int]]:
-        """Calibrated score and the ids of the nearest examples."""
-        if not tf:
-            return self.rest_score, []
-        at, cosine = self.nearest(*self.vector(tf), k)
-        if not len(at):
-            return self.rest_score, []
-        return _sigmoid(self.slope * _logit(self.vote(at, cosine)) + self.shift), self.ids[at[:3]].tolist()
+    def vector(self, tf: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        term = np.fromiter(sorted(tf), np.int64, len(tf))
+        w = (1 + np.log(np.array([tf[t] for t in term.tolist()], float))) * self.idf[term]
+        return term, w / np.sqrt((w * w).sum())
+
+    def nearest(self, queries: list[dict[int, int]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ``k`` examples of largest cosine (position, cosine), ties to the smaller position; all positive ones if fewer."""
+        vectors = [self.vector(q) for q in queries]
+        dense = np.zeros((len(queries), len(self.head)))
+        for n, (term, w) in enumerate(vectors):
+            often = term < self.common
+            dense[n, term[often]] = w[often]
+        return [
+            self._one(term[term >= self.common], w[term >= self.common], score, k, without[n] if without else -1)
+            for n, ((term, w), score) in enumerate(zip(vectors, dense @ self.head))]
+
+    def _one(self, term, w, score, k, without):
+        lo, hi = self.cells[term], self.cells[term + 1]
+        cells, weights = _ranges(lo, hi), np.repeat(w, hi - lo)
+        bound = score.reshape(self.blocks, BLOCK).max(1) + np.bincount(self.cell_block[cells], weights * self.cell_max[cells], self.blocks)
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-bound, kind="stable")[: k // BLOCK + 2]] = True
+        least, opened = 0.0, np.zeros(self.blocks, bool)
+        for blocks in (first, ~first):
+            blocks = blocks & (bound > 0) & (bound >= least - 1e-9)
+            opened |= blocks
+            on = blocks[self.cell_block[cells]]
+            at, to = self.cell_start[cells[on]], self.cell_start[cells[on] + 1]
+            postings = _ranges(at, to)
+            score = score + np.bincount(self.example[postings], np.repeat(weights[on], to - at) * self.weight[postings], len(score))
+            if without >= 0:
+                score[without] = 0
+            found = np.flatnonzero(np.repeat(opened, BLOCK) & (score > 0))
+            if len(found) > k:
+                least = np.partition(score[found], len(found) - k)[len(found) - k]
+        found = found[score[found] >= least]
+        found = found[np.lexsort((found, -score[found]))][:k]
+        return found, score[found]
+
+
+def _vote(toxic: np.ndarray, cosine: np.ndarray, rate: float) -> float:
+    """Nearness-weighted share of toxic neighbours, with the base rate as a weak extra vote."""
+    w = 1 / (1.05 - np.minimum(cosine, 1.0))
+    return (float((w * toxic).sum()) + 0.5 * rate) / (float(w.sum()) + 0.5)
+
+
+@dataclass
+class Scorer:
+    """Both indexes and the weights of their votes: all terms, telling terms, whether any of these is near, constant."""
+
+    rate: float
+    rest: float = 0.0
+    wide: Vectors | None = None
+    telling: Index | None = None
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
+
+    def inputs(self, wide: list[dict], telling: list[dict], k: int, own: list[int] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Calibration inputs of texts that hold a known term, and the ids of their nearest examples."""
+        out, near = np.zeros((len(wide), 4)), []
+        place = {d: n for n, d in enumerate(self.telling.ids.tolist())} if own else {}
+        mine = {d: n for n, d in enumerate(self.wide.ids.tolist())} if own else {}
+        all_near = self.wide.nearest(wide, WIDE_NEIGHBOURS, [mine[d] for d in own] if own else None)
+        for n, (at, cosine) in enumerate(all_near):
+            ids = self.wide.ids[at]
+            out[n] = _logit(_vote(self.wide.toxic[at], cosine, self.rate)), 0, 0, 1
+            if telling[n]:
+                at, cosine = self.telling.nearest(*self.telling.vector(telling[n]), k, without=place.get(own[n], -1) if own else -1)
+                if len(at):
+                    ids = self.telling.ids[at]
+                    out[n, 1:3] = _logit(self.telling.vote(at, cosine)), 1
+            near.append(ids[:3])
+        return out, near
+
+    def calibrate(self, wide: list[dict], telling: list[dict], own: list[int], toxic: np.ndarray, k: int) -> None:
+        parts = range(0, len(wide), TOGETHER)
+        x = np.concatenate([self.inputs(*(v[i : i + TOGETHER] for v in (wide, telling)), k, own[i : i + TOGETHER])[0] for i in parts])
+        self.weights = _logistic(x, toxic)
+        for vote in (0, 1):
+            if self.weights[vote] < 0:  # a vote never speaks against its own neighbours (tiny samples)
+                x[:, vote] = 0
+                self.weights = _logistic(x, toxic)
+
+    def score(self, wide: list[dict], telling: list[dict], k: int) -> tuple[np.ndarray, list[list[int]]]:
+        """Calibrated scores and the ids of the nearest examples: by telling terms if the text has any, else by all."""
+        score, near = np.full(len(wide), self.rest), [[] for _ in wide]
+        on = [n for n, tf in enumerate(wide) if tf or telling[n]]
+        for i in range(0, len(on), TOGETHER):
+            some = on[i : i + TOGETHER]
+            x, ids = self.inputs([wide[n] for n in some], [telling[n] for n in some], k)
+            score[some] = 1 / (1 + np.exp(-np.clip(x @ self.weights, -40, 40)))
+            for n, found in zip(some, ids):
+                near[n] = found.tolist()
+        return score, near
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Weights of a ridge logistic fit to smoothed labels (Newton steps)."""
+    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), x.T @ (p - target) + 1e-2 * w)
+        w = w - np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
 
 
 def _logit(p: float) -> float:
@@ -138,13 +286,8 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def _sigmoid(x: float) -> float:
-    return 1 / (1 + math.exp(-min(max(x, -40), 40)))
-
-
-def build_index(terms: list[str], examples: list[tuple[int, int, dict[int, int]]], rate: float, k: int = NEIGHBOURS) -> Index:
-    """Index of (id, toxic, term counts) examples; those without terms set the score of such texts."""
-    empty = [y for _, y, tf in examples if not tf]
+def build_index(terms: list[str], examples: list[tuple[int, int, dict[int, int]]], rate: float) -> Index:
+    """Index of the (id, toxic, term counts) examples that hold a term."""
     rows = sorted((e for e in examples if e[2]), key=lambda e: (sorted(e[2]), e[0]))  # alike examples share blocks
     df = np.zeros(len(terms))
     for _, _, tf in rows:
@@ -164,39 +307,13 @@ def build_index(terms: list[str], examples: list[tuple[int, int, dict[int, int]]
     block_max = np.zeros((len(terms), blocks))
     if len(post):
         np.maximum.at(block_max, (term, example // BLOCK), weight)
-    index = Index(
+    return Index(
         {t: n for n, t in enumerate(terms)}, idf, np.array([e[1] for e in rows], np.float64), np.array([e[0] for e in rows], np.int64),
-        starts, example, weight, block_max, (sum(empty) + rate) / (len(empty) + 1), rate)
-    x, y = [], []
-    for n in range(len(rows)):
-        at, cosine = index.nearest(*index.vector(rows[n][2]), k, without=n)
-        if len(at):
-            x.append(_logit(index.vote(at, cosine)))
-            y.append(rows[n][1])
-    index.slope, index.shift = _platt(np.array(x), np.array(y, float))
-    return index
-
-
-def _platt(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float]:
-    """Slope and shift of a logistic fit to smoothed labels (Newton steps); the identity if one class is missing."""
-    if not len(y) or y.min() == y.max():
-        return 1.0, 0.0
-    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    a = np.array([1.0, 0.0])
-    design = np.stack([x, np.ones(len(x))], 1)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(design @ a, -30, 30)))
-        grad = design.T @ (p - target) + 1e-3 * (a - [1.0, 0.0])
-        hess = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        a = a - np.clip(step, -1, 1)
-        if np.abs(step).max() < 1e-8:
-            break
-    return (float(a[0]), float(a[1])) if a[0] > 0 else (1.0, 0.0)
+        starts, example, weight, block_max, rate)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Index:
-    """Choose terms and build the index from at most ``max_examples`` labelled rows outside the held-out fifth."""
+def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS, max_vectors: int = MAX_VECTORS) -> Scorer:
+    """Build and calibrate both indexes from at most ``max_examples`` labelled rows outside the held-out fifth."""
     sample = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").cast("long").alias("e_id")).agg(F.max(F.col("toxic").cast("int")).alias("e_toxic"))
@@ -212,61 +329,92 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES)
     try:
         n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
         rate = toxic / n if n else 0.0
-        kept: list[str] = []
-        if 0 < toxic < n:
-            stats = (
-                rows.select("toxic", F.explode("terms").alias("term")).groupBy("term")
-                .agg(F.count("*").alias("seen"), F.sum("toxic").alias("bad")).filter("seen >= 4").persist()
-            )
-            share = F.col("bad") / F.col("seen")
-            clean = F.when(share < 1, (1 - share) * F.log((1 - share) / F.lit(1 - rate))).otherwise(0.0)
-            # Chernoff bound on so many toxic examples by chance, in nats
-            surprise = F.col("seen") * (share * F.log(share / F.lit(rate)) + clean)
-            kept = sorted(
-                r["term"] for r in stats.filter((share > rate) & (2 * F.col("bad") >= F.col("seen")))
-                .withColumn("surprise", surprise).filter(F.col("surprise") >= F.lit(math.log(max(stats.count(), 1))))
-                .select("term").collect()  # terms of the sample's examples
-            )
-            stats.unpersist()
+        if not 0 < toxic < n:
+            return Scorer(rate, rate)
+        stats = (
+            rows.select("toxic", F.explode("terms").alias("term")).groupBy("term")
+            .agg(F.count("*").alias("seen"), F.sum("toxic").alias("bad")).filter("seen >= 4").persist()
+        )
+        share = F.col("bad") / F.col("seen")
+        clean = F.when(share < 1, (1 - share) * F.log((1 - share) / F.lit(1 - rate))).otherwise(0.0)
+        # Chernoff bound on so many toxic examples by chance, in nats
+        surprise = F.col("seen") * (share * F.log(share / F.lit(rate)) + clean)
+        kept = sorted(
+            r["term"] for r in stats.filter((share > rate) & (2 * F.col("bad") >= F.col("seen")))
+            .withColumn("surprise", surprise).filter(F.col("surprise") >= F.lit(math.log(max(stats.count(), 1))))
+            .select("term").collect()  # terms of the sample's examples
+        )
+        stats.unpersist()
         place = {t: i for i, t in enumerate(kept)}
         some = rows.select(
             "doc_id", "toxic",
             F.filter(F.arrays_zip("terms", "counts"), lambda z: z["terms"].isin(kept) if kept else F.lit(False)).alias("tf"))
         examples = [(r["doc_id"], r["toxic"], {place[z["terms"]]: z["counts"] for z in r["tf"]}) for r in some.collect()]
+        by_hash = rows.select(F.xxhash64("doc_id").alias("h"))
+        edge = by_hash.orderBy("h").limit(max_vectors).agg(F.max("h")).first()[0]
+        vectors = rows.filter(F.xxhash64("doc_id") <= F.lit(edge)).orderBy("doc_id").toArrow()  # bounded by max_vectors
     finally:
         rows.unpersist()
-    return build_index(kept, sorted(examples, key=lambda e: e[0]), rate)
+    return _fit(rate, build_index(kept, sorted(examples, key=lambda e: e[0]), rate), {e[0]: e[2] for e in examples}, vectors, k)
+
+
+def _fit(rate: float, telling: Index, telling_tf: dict[int, dict], vectors: pa.Table, k: int) -> Scorer:
+    vectors = vectors.combine_chunks()
+    ids, toxic = (vectors.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "toxic"))
+    lengths = pc.list_value_length(vectors.column("terms")).to_numpy().astype(np.int64)
+    coded = pa.concat_arrays(vectors.column("terms").chunks).flatten().dictionary_encode()
+    term, count = coded.indices.to_numpy().astype(np.int64), pa.concat_arrays(vectors.column("counts").chunks).flatten().to_numpy()
+    wide = Vectors(ids, toxic, coded.dictionary.to_pylist(), np.repeat(np.arange(len(ids)), lengths), term, count)
+    names = np.fromiter((wide.terms[t] for t in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+    ends = np.cumsum(lengths)
+    tf = [dict(zip(names[term[e - n : e]].tolist(), count[e - n : e].tolist())) for e, n in zip(ends, lengths)]
+    empty = toxic[lengths == 0]
+    scorer = Scorer(rate, (float(empty.sum()) + rate) / (len(empty) + 1), wide, telling)
+    on = np.flatnonzero(lengths).tolist()
+    if on:
+        scorer.calibrate([tf[n] for n in on], [telling_tf[int(ids[n])] for n in on], ids[on].tolist(), toxic[on].astype(float), k)
+    return scorer
 
 
 class WordTerms(dict):
-    """Indexed terms of words, looked up once per worker; None for words without any."""
+    """Known terms of words (of all terms, of the telling ones), looked up once per worker; None for words without any."""
 
-    def __init__(self, terms: dict[str, int]):
+    def __init__(self, scorer: Scorer):
         super().__init__()
-        self.terms = terms
+        self.wide = scorer.wide.terms if scorer.wide else {}
+        self.telling = scorer.telling.terms if scorer.telling else {}
 
     def __missing__(self, word: str):
         if len(self) >= CACHED_WORDS:
             self.clear()
-        found = tuple(n for t in word_terms(word) if (n := self.terms.get(t)) is not None) or None
-        self[word] = found
+        terms = word_terms(word)
+        wide, telling = (tuple(n for t in terms if (n := d.get(t)) is not None) for d in (self.wide, self.telling))
+        found = self[word] = (wide, telling) if wide or telling else None
         return found
 
+    def counts(self, text) -> tuple[dict[int, int], dict[int, int]]:
+        """Counts of a whole text's terms in both indexes."""
+        wide: dict[int, int] = {}
+        telling: dict[int, int] = {}
+        for word, n in Counter(str(text or "").split()).items():
+            if found := self[word]:
+                for t in found[0]:
+                    wide[t] = wide.get(t, 0) + n
+                for t in found[1]:
+                    telling[t] = telling.get(t, 0) + n
+        return wide, telling
+
+
+def _scores(scorer: Scorer, words: WordTerms, column, k: int) -> tuple[np.ndarray, list[list[int]]]:
+    counted = [words.counts(text.as_py()) for text in column]
+    return scorer.score([c[0] for c in counted], [c[1] for c in counted], k)
+
 
 def _score(shared, k: int):
     def run(batches):
-        index = shared.value
-        words = WordTerms(index.terms)
+        words = WordTerms(shared.value)
         for batch in batches:
-            scores, evidence = [], []
-            for text in batch.column(1):
-                tf: Counter[int] = Counter()
-                for found in filter(None, map(words.__getitem__, (text.as_py() or "").split())):
-                    tf.update(found)
-                s, near = index.score(tf, k)
-                scores.append(s)
-                evidence.append(near)
-            score = np.array(scores, np.float64)
+            score, evidence = _scores(shared.value, words, batch.column(1), k)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(evidence, pa.list_(pa.int64()))],
                 ["doc_id", "held_out", "score", "predicted", "evidence"])
@@ -279,28 +427,21 @@ SCORED = "doc_id long, held_out boolean, score double, predicted int, evidence a
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """doc_id, held_out, score, predicted and the nearest examples' ids for every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_examples))  # bounded by max_examples
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_examples, k))  # bounded by max_examples
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out(F.col("doc_id")).alias("held_out"))
     return rows.mapInArrow(_score(shared, k), SCORED)
 
 
 def _keep(shared, k: int, at: int):
     def run(batches):
-        index = shared.value
-        words = WordTerms(index.terms)
+        words = WordTerms(shared.value)
         for batch in batches:
-            good = []
-            for text in batch.column(at):
-                tf: Counter[int] = Counter()
-                for found in filter(None, map(words.__getitem__, (str(text.as_py() or "")).split())):
-                    tf.update(found)
-                good.append(index.score(tf, k)[0] < 0.5)
-            yield batch.filter(pa.array(good, pa.bool_()))
+            yield batch.filter(pa.array(_scores(shared.value, words, batch.column(at), k)[0] < 0.5, pa.bool_()))
 
     return run
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns; read once, nothing is joined."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_examples))  # bounded by max_examples
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_examples, k))  # bounded by max_examples
     return docs.mapInArrow(_keep(shared, k, docs.columns.index("text")), docs.schema)
