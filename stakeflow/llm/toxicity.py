@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 #: Labelled rows used at most; taken by a hash of the id.
 MAX_EXAMPLES = 20_000
 #: Of these, the ones held as vectors over all terms and used to calibrate; the first by the same hash.
-MAX_VECTORS = 4_000
+MAX_VECTORS = 2_000
 #: Examples in a block of the index.
 BLOCK = 64
 NEIGHBOURS = 15
@@ -246,9 +247,9 @@ class Scorer:
             near.append(ids[:3])
         return out, near
 
-    def calibrate(self, wide: list[dict], telling: list[dict], own: list[int], toxic: np.ndarray, k: int) -> None:
-        parts = range(0, len(wide), TOGETHER)
-        x = np.concatenate([self.inputs(*(v[i : i + TOGETHER] for v in (wide, telling)), k, own[i : i + TOGETHER])[0] for i in parts])
+    def calibrate(self, wide: Callable[[int], dict], telling: list[dict], own: list[int], toxic: np.ndarray, k: int) -> None:
+        parts = [range(i, min(i + TOGETHER, len(own))) for i in range(0, len(own), TOGETHER)]
+        x = np.concatenate([self.inputs([wide(n) for n in p], telling[p[0] : p[-1] + 1], k, own[p[0] : p[-1] + 1])[0] for p in parts])
         self.weights = _logistic(x, toxic)
         for vote in (0, 1):
             if self.weights[vote] < 0:  # a vote never speaks against its own neighbours (tiny samples)
@@ -367,12 +368,16 @@ def _fit(rate: float, telling: Index, telling_tf: dict[int, dict], vectors: pa.T
     wide = Vectors(ids, toxic, coded.dictionary.to_pylist(), np.repeat(np.arange(len(ids)), lengths), term, count)
     names = np.fromiter((wide.terms[t] for t in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
     ends = np.cumsum(lengths)
-    tf = [dict(zip(names[term[e - n : e]].tolist(), count[e - n : e].tolist())) for e, n in zip(ends, lengths)]
+
+    def counts(n: int) -> dict[int, int]:
+        at = slice(ends[n] - lengths[n], ends[n])
+        return dict(zip(names[term[at]].tolist(), count[at].tolist()))
+
     empty = toxic[lengths == 0]
     scorer = Scorer(rate, (float(empty.sum()) + rate) / (len(empty) + 1), wide, telling)
     on = np.flatnonzero(lengths).tolist()
     if on:
-        scorer.calibrate([tf[n] for n in on], [telling_tf[int(ids[n])] for n in on], ids[on].tolist(), toxic[on].astype(float), k)
+        scorer.calibrate(lambda n: counts(on[n]), [telling_tf[int(ids[n])] for n in on], ids[on].tolist(), toxic[on].astype(float), k)
     return scorer
 
 
