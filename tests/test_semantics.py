@@ -346,3 +346,12 @@ def test_leaderboard_ranks_ties_nulls_and_the_asking_user(spark):
     assert got == {1: (1, 0.75), 2: (1, 0.75), 9: (1, 0.75), 3: (4, 0.625), 0: (5, 0.5), 6: (9, 0.0)}
     assert {r.user_id: r["rank"] for r in leaderboard(d, "roi", 5, me=7).filter("user_id = 7").collect()} == {7: 10}
     assert leaderboard(d.limit(0), "roi", 5).count() == 0
+
+
+def test_confidence_calibration_reads_every_decided_prediction(spark, tables):
+    from stakeflow.plans import QUERIES
+
+    from .conftest import SF
+
+    whole = tables.prediction.filter(F.col("status").isin("won", "lost") & (F.col("confidence") >= 60)).count()
+    assert QUERIES["confidence_calibration"](spark, SF).agg(F.sum("n")).first()[0] == whole
