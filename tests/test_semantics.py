@@ -355,3 +355,15 @@ def test_confidence_calibration_reads_every_decided_prediction(spark, tables):
 
     whole = tables.prediction.filter(F.col("status").isin("won", "lost") & (F.col("confidence") >= 60)).count()
     assert QUERIES["confidence_calibration"](spark, SF).agg(F.sum("n")).first()[0] == whole
+
+
+def test_match_detail_writes_a_team_s_injuries_once(spark):
+    from stakeflow.operators.joins import match_detail
+
+    m = spark.createDataFrame([(i, "x", "A", "B", "2024-01-01", "finished", 1, 0) for i in range(3)],
+                              "match_id long, league string, home_team string, away_team string, match_date string, status string, home_score long, away_score long")
+    st = spark.createDataFrame([("A", 1), ("B", 1)], "team string, played int")
+    inj = spark.createDataFrame([("A", "p", "2024-01-01", "2024-01-03"), ("A", "q", "2024-01-01", "2024-01-05")],
+                                "team string, player string, injury_date string, expected_return string")
+    out = match_detail(m, st, inj).select("match_id", "home.injury_text", "away.injury_text")
+    assert [tuple(r) for r in out.orderBy("match_id").collect()] == [(i, "q:4 p:2", None) for i in range(3)]
