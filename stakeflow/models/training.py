@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import partial
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -115,20 +119,25 @@ def rolling_origin(data: DataFrame) -> DataFrame:
     return sizes.withColumn("train_rows", F.sum("test_rows").over(before)).filter("train_rows IS NOT NULL").select("fold", "train_rows", "test_rows")
 
 
-def tune(data: DataFrame, features: list[str] = FEATURES, reg: tuple[float, ...] = (0.0, 0.1)) -> DataFrame:
+def tune(data: DataFrame, features: list[str] = FEATURES, reg: tuple[float, ...] = (0.0, 0.1), parallelism: int = 4) -> DataFrame:
     """Area under ROC per regularisation strength and fold, with the mean per strength.
 
     Rolling origin: fold k is scored by a model of the folds before k, so no model has seen later rows.
-    Folds that hold one label only cannot be scored and are left out.
+    Folds that hold one label only cannot be scored and are left out. Of a fold, up to ``parallelism`` strengths
+    are fitted at a time: their many short passes fill each other's gaps.
     """
     score = BinaryClassificationEvaluator()
     rows = []
-    for row in rolling_origin(data).orderBy("fold").collect():
-        past, fold = data.filter(F.col("fold") < row["fold"]), data.filter(F.col("fold") == row["fold"])
-        if min(d.agg(F.count_distinct("label")).first()[0] for d in (past, fold)) < 2:
-            continue
-        for r in reg:
-            rows.append((float(r), row["fold"], float(score.evaluate(train(past, "logistic", features, regParam=r).transform(fold)))))
+
+    def auc(past, own, fold, r):
+        return float(r), fold, float(score.evaluate(train(past, "logistic", features, regParam=r).transform(own)))
+
+    with ThreadPool(max(1, min(parallelism, len(reg)))) as pool:
+        for row in rolling_origin(data).orderBy("fold").collect():
+            past, fold = data.filter(F.col("fold") < row["fold"]), data.filter(F.col("fold") == row["fold"])
+            if min(d.agg(F.count_distinct("label")).first()[0] for d in (past, fold)) < 2:
+                continue
+            rows += pool.map(lambda task: task(), [inheritable_thread_target(partial(auc, past, fold, row["fold"], r)) for r in reg])
     scores = data.sparkSession.createDataFrame(rows, "reg double, fold int, auc double")
     return scores.select("reg", "fold", r6(F.col("auc")).alias("auc"), r6(F.avg("auc").over(Window.partitionBy("reg"))).alias("mean_auc"))
 

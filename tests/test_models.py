@@ -128,3 +128,18 @@ def test_importance_finds_the_feature_that_decides(spark):
     got = {x.feature: x.importance for x in M.feature_importance(M.train(df, "random_forest", numTrees=10, maxDepth=4), spark).collect()}
     assert max(got, key=got.get) == M.FEATURES[3] and sum(got.values()) == pytest.approx(1.0)
     assert M.select_features(df, 1) == [M.FEATURES[3]]
+
+
+def test_strengths_of_a_fold_are_fitted_together(matches, monkeypatch):
+    import threading
+
+    data = written(M.time_folds(matches, "match_date", ["1998-01-01"]), "folds")
+    both = threading.Barrier(2, timeout=120)
+
+    def spy(past, *args, **kw):
+        both.wait()
+        return fit(past, *args, **kw)
+
+    fit = M.train
+    monkeypatch.setattr(M, "train", spy)
+    assert sorted((r.reg, r.fold) for r in M.tune(data, reg=(0.0, 0.1)).collect()) == [(0.0, 1), (0.1, 1)]
