@@ -126,7 +126,7 @@ def tune(data: DataFrame, features: list[str] = FEATURES, reg: tuple[float, ...]
     Folds that hold one label only cannot be scored and are left out. Of a fold, up to ``parallelism`` strengths
     are fitted at a time: their many short passes fill each other's gaps.
     """
-    score = BinaryClassificationEvaluator()
+    score, inherit = BinaryClassificationEvaluator(), inheritable_thread_target(data.sparkSession)
     rows = []
 
     def auc(past, own, fold, r):
@@ -137,7 +137,7 @@ def tune(data: DataFrame, features: list[str] = FEATURES, reg: tuple[float, ...]
             past, fold = data.filter(F.col("fold") < row["fold"]), data.filter(F.col("fold") == row["fold"])
             if min(d.agg(F.count_distinct("label")).first()[0] for d in (past, fold)) < 2:
                 continue
-            rows += pool.map(lambda task: task(), [inheritable_thread_target(partial(auc, past, fold, row["fold"], r)) for r in reg])
+            rows += pool.map(lambda task: task(), [inherit(partial(auc, past, fold, row["fold"], r)) for r in reg])
     scores = data.sparkSession.createDataFrame(rows, "reg double, fold int, auc double")
     return scores.select("reg", "fold", r6(F.col("auc")).alias("auc"), r6(F.avg("auc").over(Window.partitionBy("reg"))).alias("mean_auc"))
 
