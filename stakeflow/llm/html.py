@@ -7,8 +7,10 @@ occur on several distinct pages are boilerplate and are removed, unique runs sta
 marks as its article is the author's statement of content: there a run counts as boilerplate only
 where most pages of the host carry it. Outside the article of a page that has one nothing is kept.
 
-Hosts are cut into shards of a bounded number of pages by a hash of the page, so a host of any
-size is spread over tasks; boilerplate repeats in every shard of its host.
+Hosts are cut into shards of a bounded number of pages by a hash of what a page says, so a host of any
+size is spread over tasks; the many copies of a page are dealt to further shards, where they are not
+counted. Runs are counted over all shards of a host: each shard offers the first bits of its runs'
+hashes, then the whole 64-bit hashes of those that enough pages of all shards hold, and gets back the totals.
 
 Defined cases: null or empty html gives an empty text; a page without a host (null or broken url) is
 grouped with the others of that kind; unclosed, broken or cut tags end where the page ends, and an
@@ -25,9 +27,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stakeflow.llm.words import shingle
+
 # fixed values: elements of the markup language
 RAW_TEXT = ("script", "style", "textarea", "noscript", "template", "iframe", "noframes", "noembed", "xmp", "title", "svg", "math", "object", "select", "option", "canvas", "audio", "video")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -203,17 +208,16 @@ def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return order, rank
 
 
-def repeated_pages(tokens: np.ndarray, page: np.ndarray, length: int) -> np.ndarray:
-    """For each token, the largest number of distinct pages on which a run of ``length`` tokens over it occurs.
+def run_pages(tokens: np.ndarray, page: np.ndarray, length: int, counted: np.ndarray | None = None) -> np.ndarray:
+    """For each token, the number of distinct (``counted``) pages with the run of ``length`` tokens that starts at it.
 
     Runs are read off the suffix array: neighbouring suffixes that agree on ``length`` tokens form an
     interval, and an interval's distinct pages are counted once. A run never crosses two streams
     when the caller puts a unique token between them.
     """
     n = len(tokens)
-    cover = np.ones(n, np.int64)
     if n < length:
-        return cover
+        return np.ones(n, np.int64)
     order, rank = suffix_array(tokens, length)
     same = np.ones(n - 1, bool)  # suffix neighbours agree on `length` tokens
     a, b = order[:-1], order[1:]
@@ -225,63 +229,217 @@ def repeated_pages(tokens: np.ndarray, page: np.ndarray, length: int) -> np.ndar
     agree = equal_rank & same
     agree[check] = True
     group = np.cumsum(np.r_[0, ~agree])
-    pairs = np.unique(group.astype(np.int64) * (int(page.max()) + 1) + page[order])
-    count = np.bincount(pairs // (int(page.max()) + 1), minlength=int(group[-1]) + 1)
+    pages = int(page.max()) + 1
+    pairs = np.unique(group.astype(np.int64) * pages + page[order])
+    count = np.bincount(pairs // pages, None if counted is None else counted[pairs % pages], minlength=int(group[-1]) + 1)
     start = np.ones(n, np.int64)
     start[order] = count[group]
-    for k in range(length):  # a run covers the `length` tokens from its start
+    return start
+
+
+def covered(start: np.ndarray, length: int) -> np.ndarray:
+    """For each token, the largest of the numbers of the runs over it; a run covers the ``length`` tokens from its start."""
+    cover, n = start.copy(), len(start)
+    for k in range(1, min(length, n)):
         cover[k:] = np.maximum(cover[k:], start[: n - k])
     return cover
 
 
-PARSED = "page_id long, url string, texts array<string>, mains array<boolean>"
+def repeated_pages(tokens: np.ndarray, page: np.ndarray, length: int) -> np.ndarray:
+    """For each token, the largest number of distinct pages on which a run of ``length`` tokens over it occurs."""
+    return np.maximum(covered(run_pages(tokens, page, length), length), 1)
+
+
+PARSED = "page_id long, url string, texts array<string>, mains array<boolean>, content long"
+#: Shards whose runs are counted in one task.
+SHARDS_TOGETHER = 16
+OFFERED = "host string, bucket int, shard int, keys binary, counts binary"
+SHARED = "host string, shard int, keys binary, counts binary"
+CLEANED = "page_id long, url string, text string, n_chars long"
+
+
+def said(texts: list[str], mains: list[bool]) -> tuple[str, ...]:
+    """The blocks that can be content: those of the articles if the page has any."""
+    return tuple(t for t, m in zip(texts, mains) if m) if any(mains) else tuple(texts)
 
 
 def _parse(batches):
     for batch in batches:
-        texts, mains = [], []
+        texts, mains, content = [], [], []
         for page in batch.column(2):
             blocks = page_blocks(page.as_py() or "")
             texts.append([b.text for b in blocks])
             mains.append([b.main for b in blocks])
+            content.append(xxhash.xxh64_intdigest("\n".join(said(texts[-1], mains[-1])).encode()))  # blocks hold no line ends
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(texts, pa.list_(pa.string())), pa.array(mains, pa.list_(pa.bool_()))],
-            ["page_id", "url", "texts", "mains"])
+            [batch.column(0), batch.column(1), pa.array(texts, pa.list_(pa.string())), pa.array(mains, pa.list_(pa.bool_())),
+             pa.array(np.array(content, np.uint64).view(np.int64))],
+            ["page_id", "url", "texts", "mains", "content"])
 
 
-def _clean(length: int, least_pages: int, most_share: float, enough_pages: int):
-    def run(table: pa.Table) -> pa.Table:
-        ids, urls = table.column("page_id"), table.column("url")
+class Shard:
+    """The distinct contents of a shard's pages as one stream of tokens, a token of its own behind each block."""
+
+    def __init__(self, table: pa.Table):
         texts, mains = table.column("texts").to_pylist(), table.column("mains").to_pylist()
-        code: dict[str, int] = {}
-        stream, owner, spans = [], [], []
+        number: dict[tuple[str, ...], int] = {}
         # pages that say the same count as one: what repeats must do so beside other text
-        said = [tuple(t for t, m in zip(own, main) if m or not any(main)) for own, main in zip(texts, mains)]
-        number = {v: k for k, v in enumerate(dict.fromkeys(said))}
-        for i, (page, own) in enumerate(zip(said, texts)):
-            has_main = any(mains[i])
-            for j, text in enumerate(own):
-                if has_main and not mains[i][j]:
-                    continue
+        self.of = [number.setdefault(said(own, main), len(number)) for own, main in zip(texts, mains)]
+        self.main = [any(main) for main in mains]
+        self.shards = table.column("shards")[0].as_py()
+        self.contents = table.column("contents")[0].as_py() if self.shards > 1 else len(number)
+        self.counted = np.zeros(len(number), np.int64)
+        self.counted[np.array(self.of)[table.column("counted").to_numpy()]] = 1
+        code: dict[str, int] = {}
+        stream, owner, self.blocks = [], [], [[] for _ in number]
+        for n, own in enumerate(number):
+            for text in own:
                 words = text.split(" ")
-                spans.append((i, j, len(stream), len(words)))
+                self.blocks[n].append((text, len(stream), len(words)))
                 stream.extend([code.setdefault(w, len(code)) for w in words])
-                stream.append(-len(spans))  # a token of its own: runs stay inside a block
-                owner.extend([number[page]] * (len(words) + 1))
-        pages = len(number)
-        tokens = np.array(stream, np.int64)
-        cover = repeated_pages(tokens, np.array(owner, np.int64), length) if len(tokens) else np.zeros(0, np.int64)
-        main_bar = max(enough_pages, int(np.floor(most_share * pages)) + 1)
-        out: list[list[str]] = [[] for _ in range(len(ids))]
-        for i, j, at, n in spans:
-            bar = main_bar if mains[i][j] else least_pages
-            gone = cover[at : at + n] >= bar
-            if not gone.any():
-                out[i].append(texts[i][j])
-            elif not gone.all():
-                out[i].append(" ".join(w for w, g in zip(texts[i][j].split(" "), gone.tolist()) if not g))
-        text = [" ".join(b) for b in out]
-        return pa.table({"page_id": ids, "url": urls, "text": pa.array(text, pa.string()), "n_chars": pa.array(map(len, text), pa.int64())})
+                stream.append(-1 - len(stream))  # runs stay inside a block
+                owner.extend([n] * (len(words) + 1))
+        self.tokens, self.owner, self.words = np.array(stream, np.int64), np.array(owner, np.int64), list(code)
+
+    def keys(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of all runs and the runs' 64-bit hashes, the same in every shard."""
+        if len(self.tokens) < length:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in self.words), np.uint64, len(self.words))
+        ends = np.cumsum(self.tokens < 0)
+        start = np.flatnonzero((ends[length - 1 :] == ends[: len(ends) - length + 1]) & (self.tokens[: len(ends) - length + 1] >= 0))
+        return start, shingle(hashes[np.maximum(self.tokens, 0)], length)[start]
+
+    def counts(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct runs' hashes, ascending, and the number of counted contents that hold each."""
+        start, keys = self.keys(length)
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], self.owner[start[order]]
+        fresh = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+        first = np.flatnonzero(fresh)
+        once = fresh | np.r_[True, owner[1:] != owner[:-1]][: len(keys)]
+        return keys[first], np.add.reduceat(once * self.counted[owner], first) if len(first) else np.zeros(0, np.int64)
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as gaps, byte plane by byte plane, which compresses well."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint64)
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
+
+
+def _offer(table: pa.Table, shards: int, keys: np.ndarray, bucket: np.ndarray, counts: np.ndarray, pack) -> pa.Table:
+    """One row per bucket with the shard's keys there."""
+    edges = np.searchsorted(bucket, np.arange(-(-shards // SHARDS_TOGETHER) + 1))
+    rows = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if hi > lo]
+    n = len(rows)
+    return pa.table({
+        "host": pa.array(table.column("host")[:1].to_pylist() * n, pa.string()), "bucket": pa.array([b for b, _, _ in rows], pa.int32()),
+        "shard": pa.array(table.column("shard")[:1].to_pylist() * n, pa.int32()), "keys": pa.array([pack(keys[lo:hi]) for _, lo, hi in rows], pa.binary()),
+        "counts": pa.array([counts[lo:hi].astype(np.uint32).tobytes() for _, lo, hi in rows], pa.binary())})
+
+
+def _short(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first bits of the hashes, so many that few of a host's runs agree on them by chance, and their buckets."""
+    bits = min(32, 24 + (shards - 1).bit_length())
+    short = keys >> np.uint64(64 - bits)
+    return short, (short * np.uint64(-(-shards // SHARDS_TOGETHER))) >> np.uint64(bits)
+
+
+def _offer_short(length: int):
+    """The first bits of the hashes of a shard's runs, if its host has others."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shards = table.column("shards")[0].as_py()
+        if shards == 1:
+            return _offer(table, 1, *[np.zeros(0, np.uint64)] * 3, _pack)
+        keys, counts = Shard(table).counts(length)
+        short, bucket = _short(keys, shards)
+        first = np.flatnonzero(np.r_[True, short[1:] != short[:-1]][: len(short)])
+        counts = np.add.reduceat(counts, first) if len(first) else counts
+        return _offer(table, shards, short[first], bucket[first], counts, _pack)
+
+    return run
+
+
+def _offer_whole(length: int):
+    """The whole hashes of the runs whose first bits are frequent enough over all shards."""
+
+    def run(table: pa.Table, wanted: pa.Table) -> pa.Table:
+        shards = table.column("shards")[0].as_py()
+        if not wanted.num_rows:
+            return _offer(table, 1, *[np.zeros(0, np.uint64)] * 3, np.ndarray.tobytes)
+        keys, counts = Shard(table).counts(length)
+        short, bucket = _short(keys, shards)
+        on = np.isin(short, np.concatenate([_wide(k) for k in wanted.column("keys").to_pylist()]))
+        return _offer(table, shards, keys[on], bucket[on], counts[on], np.ndarray.tobytes)
+
+    return run
+
+
+def _totals(least: int, unpack):
+    """For each shard of a host, its keys that ``least`` contents hold over all shards, if others add to its own count."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = [unpack(k) for k in table.column("keys").to_pylist()]
+        own = [np.frombuffer(c, np.uint32) for c in table.column("counts").to_pylist()]
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(at, np.concatenate(own)).astype(np.int64)[at]
+        ends = np.cumsum([0, *map(len, keys)])
+        out = []
+        for shard, k, c, lo in zip(table.column("shard").to_pylist(), keys, own, ends.tolist()):
+            mine = total[lo : lo + len(k)]
+            on = (mine >= least) & (mine > c)
+            if on.any():
+                out.append((shard, k[on].astype(np.uint64).tobytes(), mine[on].tobytes()))
+        columns = list(zip(*out)) if out else [(), (), ()]
+        return pa.table({
+            "host": pa.array(table.column("host")[:1].to_pylist() * len(out), pa.string()), "shard": pa.array(columns[0], pa.int32()),
+            "keys": pa.array(columns[1], pa.binary()), "counts": pa.array(columns[2], pa.binary())})
+
+    return run
+
+
+def _clean(length: int, least_pages: int, most_share: float, enough_pages: int):
+    def run(table: pa.Table, shared: pa.Table) -> pa.Table:
+        shard = Shard(table)
+        start = run_pages(shard.tokens, shard.owner, length, shard.counted) if len(shard.tokens) else shard.tokens
+        if shared.num_rows:  # runs that other shards of the host hold too
+            known, total = (np.concatenate([np.frombuffer(v, t) for v in shared.column(c).to_pylist()]) for c, t in (("keys", np.uint64), ("counts", np.int64)))
+            order = np.argsort(known)
+            known, total = known[order], total[order]
+            place, keys = shard.keys(length)
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            hit = known[at] == keys
+            start[place[hit]] = total[at[hit]]
+        cover = covered(start, length)
+        main_bar = max(enough_pages, int(np.floor(most_share * shard.contents)) + 1)
+        done: dict[tuple[int, bool], str] = {}
+
+        def cleaned(n: int, main: bool) -> str:
+            out = []
+            for text, at, size in shard.blocks[n]:
+                gone = cover[at : at + size] >= (main_bar if main else least_pages)
+                if not gone.any():
+                    out.append(text)
+                elif not gone.all():
+                    out.append(" ".join(w for w, g in zip(text.split(" "), gone.tolist()) if not g))
+            return " ".join(out)
+
+        text = []
+        for key in zip(shard.of, shard.main):
+            if key not in done:
+                done[key] = cleaned(*key)
+            text.append(done[key])
+        return pa.table({
+            "page_id": table.column("page_id"), "url": table.column("url"),
+            "text": pa.array(text, pa.string()), "n_chars": pa.array(map(len, text), pa.int64())})
 
     return run
 
@@ -299,11 +457,23 @@ def extract_text(
     article on more than ``most_share`` of them and at least ``enough_pages``.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    hosts = rows.select(host(F.col("url")).alias("h")).groupBy("h").agg(F.ceil(F.count("*") / shard_pages).alias("shards"))
     parsed = rows.mapInArrow(_parse, PARSED).withColumn("host", host(F.col("url")))
-    shard = F.pmod(F.xxhash64("page_id"), F.greatest(F.col("shards"), F.lit(1)))
-    return (
-        parsed.join(hosts, F.col("host") == F.col("h")).withColumn("shard", shard)
-        .select("page_id", "url", "texts", "mains", "host", "shard")
-        .groupBy("host", "shard").applyInArrow(_clean(run_length, least_pages, most_share, enough_pages), "page_id long, url string, text string, n_chars long")
+    contents = parsed.groupBy("host", "content").count()
+    many = F.when(F.col("count") > shard_pages, F.struct("content", "count"))
+    hosts = contents.groupBy(F.col("host").alias("h")).agg(
+        F.sum("count").alias("pages"), F.count("*").alias("contents"), F.map_from_entries(F.collect_list(many)).alias("copies"))
+    hosts = hosts.filter(F.col("pages") > shard_pages)  # hosts and copies: at most one for each shard_pages pages
+    spread = F.ceil(F.coalesce(F.try_element_at("copies", F.col("content")), F.lit(1)) / shard_pages)
+    dealt = (
+        parsed.join(F.broadcast(hosts), F.col("host") == F.col("h"), "left")
+        .withColumn("shards", F.ceil(F.coalesce("pages", F.lit(1)) / shard_pages).cast("int"))
+        .withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), spread))
+        .select("page_id", "url", "texts", "mains", "host", F.pmod(F.pmod("content", F.col("shards")) + F.col("salt"), F.col("shards")).cast("int").alias("shard"),
+                "shards", "contents", (F.col("salt") == 0).alias("counted"))
     )
+    least = min(least_pages, enough_pages)
+    shards = dealt.groupBy("host", "shard")
+    shared = lambda offered, unpack: offered.groupBy("host", "bucket").applyInArrow(_totals(least, unpack), SHARED).groupBy("host", "shard")
+    wanted = shared(shards.applyInArrow(_offer_short(run_length), OFFERED), _unpack)
+    totals = shared(shards.cogroup(wanted).applyInArrow(_offer_whole(run_length), OFFERED), _wide)
+    return shards.cogroup(totals).applyInArrow(_clean(run_length, least_pages, most_share, enough_pages), CLEANED)

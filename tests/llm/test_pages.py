@@ -85,3 +85,20 @@ def test_registered_query_gives_the_articles(spark):
         blocks = re.split(r"</?(?:p|h1)>", article)
         texts = [re.sub(r"\s+", " ", html.unescape(re.sub(r"</?b>|<br>", "", b))).strip() for b in blocks]
         assert got[r.page_id] == " ".join(t for t in texts if t)
+
+
+def test_runs_count_over_all_shards_of_a_host(spark):
+    rare = "this short notice stands on three pages of the host only"
+    half = "an article line that most of the pages of this host carry"
+    body = [f"<div><p>{prose(i, 30)}</p></div>" for i in range(40)]
+    for i in (3, 17, 29):
+        body[i] += f"<p>{rare}</p>"
+    body += [f"<article><p>{half}</p><p>{prose(100 + i, 30)}</p></article>" for i in range(70)]
+    body += [f"<div><p>{prose(900, 30)}</p></div>"] * 30  # many copies of one page
+    rows = spark.createDataFrame([(i, f"https://big.example/{i}", b) for i, b in enumerate(body)], "page_id long, url string, html string").repartition(3)
+    want = H.extract_text(rows).collect()
+    text = {r.page_id: r.text for r in want}
+    assert all(text[i] == prose(i, 30) for i in range(40)) and text[139] == prose(900, 30)
+    assert all(text[i] == prose(60 + i, 30) for i in range(40, 110))
+    for pages in (1, 7, 50):
+        assert sorted(H.extract_text(rows, shard_pages=pages).collect()) == sorted(want)
