@@ -3,10 +3,10 @@
 Terms are words and word stems (first four and five letters, so inflected forms meet). Labelled rows,
 a bounded sample, are TF-IDF vectors in two inverted indexes: over every term of the texts, without
 any choice of terms (``Vectors``), and over the telling terms, whose presence goes with the label
-more than chance would make of all terms tested (``Index``). Posting lists are cut into blocks of
-examples with the largest weight of each block; a query opens blocks by their upper bounds and
-leaves those that cannot beat its k-th best example, so neighbours are exact. Their votes, weighted
-by nearness, are two inputs of a logistic calibration on examples that are each scored without themselves.
+more than chance would make of all terms tested (``Index``). The first adds up all posting lists of a
+query; the lists of the second are cut into blocks of examples with the largest weight of each block,
+and a query opens blocks by their upper bounds and leaves those that cannot beat its k-th best
+example, so the neighbours of both are exact. Their votes, weighted by nearness, are two inputs of a logistic calibration on examples that are each scored without themselves.
 
 Defined cases: a text without any term of the examples (also null or empty) gets the rate of such
 texts in the sample; without labelled rows of both kinds every score is the toxic rate of the sample,
@@ -17,9 +17,11 @@ are scored each; an empty table gives no rows. Other columns are ignored; texts
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stakeflow.llm.words import chunks
+
 #: Labelled rows used at most; taken by a hash of the id.
 MAX_EXAMPLES = 20_000
 #: Of these, the ones held as vectors over all terms and used to calibrate; the first by the same hash.
@@ -41,9 +45,16 @@ WIDE_NEIGHBOURS = 50
 COMMON = 1 / 8
 #: Texts scored together.
 TOGETHER = 128
-CACHED_WORDS = 150_000
+#: Text bytes counted together.
+COUNTED_BYTES = 1 << 18
+CACHED_WORDS = 60_000
 
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Characters beside words that are neither letters nor marks.
+MARKS = ".,;:!?()\"'"
+
+#: Terms of a text, ascending, and how often it holds each.
+Counts = tuple[np.ndarray, np.ndarray]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,7 +64,8 @@ def held_out(doc_id: Column) -> Column:
 def word_terms(word: str) -> list[str]:
     """Terms of one white-space separated word: its letter runs, and stems of the longer ones."""
     out = []
-    for run in LETTERS.findall(word.lower()):
+    core = word.lower().strip(MARKS)
+    for run in [core] if core.isalpha() else LETTERS.findall(core):  # most words are one run of letters
         out.append(run)
         out.extend(f"{run[:n]}*" for n in (4, 5) if len(run) > n)
     return out
@@ -137,15 +149,14 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 class Vectors:
-    """Block-max inverted index of unit TF-IDF vectors over every term of the examples.
+    """Inverted index of unit TF-IDF vectors over every term of the examples.
 
-    Common terms come first and are dense rows; the list of any other term is cut into cells, one per
-    block of examples, each with its largest weight.
+    Common terms come first and are dense rows; any other term is a list of examples and weights. All
+    lists of a query are added up: bounds per block of examples left three of five blocks open and cost more than they saved.
     """
 
     def __init__(self, ids: np.ndarray, toxic: np.ndarray, terms: list[str], example: np.ndarray, term: np.ndarray, count: np.ndarray):
         self.n = n = len(ids)
-        self.blocks = blocks = max(-(-n // BLOCK), 1)
         df = np.bincount(term, minlength=len(terms))
         by_df = np.argsort(-df, kind="stable")
         self.terms = {terms[t]: i for i, t in enumerate(by_df.tolist())}
@@ -159,57 +170,40 @@ class Vectors:
         head = np.zeros((n, max(self.common, 1)))
         often = term < self.common
         head[example[often], term[often]] = weight[often]
-        order = np.lexsort((head.max(1), head.argmax(1)))  # examples that lean on the same common term share blocks
+        order = np.lexsort((head.max(1), head.argmax(1)))  # examples that lean on the same common term stand together
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         self.ids, self.toxic = ids[order], toxic[order].astype(float)
-        self.head = np.zeros((head.shape[1], blocks * BLOCK))
-        self.head[:, :n] = head[order].T
+        self.head = np.ascontiguousarray(head[order].T)
         example, term, weight = place[example[~often]], term[~often], weight[~often]
         order = np.lexsort((example, term))
         self.example, self.weight = example[order], weight[order]
-        cell, first = np.unique(term[order] * blocks + self.example // BLOCK, return_index=True)
-        self.cell_start = np.append(first, len(order))
-        self.cell_block = cell % blocks
-        self.cell_max = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.cells = np.searchsorted(cell, np.arange(len(terms) + 1) * blocks)
+        self.starts = np.searchsorted(term[order], np.arange(len(terms) + 1))
 
-    def vector(self, tf: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        term = np.fromiter(sorted(tf), np.int64, len(tf))
-        w = (1 + np.log(np.array([tf[t] for t in term.tolist()], float))) * self.idf[term]
+    def vector(self, tf: dict[int, int] | Counts) -> tuple[np.ndarray, np.ndarray]:
+        term, count = tf if isinstance(tf, tuple) else (np.array(v, np.int64) for v in (sorted(tf), [tf[t] for t in sorted(tf)]))
+        w = (1 + np.log(count.astype(float))) * self.idf[term]
         return term, w / np.sqrt((w * w).sum())
 
-    def nearest(self, queries: list[dict[int, int]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    def nearest(self, queries: list, k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the ``k`` examples of largest cosine (position, cosine), ties to the smaller position; all positive ones if fewer."""
         vectors = [self.vector(q) for q in queries]
         dense = np.zeros((len(queries), len(self.head)))
         for n, (term, w) in enumerate(vectors):
-            often = term < self.common
-            dense[n, term[often]] = w[often]
-        return [
-            self._one(term[term >= self.common], w[term >= self.common], score, k, without[n] if without else -1)
-            for n, ((term, w), score) in enumerate(zip(vectors, dense @ self.head))]
+            often = np.searchsorted(term, self.common)
+            dense[n, term[:often]] = w[:often]
+            vectors[n] = term[often:], w[often:]
+        return [self._one(*v, score, k, without[n] if without else -1) for n, (v, score) in enumerate(zip(vectors, dense @ self.head))]
 
     def _one(self, term, w, score, k, without):
-        lo, hi = self.cells[term], self.cells[term + 1]
-        cells, weights = _ranges(lo, hi), np.repeat(w, hi - lo)
-        bound = score.reshape(self.blocks, BLOCK).max(1) + np.bincount(self.cell_block[cells], weights * self.cell_max[cells], self.blocks)
-        first = np.zeros(self.blocks, bool)
-        first[np.argsort(-bound, kind="stable")[: k // BLOCK + 2]] = True
-        least, opened = 0.0, np.zeros(self.blocks, bool)
-        for blocks in (first, ~first):
-            blocks = blocks & (bound > 0) & (bound >= least - 1e-9)
-            opened |= blocks
-            on = blocks[self.cell_block[cells]]
-            at, to = self.cell_start[cells[on]], self.cell_start[cells[on] + 1]
-            postings = _ranges(at, to)
-            score = score + np.bincount(self.example[postings], np.repeat(weights[on], to - at) * self.weight[postings], len(score))
-            if without >= 0:
-                score[without] = 0
-            found = np.flatnonzero(np.repeat(opened, BLOCK) & (score > 0))
-            if len(found) > k:
-                least = np.partition(score[found], len(found) - k)[len(found) - k]
-        found = found[score[found] >= least]
+        lo, hi = self.starts[term], self.starts[term + 1]
+        postings = _ranges(lo, hi)
+        score = score + np.bincount(self.example[postings], np.repeat(w, hi - lo) * self.weight[postings], len(score))
+        if without >= 0:
+            score[without] = 0
+        found = np.flatnonzero(score > 0)
+        if len(found) > k:
+            found = found[score[found] >= np.partition(score[found], len(found) - k)[len(found) - k]]
         found = found[np.lexsort((found, -score[found]))][:k]
         return found, score[found]
 
@@ -230,7 +224,7 @@ class Scorer:
     telling: Index | None = None
     weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
 
-    def inputs(self, wide: list[dict], telling: list[dict], k: int, own: list[int] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    def inputs(self, wide: list, telling: list[dict], k: int, own: list[int] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
         """Calibration inputs of texts that hold a known term, and the ids of their nearest examples."""
         out, near = np.zeros((len(wide), 4)), []
         place = {d: n for n, d in enumerate(self.telling.ids.tolist())} if own else {}
@@ -256,10 +250,10 @@ class Scorer:
                 x[:, vote] = 0
                 self.weights = _logistic(x, toxic)
 
-    def score(self, wide: list[dict], telling: list[dict], k: int) -> tuple[np.ndarray, list[list[int]]]:
+    def score(self, wide: list[Counts], telling: list[dict], k: int) -> tuple[np.ndarray, list[list[int]]]:
         """Calibrated scores and the ids of the nearest examples: by telling terms if the text has any, else by all."""
         score, near = np.full(len(wide), self.rest), [[] for _ in wide]
-        on = [n for n, tf in enumerate(wide) if tf or telling[n]]
+        on = [n for n, (term, _) in enumerate(wide) if len(term) or telling[n]]
         for i in range(0, len(on), TOGETHER):
             some = on[i : i + TOGETHER]
             x, ids = self.inputs([wide[n] for n in some], [telling[n] for n in some], k)
@@ -382,37 +376,53 @@ def _fit(rate: float, telling: Index, telling_tf: dict[int, dict], vectors: pa.T
 
 
 class WordTerms(dict):
-    """Known terms of words (of all terms, of the telling ones), looked up once per worker; None for words without any."""
+    """Numbers of words, whose known terms (of all terms, of the telling ones) are looked up once per worker."""
 
     def __init__(self, scorer: Scorer):
         super().__init__()
-        self.wide = scorer.wide.terms if scorer.wide else {}
-        self.telling = scorer.telling.terms if scorer.telling else {}
+        self.known = (scorer.wide.terms if scorer.wide else {}, scorer.telling.terms if scorer.telling else {})
+        self.clear()
+
+    def clear(self):
+        super().clear()
+        self.found = array("q"), array("q")
+        self.ends = array("q", [0]), array("q", [0])
 
     def __missing__(self, word: str):
+        terms = word_terms(word)
+        for known, found, ends in zip(self.known, self.found, self.ends):
+            for t in terms:
+                if (n := known.get(t)) is not None:
+                    found.append(n)
+            ends.append(len(found))
+        number = self[word] = len(self)
+        return number
+
+    def counts(self, texts: list[str | None]) -> tuple[list[Counts], list[Counts]]:
+        """Counts of the terms of whole texts, in both indexes; terms ascend."""
         if len(self) >= CACHED_WORDS:
             self.clear()
-        terms = word_terms(word)
-        wide, telling = (tuple(n for t in terms if (n := d.get(t)) is not None) for d in (self.wide, self.telling))
-        found = self[word] = (wide, telling) if wide or telling else None
-        return found
-
-    def counts(self, text) -> tuple[dict[int, int], dict[int, int]]:
-        """Counts of a whole text's terms in both indexes."""
-        wide: dict[int, int] = {}
-        telling: dict[int, int] = {}
-        for word, n in Counter(str(text or "").split()).items():
-            if found := self[word]:
-                for t in found[0]:
-                    wide[t] = wide.get(t, 0) + n
-                for t in found[1]:
-                    telling[t] = telling.get(t, 0) + n
-        return wide, telling
+        words = [(text or "").split() for text in texts]
+        number = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64)
+        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        out = []
+        for known, found, ends in zip(self.known, self.found, self.ends):
+            size, found, ends = max(len(known), 1), np.array(found), np.array(ends)
+            lo, hi = ends[number], ends[number + 1]
+            cell, n = np.unique(np.repeat(owner, hi - lo) * size + found[_ranges(lo, hi)], return_counts=True)
+            first = np.searchsorted(cell, np.arange(len(words) + 1) * size)
+            out.append([(cell[i:j] % size, n[i:j]) for i, j in zip(first[:-1].tolist(), first[1:].tolist())])
+        return out[0], out[1]
 
 
 def _scores(scorer: Scorer, words: WordTerms, column, k: int) -> tuple[np.ndarray, list[list[int]]]:
-    counted = [words.counts(text.as_py()) for text in column]
-    return scorer.score([c[0] for c in counted], [c[1] for c in counted], k)
+    scores, near = [np.zeros(0)], []
+    for _, part in chunks(column, COUNTED_BYTES):
+        wide, telling = words.counts(part.to_pylist())
+        score, found = scorer.score(wide, [dict(zip(t.tolist(), n.tolist())) for t, n in telling], k)
+        scores.append(score)
+        near += found
+    return np.concatenate(scores), near
 
 
 def _score(shared, k: int):

@@ -273,6 +273,23 @@ def test_search_over_all_terms_is_exact():
         assert n not in index.ids[alone[n][0]]
 
 
+def test_terms_of_texts_are_counted_together():
+    texts = ["Kate katexxx, (kate) x-y", None, "", "unknown katexxx é́a 12", "x " * 70]
+    names = ["kate", "kate*", "katex*", "katexxx", "x", "y", "é́a"]
+    scorer = toxicity.Scorer(0.5)
+    scorer.wide = type("Terms", (), {"terms": {t: n for n, t in enumerate(names)}})
+    scorer.telling = type("Terms", (), {"terms": {"katexxx": 0}})
+    words = toxicity.WordTerms(scorer)
+    for _ in range(2):  # the second time from the words kept
+        wide, telling = words.counts(texts)
+        for text, (term, count), (t, c) in zip(texts, wide, telling):
+            want = Counter(names.index(x) for w in (text or "").split() for x in toxicity.word_terms(w) if x in names)
+            assert dict(zip(term.tolist(), count.tolist())) == want and term.tolist() == sorted(want)
+            assert dict(zip(t.tolist(), c.tolist())) == ({0: 1} if "katexxx" in (text or "") else {})
+    plain = [r for w in ("(Émile's)", "a.b", "..", "İx", "é́a") for r in toxicity.LETTERS.findall(w.lower())]
+    assert [r for w in ("(Émile's)", "a.b", "..", "İx", "é́a") for r in toxicity.word_terms(w) if "*" not in r] == plain
+
+
 def test_every_text_with_a_known_word_has_evidence(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
