@@ -131,6 +131,40 @@ def test_repeated_passages(spark):
     assert got[205] == set(range(30, 85))
 
 
+def families():
+    """Documents that share 45 words, which are no passage; the two or three of a family share eight words more."""
+    common = prose(900, 45)
+    docs = [(400 + i, f"{prose(2000 + i, 60)} {common} {prose(3000 + i, 60)}") for i in range(20)]
+    for f in range(24):
+        first, second = (common, prose(4000 + f, 8)) if f % 2 else (prose(4000 + f, 8), common)
+        docs += [(500 + 10 * f + k, f"{prose(5000 + 10 * f + k, 40)} {first} {second} {prose(6000 + 10 * f + k, 40)}") for k in range(2 + f % 2)]
+    return docs
+
+
+@pytest.mark.parametrize("few,held", [(4, 512), (1, 2)])
+def test_passages_beside_a_common_part_are_found(spark, monkeypatch, few, held):
+    monkeypatch.setattr(passages, "FEW", few)
+    monkeypatch.setattr(passages, "HELD", held)
+    docs = families()
+    spans = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    got = {(s.doc_id, s.first_doc_id): range(s.start, s.start + s.n_words) for s in spans}
+    want = {(d, 500 + 10 * ((d - 500) // 10)) for d, _ in docs if d >= 500 and d % 10}
+    assert set(got) == want
+    assert all(set(range(40, 93)) <= set(r) for r in got.values())
+
+
+def test_needed_pairs_leave_out_only_what_a_third_window_shares():
+    r = np.random.default_rng(5)
+    common, more = r.integers(0, 1 << 60, 50), r.integers(0, 1 << 60, 30)
+    own = lambda n: r.integers(1 << 61, 1 << 62, n)
+    texts = [np.r_[own(30), common, own(30)] for _ in range(6)]
+    texts += [np.r_[own(30), common, more] for _ in range(2)] + [texts[0].copy()]
+    every = np.concatenate(texts).astype(np.uint64)
+    place = np.full(9, 40)
+    later, earlier = passages.needed_pairs(np.arange(9), place - 40, place, place - 40 + 109, every, 46)
+    assert set(zip(later.tolist(), earlier.tolist())) == {(i, 0) for i in range(1, 9)} | {(7, 6)}
+
+
 def test_cut_passages_keeps_the_rest(spark):
     docs = frame(spark, awkward() + rows(passage_documents()))
     out = passages.cut_passages(docs)
