@@ -376,26 +376,44 @@ def _fit(rate: float, telling: Index, telling_tf: dict[int, dict], vectors: pa.T
 
 
 class WordTerms(dict):
-    """Numbers of words, whose known terms (of all terms, of the telling ones) are looked up once per worker."""
+    """Numbers of words, whose known terms (of all terms, of the telling ones) are looked up once per worker.
+
+    Words without a known term share number 0; stems are looked up by their letters alone.
+    """
 
     def __init__(self, scorer: Scorer):
         super().__init__()
         self.known = (scorer.wide.terms if scorer.wide else {}, scorer.telling.terms if scorer.telling else {})
+        stems = {t for known in self.known for t in known if t.endswith("*")}
+        self.stems = {t[:-1]: tuple(known.get(t) for known in self.known) for t in stems}
         self.clear()
 
     def clear(self):
         super().clear()
         self.found = array("q"), array("q")
-        self.ends = array("q", [0]), array("q", [0])
+        self.ends = array("q", [0, 0]), array("q", [0, 0])
 
     def __missing__(self, word: str):
-        terms = word_terms(word)
-        for known, found, ends in zip(self.known, self.found, self.ends):
-            for t in terms:
-                if (n := known.get(t)) is not None:
-                    found.append(n)
-            ends.append(len(found))
-        number = self[word] = len(self)
+        core = word.lower().strip(MARKS)
+        hits = []
+        wide, telling = self.known
+        for run in (core,) if core.isalpha() else LETTERS.findall(core):
+            if run in wide or run in telling:
+                hits.append((wide.get(run), telling.get(run)))
+            if len(run) > 4:
+                if (stem := run[:4]) in self.stems:
+                    hits.append(self.stems[stem])
+                if len(run) > 5 and (stem := run[:5]) in self.stems:
+                    hits.append(self.stems[stem])
+        number = 0
+        if hits:
+            number = len(self.ends[0]) - 1
+            for found, ends, own in zip(self.found, self.ends, zip(*hits)):
+                for n in own:
+                    if n is not None:
+                        found.append(n)
+                ends.append(len(found))
+        self[word] = number
         return number
 
     def counts(self, texts: list[str | None]) -> tuple[list[Counts], list[Counts]]:

@@ -290,6 +290,17 @@ def test_terms_of_texts_are_counted_together():
     assert [r for w in ("(Émile's)", "a.b", "..", "İx", "é́a") for r in toxicity.word_terms(w) if "*" not in r] == plain
 
 
+def test_words_without_a_known_term_keep_nothing():
+    scorer = toxicity.Scorer(0.5)
+    scorer.wide = type("Terms", (), {"terms": {"kate": 0, "kate*": 1, "kates*": 2}})
+    scorer.telling = type("Terms", (), {"terms": {"lovel*": 0}})
+    words = toxicity.WordTerms(scorer)
+    wide, telling = words.counts(["one two three", "katesxx lovelxx kate"])
+    assert words["one"] == words["three"] != words["kate"] and len(words.ends[0]) == 5
+    assert not len(wide[0][0]) and wide[1][0].tolist() == [0, 1, 2] and wide[1][1].tolist() == [1, 1, 1]
+    assert telling[1][0].tolist() == [0] and not len(telling[0][0])
+
+
 def test_every_text_with_a_known_word_has_evidence(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
