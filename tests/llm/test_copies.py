@@ -165,6 +165,73 @@ def test_needed_pairs_leave_out_only_what_a_third_window_shares():
     assert set(zip(later.tolist(), earlier.tolist())) == {(i, 0) for i in range(1, 9)} | {(7, 6)}
 
 
+def plain_pairs(doc, left, right, every, width):
+    """Pairs of windows that no earlier partner of the later one stands in for."""
+    sizes = right - left + 1
+    first = np.cumsum(sizes) - sizes
+    held = [{(int(every[first[i] + k]), int(left[i] + k)) for k in range(sizes[i])} for i in range(len(doc))]
+    out = set()
+    for x in range(len(doc)):
+        own = []
+        for z in range(x):
+            if doc[z] < doc[x] and min(right[x], right[z]) - max(left[x], left[z]) + 1 >= width:
+                if all({v for v, _ in held[x] - held[y]} & {v for v, _ in held[z] - held[y]} for y in own):
+                    own.append(z)
+        out |= {(x, z) for z in own}
+    return out
+
+
+@pytest.mark.parametrize("together", [256, 1])
+def test_needed_pairs_match_a_plain_search(monkeypatch, together):
+    monkeypatch.setattr(passages, "TOGETHER", together)
+    for seed in range(60):
+        r = np.random.default_rng(seed)
+        n, base = int(r.integers(2, 14)), r.integers(1, 50, 24)
+        lo, hi, every = r.integers(0, 6, n), r.integers(15, 24, n), []
+        for i in range(n):
+            own = base.copy()
+            at = r.choice(24, r.integers(0, 8), replace=False)
+            own[at] = r.integers(50, 58, len(at))
+            if r.random() < 0.3:
+                own = np.insert(own, 20, 60)
+            every.append(own[lo[i] : hi[i] + 1])
+        every = np.concatenate(every).astype(np.uint64)
+        later, earlier = passages.needed_pairs(np.arange(n), lo, np.full(n, 10), hi, every, 8)
+        got = set(zip(later.tolist(), earlier.tolist()))
+        assert len(got) == len(later) and got == plain_pairs(np.arange(n), lo - 10, hi - 10, every, 8)
+
+
+def test_pairs_of_several_groups_at_once():
+    """Groups of copies, of windows that share no more than the first has, and of two families."""
+    r = np.random.default_rng(8)
+    opts = passages.Settings()
+    common, more = r.integers(0, 1 << 16, 60), r.integers(0, 1 << 16, 30)
+    own = lambda n: r.integers(0, 1 << 16, n)
+    copy = np.concatenate([own(30), common, own(30)])
+    groups = [[copy] * 4, [np.concatenate([own(30), common, own(30)]) for _ in range(5)]]
+    groups.append([np.concatenate([own(30), common, more if i % 2 else own(30)]) for i in range(6)])
+    rows = [(g, d, text.astype(np.uint16).tobytes()) for g, texts in enumerate(groups) for d, text in enumerate(texts)]
+    group, doc = (np.array([v[k] for v in rows]) for k in (0, 1))
+    place = np.full(len(rows), 0)
+    later, earlier = passages._group_pairs(group, doc, place, place + 50, place + 115, [v[2] for v in rows], opts)
+    got = {(int(group[x]), int(doc[x]), int(doc[y])) for x, y in zip(later, earlier)}
+    assert (group[later] == group[earlier]).all()
+    want = {(0, i, 0) for i in range(1, 4)} | {(1, i, 0) for i in range(1, 5)} | {(2, i, 0) for i in range(1, 6)} | {(2, 3, 1), (2, 5, 1)}
+    assert got == want
+
+
+def test_groups_of_many_hundred_windows_are_not_split(spark, monkeypatch):
+    def split(opts):
+        raise AssertionError("split")
+
+    monkeypatch.setattr(passages, "_split", split)
+    common = prose(901, 55)
+    docs = [(i, f"{prose(20_000 + i, 30)} {common} {prose(30_000 + i, 30)}") for i in range(600)]
+    spans = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {(s.doc_id, s.first_doc_id) for s in spans} == {(i, 0) for i in range(1, 600)}
+    assert all(s.start <= 30 and s.start + s.n_words >= 85 for s in spans)
+
+
 def test_cut_passages_keeps_the_rest(spark):
     docs = frame(spark, awkward() + rows(passage_documents()))
     out = passages.cut_passages(docs)
