@@ -201,6 +201,33 @@ def test_needed_pairs_match_a_plain_search(monkeypatch, together):
         assert len(got) == len(later) and got == plain_pairs(np.arange(n), lo - 10, hi - 10, every, 8)
 
 
+def test_needed_pairs_of_several_groups_match_a_plain_search(monkeypatch):
+    """Small groups together and one of more than 64 classes, with shingles that stand at several places."""
+    monkeypatch.setattr(passages, "WORDS", 1 << 9)
+    for seed in range(6):
+        r = np.random.default_rng(seed)
+        group, doc, lo, hi, every = [], [], [], [], []
+        for g, n in enumerate([5, 2, 130, 9]):
+            base = r.integers(1, 50, 24)
+            doc += range(n)
+            group += [g] * n
+            for _ in range(n):
+                lo.append(int(r.integers(0, 6)))
+                hi.append(int(r.integers(15, 24)))
+                own = base.copy()
+                at = r.choice(24, r.integers(0, 8), replace=False)
+                own[at] = r.integers(50, 58, len(at))
+                every.append(own[lo[-1] : hi[-1] + 1])
+        group, doc, lo, hi = (np.array(v) for v in (group, doc, lo, hi))
+        later, earlier = passages._needed(group, doc, lo - 10, hi - 10, np.concatenate(every).astype(np.uint64), 8)
+        got, want = set(zip(later.tolist(), earlier.tolist())), set()
+        for g in range(4):
+            at = np.flatnonzero(group == g)
+            values = np.concatenate([every[i] for i in at])
+            want |= {(int(at[x]), int(at[y])) for x, y in plain_pairs(doc[at], lo[at] - 10, hi[at] - 10, values, 8)}
+        assert got == want and len(got) == len(later)
+
+
 def test_pairs_of_several_groups_at_once():
     """Groups of copies, of windows that share no more than the first has, and of two families."""
     r = np.random.default_rng(8)
@@ -289,6 +316,24 @@ def test_similar_spans():
     assert passages.similar_spans(x[:60], apart, [0, 30], passages.Settings()) == []
 
 
+def test_spans_of_many_pairs_are_those_of_each(monkeypatch):
+    monkeypatch.setattr(passages, "COMPARED", 64)
+    opts, r = passages.Settings(), np.random.default_rng(3)
+    xs, ys, offsets = [], [], []
+    for k in range(60):
+        x = r.integers(0, 3 if k % 4 == 0 else 1 << 16, int(r.integers(3, 150))).astype(np.uint16)
+        cut = sorted(r.integers(0, len(x) + 1, 2).tolist())
+        y = np.concatenate([r.integers(0, 9, k % 7), x[: cut[0]], r.integers(0, 9, k % 3), x[cut[0] : cut[1]], x[cut[1] :]]).astype(np.uint16)
+        xs.append(x)
+        ys.append(y)
+        offsets.append(sorted({k % 7, int(r.integers(-5, 20))}))
+    pair = np.repeat(np.arange(60), [len(v) for v in offsets])
+    got = passages._similar_spans([x.tobytes() for x in xs], [y.tobytes() for y in ys], pair, np.concatenate(offsets), opts)
+    assert got == [passages.similar_spans(*v, opts) for v in zip(xs, ys, offsets)] and sum(map(len, got)) > 20
+    for x, own in zip(xs, got):
+        assert all(hi - lo >= opts.words and hi <= len(x) for lo, hi in own)
+
+
 def edited(passage, how, r):
     out = list(passage)
     at = r.randrange(6, len(out) - 6)
