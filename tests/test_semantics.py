@@ -367,3 +367,20 @@ def test_match_detail_writes_a_team_s_injuries_once(spark):
                                 "team string, player string, injury_date string, expected_return string")
     out = match_detail(m, st, inj).select("match_id", "home.injury_text", "away.injury_text")
     assert [tuple(r) for r in out.orderBy("match_id").collect()] == [(i, "q:4 p:2", None) for i in range(3)]
+
+
+def test_match_detail_is_written_with_each_team_s_injuries_once(spark, tmp_path):
+    from stakeflow.operators.joins import match_detail
+
+    teams = [f"T{i:02}" for i in range(16)]
+    m = spark.range(800).select(F.col("id").alias("match_id"), F.concat(F.lit("T"), F.lpad((F.col("id") * 7 % 16).cast("string"), 2, "0")).alias("home_team"),
+                                F.concat(F.lit("T"), F.lpad(((F.col("id") * 7 + 1) % 16).cast("string"), 2, "0")).alias("away_team"), F.lit("finished").alias("status"),
+                                F.current_date().alias("match_date"), (F.col("id") % 3).alias("home_score"), (F.col("id") % 2).alias("away_score"))
+    st = spark.createDataFrame([(t, 1) for t in teams], "team string, played long")
+    inj = spark.range(16 * 2000).select(F.concat(F.lit("T"), F.lpad((F.col("id") % 16).cast("string"), 2, "0")).alias("team"), F.sha2(F.col("id").cast("string"), 256).alias("player"),
+                                        F.current_date().alias("injury_date"), F.current_date().alias("expected_return"))
+    match_detail(m, st, inj).select("match_id", "home.injury_text").write.parquet(str(tmp_path / "out"))
+    lists = 16 * 2000 * 67  # each list, once; beside every match it would be 50 times as much
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 800 and back.agg(F.sum(F.length("injury_text"))).first()[0] == 50 * (lists - 16)
+    assert sum(p.stat().st_size for p in (tmp_path / "out").iterdir()) < 4 * lists
