@@ -259,6 +259,21 @@ def test_groups_of_many_hundred_windows_are_not_split(spark, monkeypatch):
     assert all(s.start <= 30 and s.start + s.n_words >= 85 for s in spans)
 
 
+def test_larger_groups_that_a_task_can_hold_are_not_split(spark, monkeypatch):
+    """The rows of a group of some more windows than ``HELD`` are the same, whether it is held or split."""
+    common = prose(902, 55)
+    docs = [(i, f"{prose(20_000 + i // 2, 30)} {common} {prose(30_000 + i // 2, 30)}") for i in range(120)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(passages, "HELD", 20)
+    calls, split = [], passages._split
+    monkeypatch.setattr(passages, "_split", lambda opts: calls.append(1) or split(opts))
+    held = sorted(passages.repeated_passages(docs).collect())
+    assert not calls
+    monkeypatch.setattr(passages, "HELD_SHINGLES", 0)
+    assert sorted(passages.repeated_passages(docs).collect()) == held and calls
+    assert {s.doc_id for s in held} == set(range(1, 120))
+
+
 def test_cut_passages_keeps_the_rest(spark):
     docs = frame(spark, awkward() + rows(passage_documents()))
     out = passages.cut_passages(docs)
